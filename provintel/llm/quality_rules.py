@@ -23,7 +23,7 @@ from ..session import broadcast_if_small
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 BUCKETS = 1 << 15
-THRESHOLD = -0.25
+THRESHOLD = -0.12
 PRIOR = 1.0
 
 
