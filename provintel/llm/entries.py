@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, read_back
 from .decontamination import contamination_report
+from .language_id import fit_language_model, label_languages
 from .packing import pack
+from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 
 
@@ -32,6 +34,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _held_out(modulus: int, remainder: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = fit_language_model(documents.where(~_held_out(5, 0)))
+    return label_languages(documents, model).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hit_words", "row_key")
 
@@ -47,12 +59,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), trusted_documents(_table(spark, sf_dir, "labels")))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_language_id": op2_language_id,
         "op4_decontamination": op4_decontamination,
         "op5_chat_formatting": op5_chat_formatting,
         "op7_quality_rules": op7_quality_rules,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
