@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, read_back
 from .decontamination import contamination_report
 from .language_id import fit_language_model, label_languages
+from .minhash import near_duplicates
 from .packing import pack
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
@@ -59,6 +60,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), trusted_documents(_table(spark, sf_dir, "labels")))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_chat_formatting": op5_chat_formatting,
         "op7_quality_rules": op7_quality_rules,
+        "op9_minhash": op9_minhash,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
