@@ -15,6 +15,7 @@ from .packing import pack
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), trusted_documents(_table(spark, sf_dir, "labels")))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_formatting": op5_chat_formatting,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_minhash": op9_minhash,
         "op10_quality_classifier": op10_quality_classifier,
     }
