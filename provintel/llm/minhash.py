@@ -10,7 +10,7 @@ the hub's choice, and pairs stay few unless a bucket holds many texts that are n
 
 With 32 bands of 4, a pair at similarity 0.8 misses all buckets with probability 5e-8.
 
-Defined cases: a single word is a shingle by itself; null or word-less text has an empty set, no link, and stays; rows
+Defined cases: a single word is a shingle by itself; null or word-less text has an empty set, no link, and stays, as does a null doc_id; rows
 that share a doc_id count as one document's and share its component; ties go to the smallest doc_id; extra columns are
 ignored; an empty table gives no rows.
 """
@@ -152,7 +152,8 @@ def _plausible(n: str, m: str, similarity: int):
 def near_duplicates(documents: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; similarity in hundredths."""
     signed_docs = materialize(documents.select("doc_id", "text").mapInArrow(lambda b: _signatures(b, size, bins, rows), SIGNATURE_SCHEMA), "signatures")
-    real = signed_docs.where("n_shingles > 0")
+    linkable = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    real = signed_docs.where(linkable)
     classes = materialize(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     members = classes.select("node", "n", F.explode(F.array_distinct("bands")).alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", "hub")
@@ -180,6 +181,6 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, similarity: int = S
             found = components(asked)
     of_class = classes.select("set_a", "set_b", "node").join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = real.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"])
-    empty = signed_docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    empty = signed_docs.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     every = out.select("doc_id", "n_shingles", "component").unionByName(empty)
-    return every.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    return every.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,11 +278,12 @@ def n_buckets(documents: DataFrame) -> int:
     return max(16, -(-size // BUCKET_BYTES))
 
 
-def substring_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (or its SHA-256) after removing words of windows that earlier documents have.
+def find_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1) -> DataFrame:
+    """doc_id and spans (pos, len) of words in windows that documents of smaller doc_id have.
 
     With several batches, documents come into the index in doc_id order, a range at a time.
     """
+    documents = documents.select("doc_id", "text").where("doc_id is not null")
     index = FingerprintIndex(n_buckets(documents), width, gram)
     edges = documents.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or [] if batches > 1 else []
     edges = sorted(set(edges))
@@ -294,9 +296,31 @@ def substring_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
             part = part.where(F.col("doc_id") <= edges[i])
         found = index.repeats(part, last=i == len(edges))
         repeats = found if repeats is None else repeats.unionByName(found)
+    return repeats
+
+
+def substring_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (kept words, one space between) or its SHA-256."""
+    repeats = find_repeats(documents, width, gram, batches)
     kind = "kept_sha256" if digest else "kept_text"
     schema = f"doc_id long, n_words long, n_removed long, {kind} string"
     touched = _texts_with(documents.select("doc_id", "text"), repeats).mapInArrow(lambda b: _cut(b, width, digest), schema)
     ids = broadcast_if_small(repeats.select("doc_id"))
     rest = documents.select("doc_id", "text").join(ids, "doc_id", "left_anti").mapInArrow(lambda b: _cut(b, width, digest), schema)
     return touched.unionByName(rest)
+
+
+def _rewrite(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        some = batch.select(["doc_id", "text", "__spans"]).rename_columns(["doc_id", "text", "spans"])
+        texts = pa.chunked_array([x.column(3) for x in _cut(iter([some]), WIDTH, False)], pa.string()).combine_chunks()
+        new = {"text": texts, "n_chars": pa.compute.utf8_length(texts)}
+        yield pa.RecordBatch.from_arrays([new[n].cast(batch.schema.field(n).type) if n in new else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
+
+
+def without_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1) -> DataFrame:
+    """The documents, all columns; texts that had repeats are their kept words with one space between, n_chars follows."""
+    repeats = find_repeats(documents, width, gram, batches).withColumnRenamed("spans", "__spans")
+    ids, names = broadcast_if_small(repeats.select("doc_id")), documents.columns
+    touched = documents.join(ids, "doc_id", "left_semi").join(repeats, "doc_id").mapInArrow(lambda b: _rewrite(b, names), documents.schema)
+    return touched.unionByName(documents.join(ids, "doc_id", "left_anti"))
