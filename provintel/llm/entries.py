@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, read_back
 from .decontamination import contamination_report
 from .language_id import fit_language_model, label_languages
+from .lm_scoring import score_documents
 from .minhash import near_duplicates
 from .packing import pack
 from .quality_classifier import classify_quality
@@ -47,6 +48,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(documents, model).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    scored = score_documents(documents, documents.where(~_held_out(7, 2)))
+    return scored.withColumn("held_out", _held_out(7, 2))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hit_words", "row_key")
 
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_language_id": op2_language_id,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_decontamination": op4_decontamination,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_substring_dedup": op6_substring_dedup,
