@@ -1,0 +1,177 @@
+"""HTML views as Arrow-vectorized functions over the standard library's parser."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+PAGE_DROPS = ("script", "style", "nav", "footer", "header")
+ARTICLE_DROPS = (*PAGE_DROPS, "aside", "form", "noscript")
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+LINKS = "array<struct<href: string, text: string>>"
+VENDOR_ROWS = "array<struct<name: string, purpose: string, location: string>>"
+
+
+class _Walker(HTMLParser):
+    """Text outside dropped tags, links with their text, headings and meta contents, table / list rows."""
+
+    def __init__(self, drops: tuple[str, ...] = PAGE_DROPS, inside: tuple[str, ...] = ()):
+        super().__init__(convert_charrefs=True)
+        self.drops, self.inside = drops, inside
+        self.hidden = self.within = 0
+        self.text: list[str] = []
+        self.main: list[str] = []
+        self.links: list[tuple[str, list[str]]] = []
+        self.open_link = False
+        self.named: dict[str, list[str]] = {}
+        self.stack: list[str] = []
+        self.rows: list[list[list[str]]] = []
+        self.terms: list[tuple[str, list[str]]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = {k: v or "" for k, v in attrs}
+        if tag == "meta":
+            key = (a.get("name") or a.get("property") or "").lower()
+            if key == "description" or key.startswith("og:"):
+                self.named.setdefault("meta", []).append(a.get("content", ""))
+        if tag in VOID:
+            return
+        self.stack.append(tag)
+        self.hidden += tag in self.drops
+        self.within += tag in self.inside or a.get("role") == "main"
+        if tag == "a":
+            self.links.append((a.get("href", ""), []))
+            self.open_link = True
+        elif tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th") and self.rows:
+            self.rows[-1].append([])
+        elif tag in ("dt", "dd"):
+            self.terms.append((tag, []))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag not in self.stack:
+            return
+        while self.stack:
+            last = self.stack.pop()
+            self.hidden -= last in self.drops and self.hidden > 0
+            self.within -= last in self.inside and self.within > 0
+            if last == "a":
+                self.open_link = False
+            if last == tag:
+                break
+
+    def handle_data(self, data: str) -> None:
+        top = self.stack[-1] if self.stack else ""
+        if top in ("title", "h1", "h2"):
+            self.named.setdefault(top, []).append(data)
+        if self.open_link and self.links:
+            self.links[-1][1].append(data)
+        if self.rows and self.rows[-1] and "tr" in self.stack:
+            self.rows[-1][-1].append(data)
+        if self.terms and ("dt" in self.stack or "dd" in self.stack):
+            self.terms[-1][1].append(data)
+        if not self.hidden:
+            self.text.append(data)
+            if self.within:
+                self.main.append(data)
+
+
+def _walk(html: str | None, **how) -> _Walker:
+    w = _Walker(**how)
+    w.feed(html or "")
+    w.close()
+    return w
+
+
+def squeeze(parts: list[str]) -> str:
+    return " ".join(" ".join(parts).split())
+
+
+def _mapped(kind: str, fn: Callable) -> Callable[[Column], Column]:
+    @F.pandas_udf(kind)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(fn, na_action=None)
+
+    return run
+
+
+def visible_text(html: Column) -> Column:
+    return _mapped("string", lambda h: squeeze(_walk(h).text))(html)
+
+
+def article_text(html: Column) -> Column:
+    """Text of <article> or the main role where there is one, else of the page."""
+
+    def one(h: str | None) -> str:
+        w = _walk(h, drops=ARTICLE_DROPS, inside=("article",))
+        return squeeze(w.main or w.text)
+
+    return _mapped("string", one)(html)
+
+
+def extract_links(html: Column) -> Column:
+    return _mapped(LINKS, lambda h: [{"href": a, "text": squeeze(t)} for a, t in _walk(h, drops=()).links])(html)
+
+
+def headline_text(html: Column) -> Column:
+    """Title, description and og: contents, h1 and h2, one a line."""
+    return _mapped("string", lambda h: "\n".join(x for k in ("title", "meta", "h1", "h2") for x in _walk(h, drops=()).named.get(k, [])))(html)
+
+
+def job_text(html: Column) -> Column:
+    """Visible text and the description that some job boards embed as JSON."""
+
+    def one(h: str | None) -> str:
+        parts = [squeeze(_walk(h).text)]
+        if m := re.search(r'"descriptionPlainText"\s*:\s*("(?:[^"\\]|\\.)*")', h or ""):
+            parts.append(json.loads(m[1]))
+        if m := re.search(r'<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', h or "", re.DOTALL):
+            try:
+                stack = [json.loads(m[1])]
+            except ValueError:
+                stack = []
+            while stack:
+                x = stack.pop()
+                if isinstance(x, dict):
+                    if isinstance(x.get("currentJob"), dict):
+                        parts.append(squeeze(_walk(x["currentJob"].get("description") or "").text))
+                    stack.extend(x.values())
+                elif isinstance(x, list):
+                    stack.extend(x)
+        return "\n".join(p for p in parts if p)
+
+    return _mapped("string", one)(html)
+
+
+def subprocessor_rows(html: Column) -> Column:
+    """Vendor rows of a subprocessor page: table rows, else definition lists; pages without the term give none."""
+
+    def one(h: str | None) -> list[dict]:
+        w = _walk(h, drops=("script", "style"))
+        if "subprocessor" not in squeeze(w.text).lower().replace("-", ""):
+            return []
+        rows = [[squeeze(c) for c in r] for r in w.rows if len(r) > 1]
+        head = [c.lower() for c in rows[0]] if rows else []
+        find = lambda *names: next((i for i, c in enumerate(head) if any(n in c for n in names)), None)
+        name, purpose, place = find("name", "vendor", "subprocessor", "entity", "company"), find("purpose", "service", "function", "description"), find("location", "country", "region")
+        has_head = name is not None
+        name, purpose = (name or 0), (1 if purpose is None else purpose)
+        cell = lambda r, i: r[i] if i is not None and i < len(r) else ""
+        out = [{"name": cell(r, name), "purpose": cell(r, purpose), "location": cell(r, place)} for r in rows[has_head:] if cell(r, name)]
+        if out:
+            return out
+        for tag, text in w.terms:
+            if tag == "dt":
+                out.append({"name": squeeze(text), "purpose": "", "location": ""})
+            elif out and not out[-1]["purpose"]:
+                out[-1]["purpose"] = squeeze(text)
+        return out
+
+    return _mapped(VENDOR_ROWS, one)(html)
