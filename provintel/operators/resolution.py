@@ -35,7 +35,7 @@ def score_links(articles: DataFrame, skip: list[str] = rules.ARTICLE_SKIP_DOMAIN
     host = apex_domain(F.parse_url("l.href", F.lit("HOST")))
     flat = links.where(F.col("l.href").startswith("http")).select("startup_id", host.alias("apex"), "own", F.contains(F.lower("l.text"), F.col("name")).alias("anchor"), "slug")
     base = F.split("apex", r"\.")[0]
-    pattern = base.isin(list(prefixes)) | F.exists(F.array(*map(F.lit, prefixes)), lambda p: base == F.concat(p, F.col("slug"))) | F.col("apex").isin("") | (F.col("apex") == F.concat("slug", F.lit(".ai"))) | (F.col("apex") == F.concat("slug", F.lit(".io")))
+    pattern = F.exists(F.array(*map(F.lit, prefixes)), lambda p: base == F.concat(p, F.col("slug"))) | (F.col("apex") == F.concat("slug", F.lit(".ai"))) | (F.col("apex") == F.concat("slug", F.lit(".io")))
     usable = flat.where(is_valid_domain(F.col("apex")) & ~F.col("apex").isin(list(skip)) & (F.col("apex") != F.coalesce("own", F.lit(""))))
     return usable.groupBy("startup_id", "apex").agg(F.sum(F.col("anchor").cast("int")).alias("anchor_hits"), F.sum(pattern.cast("int")).alias("pattern_hits"), F.count("*").alias("freq"))
 
