@@ -3,10 +3,11 @@
 A document's set is its distinct shingles. Equal sets are one class, kept once. Of a class, one permutation of shingle
 hashes gives ``bins`` minima; empty bins borrow from a bin that a hash of (bin, attempt) picks (optimal densification).
 Sets of under ``SMALL`` shingles also get independent minima, as few filled bins vary much. ``rows`` bins make a band's
-bucket. In each bucket one hub is paired with the others, a star, and links are confirmed on full sets; buckets whose
-members are still in different components then take 3, 9, 27, ... hubs more, each only with members of other
-components, until every bucket is of one component or each of its cross-component pairs was tested. So no link is lost to
-the hub's choice, and pairs stay few unless a bucket holds many texts that are not alike.
+bucket. In each bucket one hub - the member with most company over all buckets, which in a family of copies is the one
+nearest to all - is compared with the others on full sets, a star. Comparisons also leave bit sketches of what a member
+lacks of its hub and what it adds. They bound from above what two members of a hub's family share, exactly, so of the
+members a hub did not link, only pairs that may reach the threshold are compared on full sets. Thus no link of a shared
+bucket is lost to the choice of hubs, and families of thousands do not give all their pairs.
 
 With 32 bands of 4, a pair at similarity 0.8 misses all buckets with probability 5e-8.
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..components import components
@@ -30,6 +31,8 @@ from .words import Words, column, mix, runs, signed, word_slices
 
 BINS, ROWS, SMALL = 128, 4, 64
 SIMILARITY, WORDS = 80, 5
+SKETCH = 256
+PAIR_SCHEMA = "a long, b long, n_a long, n_b long, both long, less array<long>, more array<long>"
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 _ATTEMPTS = 64
 _U = np.uint64
@@ -136,17 +139,46 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([column(w, "doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(hashes)))], names=["doc_id", "shingles"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For pairs of sets: common shingles, and bit sketches of what only the first and only the second has."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            part = batch.slice(k, 1000)
+            sets = [part.column(part.schema.get_field_index(c)) for c in ("set_of_a", "set_of_b")]
+            both, less, more = [], [], []
+            for i in range(part.num_rows):
+                x, y = (c[i].values.to_numpy().view(np.uint64) for c in sets)
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                common = x[at] == y
+                only = np.ones(len(x), dtype=bool)
+                only[at[common]] = False
+                both.append(int(common.sum()))
+                for out, rest in ((less, x[only]), (more, y[~common])):
+                    flags = np.zeros(SKETCH, dtype=bool)
+                    flags[(mix(rest) >> _U(64 - SKETCH.bit_length() + 1)).astype(np.int64)] = True
+                    out.append(np.packbits(flags).view(np.int64))
+            keep = [part.column(part.schema.get_field_index(c)) for c in ("a", "b")]
+            sizes = [pa.array([len(c[i].values) for i in range(part.num_rows)], pa.int64()) for c in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*keep, *sizes, pa.array(both, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (less, more))], names=["a", "b", "n_a", "n_b", "both", "less", "more"]
+            )
+
+
+def compare_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sets' sizes, how many shingles they share, and sketches of a without b (less) and b without a (more)."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_of_b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("set_of_a", "set_of_b"))
-    return joined.where(100 * both >= similarity * (F.size("set_of_a") + F.size("set_of_b") - both)).select("a", "b")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "set_of_a", "set_of_b").mapInArrow(_compare, PAIR_SCHEMA)
 
 
-def _plausible(n: str, m: str, similarity: int):
-    return (100 * F.least(F.col(n), F.col(m)) >= similarity * F.greatest(F.col(n), F.col(m)))
+def _similar(both: Column, n: Column, m: Column, similarity: int) -> Column:
+    return (100 + similarity) * both >= similarity * (n + m)
+
+
+def _alone(x: str, y: str) -> Column:
+    """Bits of sketch x that y lacks; each stands for an element, or more, that only x has."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(1, SKETCH // 64)), F.bit_count(F.get(x, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(0))))))
+    return alone
 
 
 def near_duplicates(documents: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -154,33 +186,39 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, similarity: int = S
     signed_docs = materialize(documents.select("doc_id", "text").mapInArrow(lambda b: _signatures(b, size, bins, rows), SIGNATURE_SCHEMA), "signatures")
     linkable = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
     real = signed_docs.where(linkable)
-    classes = materialize(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("node", "n", F.explode(F.array_distinct("bands")).alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", "hub")
-    crowded = materialize(members.join(hubs, "bucket").select("bucket", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "crowded")
-    involved = crowded.select("node").distinct()
-    texts = documents.select("doc_id", "text").join(broadcast_if_small(involved.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(lambda b: _sets(b, size), "doc_id long, shingles array<long>").groupBy(F.col("doc_id").alias("node")).agg(F.first("shingles").alias("shingles")), "sets")
-    stars = crowded.where((F.col("node") != F.col("hub")) & _plausible("n", "hub_n", similarity)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_confirm(stars, sets, similarity), "links")
+    classes = materialize(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
+    members = classes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    crowded = materialize(members.join(shared, "bucket"), "crowded")
+    # The hub of a bucket is its member with most company over all buckets: of a family of copies, the one nearest to all.
+    company = crowded.groupBy("node").agg(F.sum("members").alias("company"))
+    ranked = crowded.join(company, "node").select("bucket", F.struct("company", (-F.col("node")).alias("minus")).alias("by"))
+    hubs = ranked.groupBy("bucket").agg((-F.max("by")["minus"]).alias("hub"))
+    stars = materialize(crowded.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    involved = broadcast_if_small(crowded.select(F.col("node").alias("doc_id")).distinct())
+    texts = documents.select("doc_id", "text").join(involved, "doc_id", "left_semi")
+    sets = texts.mapInArrow(lambda b: _sets(b, size), "doc_id long, shingles array<long>").groupBy(F.col("doc_id").alias("node")).agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets, "sets")
+    family = materialize(compare_sets(stars, sets), "family")
+    links = family.where(_similar(F.col("both"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
     found = components(links)
-    asked, first, many = links, 1, 3
-    while True:
-        placed = crowded.select("bucket", "node", "n").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-        split = split.where((F.col("low") < F.col("high")) & (F.col("members") > first)).select("bucket")
-        ranked = materialize(placed.join(split, "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1), "unresolved")
-        if ranked.isEmpty():
-            break
-        next_hubs = ranked.where((F.col("rank") >= first) & (F.col("rank") < first + many)).select("bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "component", "rank")])
-        pairs = ranked.join(next_hubs, "bucket").where((F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component")) & _plausible("n", "hub_n", similarity))
-        more = materialize(_confirm(pairs.select(F.col("hub_node").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity), "links")
-        first, many = first + many, 3 * many
-        if not more.isEmpty():
-            asked = asked.unionByName(more)
-            found = components(asked)
+    # Members that their hub did not link: sketches against the hub bound what two of them, or one and a linked one, share.
+    label = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
+    known = family.join(label("a"), "a", "left").join(label("b"), "b", "left").select(
+        "a", "b", F.coalesce("a_c", "a").alias("a_c"), F.coalesce("b_c", "b").alias("b_c"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "both", "less", "more"
+    )
+    out = known.where("a_c <> b_c").select("a", *[F.col(c).alias(f"x_{c}") for c in ("b", "b_c", "n", "both", "less", "more")])
+    joined_less = F.col("n_hub") - F.col("x_both") - _alone("x_less", "less")  # removals the two may share
+    joined_more = F.col("x_n") - F.col("x_both") - _alone("x_more", "more")  # additions the two may share
+    most = F.col("x_both") + F.col("both") - F.col("n_hub") + joined_less + joined_more
+    twice = (F.col("b_c") == F.col("a_c")) | (F.col("x_b") < F.col("b"))
+    maybe = known.join(out, "a").where((F.col("x_b_c") != F.col("b_c")) & twice & _similar(most, F.col("x_n"), F.col("n"), similarity))
+    pairs = materialize(maybe.select(F.col("x_b").alias("a"), "b").distinct(), "pairs")
+    if not pairs.isEmpty():
+        more_links = materialize(compare_sets(pairs, sets).where(_similar(F.col("both"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"), "links")
+        found = components(links.unionByName(more_links))
     of_class = classes.select("set_a", "set_b", "node").join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    out = real.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"])
+    linked = real.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"])
     empty = signed_docs.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-    every = out.select("doc_id", "n_shingles", "component").unionByName(empty)
+    every = linked.select("doc_id", "n_shingles", "component").unionByName(empty)
     return every.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
