@@ -14,6 +14,8 @@ packed each; no documents give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,41 +27,52 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 CAPACITY, UNIT, END_ID = 4096, 8, 2
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 800_000
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, n_cut long"
 
 
-class ChunkIds(dict):
-    """Ids of space-free chunks as little-endian unsigned 32-bit bytes, cached up to a number of chunks.
+class ChunkIds:
+    """Ids of texts as little-endian unsigned 32-bit bytes, by space-free chunks that are cached up to a number of chunks.
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its chunks in turn. A chunk
-    of Latin-1 letters and then ASCII punctuation is two tokens of the tokenizer's own split, which drops case; it is
-    looked up in those parts.
+    of Latin-1 letters and then ASCII punctuation is two tokens of the tokenizer's own split, which drops case; it is put
+    together from those parts. What isn't cached yet is encoded in one call.
     """
 
     def __init__(self, path: str, most: int = CACHED_CHUNKS):
-        import os
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.most = Tokenizer.from_file(path).encode, most
+        self.encode, self.most, self.known = Tokenizer.from_file(path).encode, most, {"": b""}
         self.split = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        m = self.split(chunk)
-        if m and (m[2] or not chunk.islower()):
-            ids = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
-        else:
-            ids = np.array(self.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[chunk] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def learn(self, chunks: set[str]) -> None:
+        if len(self.known) + len(chunks) > self.most:
+            self.known = {"": b""}
+        new, parts, plain = chunks.difference(self.known), {}, set()
+        for c in new:
+            m = self.split(c)
+            if m and (m[2] or not c.islower()):
+                parts[c] = m[1].lower(), m[2]
+                plain.update(parts[c])
+            else:
+                plain.add(c)
+        words = list(plain.difference(self.known))
+        if words:
+            found = self.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(words)), side="right").tolist()
+            at = 0
+            for w, end in zip(words, ends, strict=True):
+                self.known[w] = ids[4 * at : 4 * end]
+                at = end
+        for c, (letters, marks) in parts.items():
+            self.known[c] = self.known[letters] + self.known[marks]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 
 def cut_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -71,10 +84,10 @@ def cut_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = ChunkIds(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, out = batch.slice(at, 500), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = ids_of.text(text or "") + end
+            for at in range(0, batch.num_rows, 250):
+                part, out = batch.slice(at, 250), []
+                for doc, ids in zip(part.column(0).to_pylist(), ids_of.texts([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    ids += end
                     n = len(ids) // 4
                     for k, start in enumerate(range(0, n, capacity)):
                         piece = ids[4 * start : 4 * (start + capacity)]
