@@ -127,8 +127,8 @@ def apex_domain(host: Column, multi_part: list[str] = rules.MULTI_PART_TLDS) ->
 def extract_domain(text: Column) -> Column:
     """First valid host of a URL, else the first valid bare domain with a listed ending."""
     low = F.lower(text)
-    urls = F.filter(F.regexp_extract_all(low, F.lit(r"https?://([a-z0-9-]+\.[a-z]{2,})"), F.lit(1)), is_valid_domain)
-    bare = F.filter(F.regexp_extract_all(low, F.lit(rf"\b([a-z0-9-]+\.(?:{BARE_TLDS}))\b"), F.lit(1)), is_valid_domain)
+    urls = F.filter(F.regexp_extract_all(low, F.lit(r"https?://([a-z0-9-]+\.[a-z]{2,})"), F.lit(1)), lambda x: is_valid_domain(x))
+    bare = F.filter(F.regexp_extract_all(low, F.lit(rf"\b([a-z0-9-]+\.(?:{BARE_TLDS}))\b"), F.lit(1)), lambda x: is_valid_domain(x))
     return F.coalesce(F.get(urls, F.lit(0)), F.get(bare, F.lit(0)))
 
 
