@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 NEW, REPEAT, UNCLEAR = range(3)
 _NAMES = ["doc", "key", "check", "pos", "len", "off"]
 ENTRY_SCHEMA = "bucket long, kind int, " + ", ".join(f"{n} array<long>" for n in _NAMES)
-STRETCH_SCHEMA = "meet long, doc long, pos long, piece binary"
+STRETCH_SCHEMA = "meet long, doc long, pos long, at long, piece binary"
 SPAN_SCHEMA = "doc_id long, pos long, len long"
 CUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, "
 
@@ -118,15 +118,15 @@ def _emit(n: int, group: list[int], before: list[int]) -> list[int]:
     return out
 
 
-def repeated_places(pieces: list[bytes], width: int) -> list[np.ndarray]:
-    """For each piece, the starts of width-byte strings that occur at another place of the pieces too."""
+def repeated_places(pieces: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """For each piece of symbols, the starts of strings of width symbols that occur at another place of the pieces too."""
     lengths = np.array([len(p) for p in pieces])
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    data = np.concatenate(pieces)
     n = len(pieces)
     ends = np.cumsum(lengths)
     at = np.arange(len(data)) + np.repeat(np.arange(n), lengths)
     symbols = np.empty(len(data) + n, dtype=np.int64)
-    symbols[at] = data.astype(np.int64) + n
+    symbols[at] = data + n
     symbols[ends + np.arange(n)] = np.arange(n - 1, -1, -1)  # a mark of its own ends each piece; the last is the least
     sa = suffix_array(symbols)
     owner = np.repeat(np.arange(n), lengths + 1)
@@ -258,42 +258,57 @@ def _map_sides(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iter
         prefix, (_, down) = byte_prefix(data), powers(len(data) + 1)
         start = offsets[row] + pos
         raw = data.tobytes()
-        for side, a, has in ((1, start + off + gram, size - off - gram >= half), (2, start + off - half, off >= half)):
+        for side, block, has in ((1, off, size - off - gram >= half), (2, off - half, off >= half)):
             pick = np.flatnonzero(has)
             if len(pick):
-                a = a[pick]
+                # Strings that hold the whole block (anchor and half) start at most half before it.
+                block, begin = block[pick], np.maximum(block[pick] - half, 0)
+                a = start[pick] + (off[pick] + gram if side == 1 else block)
                 meet = mix(key[pick].view(np.uint64) ^ mix((prefix[a + half] - prefix[a]) * down[a] + np.uint64(side)))
-                pieces = [raw[s:e] for s, e in zip(start[pick].tolist(), (start + size)[pick].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(meet)), pa.array(doc[pick]), pa.array(pos[pick]), pa.array(pieces, pa.binary())], names=["meet", "doc", "pos", "piece"])
-
-
-def _find_shared(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by meet; pieces that met others go into arrays of about CHUNK bytes, whole groups at a time."""
-
-    def solved(todo: list[tuple]) -> Iterator[pa.RecordBatch]:
-        todo = list({x[1:3]: x for x in todo}.values())  # a stretch can have met others on both sides
-        doc, pos = [], []
-        for (_, d, p, _), places in zip(todo, repeated_places([x[3] for x in todo], width), strict=True):
-            if len(places):
-                doc.append(np.full(len(places), d))
-                pos.append(places + p)
-        if doc:
-            d, p = np.concatenate(doc), np.concatenate(pos)
+                ends = np.minimum(block + width, size[pick])
+                pieces = [raw[s:e] for s, e in zip((start[pick] + begin).tolist(), (start[pick] + ends).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(meet)), pa.array(doc[pick]), pa.array(pos[pick] + begin), pa.array(block - begin), pa.array(pieces, pa.binary())], names=["meet", "doc", "pos", "at", "piece"]
+                )
+
+
+def _find_shared(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by meet; pieces that met others go into arrays of about CHUNK symbols, whole groups at a time.
+
+    All pieces of a group hold one and the same block, which every string in question holds whole; it becomes one symbol.
+    """
+    block = gram + (width - gram) // 2
+
+    def solved(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        pieces, rows = [], []
+        for k, group in enumerate(groups):
+            for row in group:
+                left, right = (np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in (row[4][: row[3]], row[4][row[3] + block :]))
+                pieces.append(np.concatenate([left, [256 + k], right]))
+                rows.append(row)
+        found = [(row[1], places + row[2]) for row, places in zip(rows, repeated_places(pieces, width - block + 1), strict=True) if len(places)]
+        if found:
+            d, p = np.concatenate([np.full(len(p), d) for d, p in found]), np.concatenate([p for _, p in found])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merge_spans(d, p, np.full(len(d), width))], names=["doc_id", "pos", "len"])
 
+    def met(rows: list[tuple]) -> list[list[tuple]]:
+        """Groups of two or more by the block's bytes, as equal hashes could differ."""
+        by: dict[bytes, list[tuple]] = {}
+        for row in rows:
+            by.setdefault(row[4][row[3] : row[3] + block], []).append(row)
+        return [g for g in by.values() if len(g) > 1]
+
     todo, group, held = [], [], 0
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if group and group[0][0] != row[0]:
-                if len(group) > 1:
-                    todo, held = todo + group, held + sum(len(x[3]) for x in group)
-                    if held >= CHUNK:
-                        yield from solved(todo)
-                        todo, held = [], 0
-                group = []
+                more = met(group) if len(group) > 1 else []
+                todo, held, group = todo + more, held + sum(len(x[4]) - block + 1 for g in more for x in g), []
+                if held >= CHUNK:
+                    yield from solved(todo)
+                    todo, held = [], 0
             group.append(row)
-    if len(group) > 1:
-        todo = todo + group
+    todo = todo + (met(group) if len(group) > 1 else [])
     if todo:
         yield from solved(todo)
 
@@ -332,7 +347,7 @@ def suffix_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, dig
     unclear = materialize(unclear.groupBy(F.col("e.doc").alias("doc_id")).agg(F.collect_list(F.struct("e.pos", "e.len", "e.off", "e.key")).alias("spans")), "unclear")
     some = texts.join(broadcast_if_small(unclear.select("doc_id")), "doc_id", "left_semi").join(unclear, "doc_id")
     met = some.mapInArrow(lambda b: _map_sides(b, width, gram), STRETCH_SCHEMA).repartition("meet").sortWithinPartitions("meet", "doc", "pos")
-    shared = met.mapInArrow(lambda b: _find_shared(b, width), SPAN_SCHEMA)
+    shared = met.mapInArrow(lambda b: _find_shared(b, width, gram), SPAN_SCHEMA)
     whole = found.where(F.col("kind") == REPEAT).select(F.explode(F.arrays_zip("doc", "pos", "len")).alias("e")).select(F.col("e.doc").alias("doc_id"), "e.pos", "e.len")
     spans = materialize(whole.unionByName(shared).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len")).alias("spans")), "spans")
     schema = CUT_SCHEMA + ("kept_sha256 string" if digest else "kept_text string")
