@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 CAPACITY, UNIT, END_ID = 4096, 8, 2
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 1_000_000
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, n_cut long"
 
 
@@ -75,6 +76,12 @@ class ChunkIds:
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 
+@lru_cache(maxsize=1)
+def _shared_ids(path: str) -> ChunkIds:
+    """One cache per Python worker, kept over its tasks."""
+    return ChunkIds(path)
+
+
 def cut_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: full pieces first, then the remainder."""
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -82,7 +89,7 @@ def cut_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "n_cut"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = ChunkIds(tokenizer)
+        ids_of = _shared_ids(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part, out = batch.slice(at, 250), []
