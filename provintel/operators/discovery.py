@@ -164,3 +164,14 @@ def link_startup(rows: DataFrame, startups: DataFrame) -> DataFrame:
     b = startups.select(F.lower("website").alias("_site2"), F.col("id").alias("_id2"))
     joined = rows.withColumn("_w", site).withColumn("_o", other).join(a, F.col("_w") == F.col("_site"), "left").join(b, F.col("_o") == F.col("_site2"), "left")
     return joined.withColumn("startup_id", F.coalesce("_id", "_id2")).drop("_w", "_o", "_site", "_site2", "_id", "_id2")
+
+
+def cap_articles(articles: DataFrame, n: int) -> DataFrame:
+    return articles.orderBy("ord").limit(n)
+
+
+def backfill_pick(snapshots: DataFrame, articles: DataFrame) -> DataFrame:
+    """Newest snapshot without a vertical per startup, and the longest article text (startup_id, body) to classify it by."""
+    todo = _first(snapshots.where(F.col("vertical").isNull()), ["startup_id"], [F.desc("snapshot_date")])
+    longest = articles.groupBy("startup_id").agg(F.max_by("body", F.length("body")).alias("article_text"))
+    return todo.join(longest, "startup_id", "left")

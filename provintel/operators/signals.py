@@ -259,3 +259,21 @@ def relevance_filter(items: DataFrame, replies: DataFrame) -> DataFrame:
     decisions = F.from_json(F.regexp_extract("raw", r"(?s)(\[.*\])", 1), "array<struct<index: int, keep: boolean>>")
     dropped = replies.select("startup_id", F.explode(decisions).alias("d")).where("d.keep = false").select("startup_id", F.col("d.index").alias("item_no"))
     return items.join(dropped, ["startup_id", "item_no"], "left_anti")
+
+
+JOB_BOARDS = ("greenhouse.io", "lever.co", "ashbyhq.com", "workable.com", "smartrecruiters.com")
+
+
+def job_board_links(pages: DataFrame, boards: tuple[str, ...] = JOB_BOARDS) -> DataFrame:
+    """(startup_id, url, title, ord) of posts an index page (startup_id, url, html) points to: deeper links of its own board, links to known boards, sitemap locations below it."""
+    links = pages.select("startup_id", F.col("url").alias("index"), F.posexplode(html.extract_links(F.col("html"))).alias("ord", "l"))
+    host = lambda c: F.regexp_replace(F.lower(F.parse_url(c, F.lit("HOST"))), r"^www\.", "")
+    href = F.when(F.col("l.href").startswith("/"), F.concat(F.regexp_extract("index", r"^(https?://[^/]+)", 1), F.col("l.href"))).otherwise(F.col("l.href"))
+    seen = links.withColumn("href", href).where(F.col("href").startswith("http"))
+    deeper = (host("href") == host("index")) & F.startswith("href", F.regexp_replace("index", "/+$", "")) & (F.length("href") > F.length("index") + 1)
+    known = F.exists(F.array(*map(F.lit, boards)), lambda b: F.endswith(host("href"), b))
+    anchors = seen.where(deeper | known).select("startup_id", F.col("href").alias("url"), F.col("l.text").alias("title"), "ord")
+    locs = pages.select("startup_id", F.col("url").alias("index"), F.posexplode(F.regexp_extract_all("html", F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))).alias("ord", "url"))
+    mapped = locs.where(host("url") == host("index")).select("startup_id", "url", F.lit(None).cast("string").alias("title"), "ord")
+    every = anchors.unionByName(mapped)
+    return every.withColumn("_n", F.row_number().over(Window.partitionBy("startup_id", "url").orderBy("ord"))).where("_n = 1").drop("_n")

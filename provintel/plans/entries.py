@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import html as H
+from ..functions import sentences as SE
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import discovery as D
 from ..operators import engagement as K
 from ..operators import scoring as S
+from ..operators import signals as G
 from ..sources import upsert as U
 from . import bindings as B
 
@@ -422,6 +425,80 @@ def d2_dedup_titles(spark, d):
     return D.dedup_titles(B.articles(spark, d)).select("article_id")
 
 
+@query("SELECT c_custkey AS id, upper(c_name[1:1]) || lower(c_name[2:]) AS name FROM customer")
+def p9_company_name(spark, d):
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.normalize_company_name(F.col("c_name")).alias("name"))
+
+
+@query("SELECT o_orderpriority AS said, upper(trim(o_orderpriority)) AS round, count(*) AS n FROM orders GROUP BY 1, 2")
+def p8_normalize_round(spark, d):
+    o = _table(spark, d, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("said"), T.normalize_round(F.col("o_orderpriority")).alias("round")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT page_id, CASE WHEN regexp_matches(h, '^[a-z0-9-]+\\.[a-z]{2,}$') THEN h END AS domain FROM (SELECT page_id, lower(trim(split_part(regexp_replace(url, 'https?://', ''), '/', 1))) AS h FROM pages)"
+)
+def p7_clean_website(spark, d):
+    return _table(spark, d, "pages").select("page_id", T.clean_website_startup(F.col("url")).alias("domain"))
+
+
+@query("SELECT page_id, CASE WHEN len(p) >= 2 THEN p[-2] || '.' || p[-1] ELSE h END AS apex FROM (SELECT *, string_split(h, '.') AS p FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS h FROM pages))")
+def p11_apex_domain(spark, d):
+    return _table(spark, d, "pages").select("page_id", T.apex_domain(F.parse_url("url", F.lit("HOST"))).alias("apex"))
+
+
+@query()
+def t1_visible_text(spark, d):
+    return _table(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
+
+
+@query()
+def t2_extract_links(spark, d):
+    links = _table(spark, d, "pages").select("page_id", F.posexplode(H.extract_links(F.col("html"))).alias("place", "l"))
+    return links.select("page_id", "place", "l.href", "l.text")
+
+
+@query()
+def t6_job_sentences(spark, d):
+    hits = _table(spark, d, "documents").select("doc_id", F.explode(SE.job_hits(F.col("text"), WORDS, ("C",))).alias("h"))
+    return hits.select("doc_id", "h.provider_name", F.array_join("h.keywords", ",").alias("keywords"), "h.is_primary")
+
+
+@query()
+def t7_site_sentences(spark, d):
+    hits = _table(spark, d, "documents").select("doc_id", F.explode(SE.site_hits(F.col("text"), WORDS)).alias("h"))
+    return hits.select("doc_id", "h.provider_name", F.array_join("h.keywords", ",").alias("keywords"), "h.is_ownership")
+
+
+TERMS = [(" the ", "cloud", "A", 1.0), ("and", "cloud", "A", 0.5), (" la ", "cloud", "B", 1.0), ("en", "ai", "C", 0.6)]
+
+
+@query(
+    "SELECT id, provider_name, term, multiplier FROM (SELECT article_id AS id, ' ' || lower(title) || '  ' AS t FROM articles), (VALUES (0, ' the ', 'A', 1.0::DOUBLE), (1, 'and', 'A', 0.5::DOUBLE), (2, ' la ', 'B', 1.0::DOUBLE), (3, 'en', 'C', 0.6::DOUBLE)) v(o, term, provider_name, multiplier) "
+    "WHERE contains(t, term) QUALIFY row_number() OVER (PARTITION BY id, provider_name ORDER BY o) = 1",
+    "articles",
+)
+def t8_term_classify(spark, d):
+    rows = B.articles(spark, d).select(F.col("article_id").alias("id"), "title", "summary", F.lit("zzzz").alias("company"), F.lit(None).cast("string").alias("domain"))
+    return T.term_classify(rows, TERMS).select("id", "provider_name", "term", "multiplier")
+
+
+@query("SELECT c_custkey AS startup_id, CASE WHEN c_custkey % 2 = 0 THEN 'GCP' ELSE 'Azure' END AS provider_name FROM customer WHERE c_custkey % 5 <> 4")
+def g16_investor_priors(spark, d):
+    c = _table(spark, d, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 5 = 4 THEN array('Sequoia') WHEN c_custkey % 2 = 0 THEN array('Sequoia', 'GV', 'Google') ELSE array('M12') END AS lead_investors")
+    return G.investor_priors(c).select("startup_id", "provider_name")
+
+
+@query(
+    "SELECT s_suppkey AS startup_id, CASE WHEN s_suppkey % 2 = 0 THEN 'AWS' ELSE 'GCP' END AS provider_name FROM supplier WHERE s_suppkey % 3 <> 0"
+)
+def g15_ip_ranges(spark, d):
+    hosts = _table(spark, d, "supplier").selectExpr("s_suppkey AS startup_id", "CASE WHEN s_suppkey % 3 = 0 THEN '192.168.0.1' WHEN s_suppkey % 2 = 0 THEN concat('52.', s_suppkey % 30, '.0.9') ELSE concat('34.64.', s_suppkey % 200, '.1') END AS ip")
+    nets = spark.createDataFrame([("AWS", "52.0.0.0/11", 0), ("GCP", "34.64.0.0/10", 1)], "provider string, cidr string, prio int")
+    return G.ip_ranges(hosts, nets, hosts.select("startup_id").limit(0)).select("startup_id", "provider_name")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
