@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 CAPACITY, UNIT, END_ID = 4096, 8, 2
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 400_000
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, n_cut long"
 
 
@@ -37,19 +37,21 @@ class ChunkIds:
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its chunks in turn. A chunk
     of Latin-1 letters and then ASCII punctuation is two tokens of the tokenizer's own split, which drops case; it is put
-    together from those parts. What isn't cached yet is encoded in one call.
+    together from those parts. What isn't cached yet is encoded in one call. The cache has two generations of at most half
+    the chunks: when the younger is full the older goes, and what is met again moves to the younger.
     """
 
     def __init__(self, path: str, most: int = CACHED_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.most, self.known = Tokenizer.from_file(path).encode, most, {"": b""}
+        self.encode, self.most, self.known, self.older = Tokenizer.from_file(path).encode, most // 2, {"": b""}, {}
         self.split = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > self.most:
-            self.known = {"": b""}
+            self.known, self.older = {"": b""}, self.known
+        self._recall(chunks)
         new, parts, plain = chunks.difference(self.known), {}, set()
         for c in new:
             m = self.split(c)
@@ -58,6 +60,7 @@ class ChunkIds:
                 plain.update(parts[c])
             else:
                 plain.add(c)
+        self._recall(plain)
         words = list(plain.difference(self.known))
         if words:
             found = self.encode(words, is_pretokenized=True, add_special_tokens=False)
@@ -70,6 +73,9 @@ class ChunkIds:
         for c, (letters, marks) in parts.items():
             self.known[c] = self.known[letters] + self.known[marks]
 
+    def _recall(self, chunks: set[str]) -> None:
+        self.known.update((c, self.older[c]) for c in chunks.difference(self.known) if c in self.older)
+
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         self.learn(set().union(*split))
