@@ -1,15 +1,16 @@
 """Language-model scoring: a hashed maximum-entropy model with class-factored softmax, trained by distributed updates.
 
-Tokens are counted over all training documents. The most frequent ``HEAD`` are words of their own, in classes by rank;
+Tokens are counted over all training documents. The most frequent are words of their own, in classes by rank (``Sizes``);
 every other token belongs to a rare class by its last two bytes, and within that class has its add-one share. A token's
 log probability is log P(class | context) plus log P(word | class, context): softmaxes over sums of weights of the active
 features. Features are the previous token, two skip features (two and three back), and the hashed pair of the previous
 two; tokens that aren't words of their own stand for their rare class. The probabilities of all known tokens and one
 unknown token a rare class sum to 1.
 
-Weights start at the counts' log shares and are fitted in rounds on a hashed sample of at most about ``TRAIN_DOCS``
-documents: every task runs sparse AdaGrad steps from the broadcast weights and the tasks' changes are averaged by block.
-Counts, rare-class totals and scores cover every document. Counts of the ``FREQUENT`` most frequent tokens are broadcast;
+Weights start at the counts' log shares and are fitted in rounds on every training document, each seen once: every task
+runs sparse AdaGrad steps from the broadcast weights, and a row of weights moves by the mean of the tasks' changes to it,
+each weighted by how often the task met that row. Tasks follow the number of tokens; words of their own and hashed pairs
+follow the number of distinct tokens. Counts, rare-class totals and scores cover every document. Counts of the ``FREQUENT`` most frequent tokens are broadcast;
 all others are looked up by a join on the token's 64-bit hash.
 
 Defined cases: null text is empty and scores its end token; without training documents every token is unknown; ties of
@@ -19,6 +20,7 @@ counts go to the smaller hash; repeated rows are scored each; extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,41 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .words import Words, column, mix, signed, word_slices
 
-CLASSES, PER_CLASS, RARE = 16, 64, 32
-HEAD = CLASSES * PER_CLASS
-SYMBOLS = HEAD + RARE + 1  # the last is "before the text"
-PAIRS = 1 << 13
+RARE = 32
 FREQUENT = 200_000
-TRAIN_DOCS, ROUNDS, TASKS, BATCH, RATE = 30_000, 3, 12, 8192, 0.1
-BLOCK = 1 << 16
-OUT = CLASSES + RARE
+ROUNDS, TASKS, TASK_TOKENS, BATCH, RATE = 3, 12, 16_000_000, 16384, 0.1
+BLOCK = 512  # rows of a table that are averaged together
 END = np.uint64(0x27D4EB2F165667C5)
-SHAPES = [(SYMBOLS, OUT), (SYMBOLS, OUT), (SYMBOLS, OUT), (PAIRS, OUT), (SYMBOLS * CLASSES, PER_CLASS)]
+
+
+class Sizes(NamedTuple):
+    """Classes of words of their own, words in each, and hashed pairs."""
+
+    classes: int
+    per_class: int
+    pairs: int
+
+    @property
+    def head(self) -> int:
+        return self.classes * self.per_class
+
+    @property
+    def symbols(self) -> int:
+        return self.head + RARE + 1  # the last is "before the text"
+
+    @property
+    def out(self) -> int:
+        return self.classes + RARE
+
+    @property
+    def shapes(self) -> list[tuple[int, int]]:
+        return [(self.symbols, self.out)] * 3 + [(self.pairs, self.out), (self.symbols * self.classes, self.per_class)]
+
+
+def sizes(distinct: int) -> Sizes:
+    """From a million distinct tokens on, pairs double with every fourfold and words of their own with every eightfold."""
+    grown = max(0, int(distinct).bit_length() - 20)
+    return Sizes(16 << grown // 6, 64 << (grown + 3) // 6, 1 << (13 + grown // 2))
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,12 +118,13 @@ class Vocabulary:
     """Head words and frequent tokens (sorted hashes), totals, and what rare classes add up to."""
 
     def __init__(self, head: np.ndarray, head_id: np.ndarray, frequent: np.ndarray, counts: np.ndarray, n: int, v: int, rare_total: np.ndarray):
+        self.sizes = sizes(v)
         self.head, self.head_id, self.frequent, self.counts, self.n, self.v = head, head_id, frequent, counts, n, v
         self.log_rare = np.log10(rare_total)
 
     def symbols(self, hashes: np.ndarray, rare: np.ndarray) -> np.ndarray:
         at = _lookup(self.head, hashes)
-        return np.where(at >= 0, self.head_id[at] if len(self.head) else 0, HEAD + rare)
+        return np.where(at >= 0, self.head_id[at] if len(self.head) else 0, self.sizes.head + rare)
 
 
 def count_tokens(training: DataFrame) -> DataFrame:
@@ -121,29 +149,30 @@ def make_vocabulary(counted: DataFrame, frequent: int = FREQUENT) -> tuple[Vocab
     by_rare = np.ones(RARE)
     for r in counted.groupBy("rare").agg(F.sum(F.col("n") + 1).alias("n")).collect():
         by_rare[r["rare"]] += r["n"]
-    head = min(HEAD, len(top))
+    size = sizes(int(totals["v"]))
+    head = min(size.head, len(top))
     np.subtract.at(by_rare, rare[:head], counts[:head] + 1.0)
     order = np.argsort(hashes[:head])
     all_order = np.argsort(hashes)
     vocabulary = Vocabulary(hashes[:head][order], order, hashes[all_order], counts[all_order], int(totals["n"] or 0), int(totals["v"]), by_rare)
-    words = np.full(HEAD, -30.0, dtype=np.float32)
+    words = np.full(size.head, -30.0, dtype=np.float32)
     words[:head] = np.log(counts[:head] + 1.0)
-    classes = np.full(OUT, -30.0, dtype=np.float32)
-    mass = np.exp(words.reshape(CLASSES, PER_CLASS).astype(float)).sum(axis=1)
-    classes[:CLASSES] = np.log(np.maximum(mass, 1e-13))
-    classes[CLASSES:] = np.log(by_rare)
+    classes = np.full(size.out, -30.0, dtype=np.float32)
+    mass = np.exp(words.reshape(size.classes, size.per_class).astype(float)).sum(axis=1)
+    classes[: size.classes] = np.log(np.maximum(mass, 1e-13))
+    classes[size.classes :] = np.log(by_rare)
     return vocabulary, np.concatenate([classes, words])
 
 
-def contexts(symbol: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+def contexts(symbol: np.ndarray, row: np.ndarray, size: Sizes) -> list[np.ndarray]:
     """Feature numbers of every token: previous, two back, three back, hashed pair."""
     out = []
     for k in (1, 2, 3):
-        back = np.full(len(symbol), SYMBOLS - 1)
+        back = np.full(len(symbol), size.symbols - 1)
         ok = np.flatnonzero(row[k:] == row[:-k]) + k if len(row) > k else np.zeros(0, np.int64)
         back[ok] = symbol[ok - k]
         out.append(back)
-    pair = mix((out[0] * SYMBOLS + out[1]).astype(np.uint64)) % np.uint64(PAIRS)
+    pair = mix((out[0] * size.symbols + out[1]).astype(np.uint64)) % np.uint64(size.pairs)
     return [*out, pair.astype(np.int64)]
 
 
@@ -154,25 +183,28 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _logits(tables: list[np.ndarray], bias: np.ndarray, ctx: list[np.ndarray], symbol: np.ndarray) -> tuple:
+def _logits(tables: list[np.ndarray], bias: np.ndarray, ctx: list[np.ndarray], symbol: np.ndarray, size: Sizes) -> tuple:
     """Class logits, wanted class, head tokens, their word logits, wanted word, and their rows in the last table."""
-    x = bias[:OUT] + tables[0][ctx[0]]
+    x = np.take(tables[0], ctx[0], axis=0)
+    x += bias[: size.out]
     for t, c in zip(tables[1:4], ctx[1:], strict=True):
-        x += t[c]
-    is_head = symbol < HEAD
-    wanted = np.where(is_head, symbol // PER_CLASS, symbol - HEAD + CLASSES)
+        x += np.take(t, c, axis=0)
+    is_head = symbol < size.head
+    wanted = np.where(is_head, symbol // size.per_class, symbol - size.head + size.classes)
     head = np.flatnonzero(is_head)
-    cls, word = symbol[head] // PER_CLASS, symbol[head] % PER_CLASS
-    rows = ctx[0][head] * CLASSES + cls
-    return x, wanted, head, tables[4][rows] + bias[OUT:].reshape(CLASSES, PER_CLASS)[cls], word, rows
+    cls, word = symbol[head] // size.per_class, symbol[head] % size.per_class
+    rows = ctx[0][head] * size.classes + cls
+    y = np.take(tables[4], rows, axis=0)
+    y += np.take(bias[size.out :].reshape(size.classes, size.per_class), cls, axis=0)
+    return x, wanted, head, y, word, rows
 
 
-def log_probabilities(tables: list[np.ndarray], bias: np.ndarray, ctx: list[np.ndarray], symbol: np.ndarray) -> np.ndarray:
+def log_probabilities(tables: list[np.ndarray], bias: np.ndarray, ctx: list[np.ndarray], symbol: np.ndarray, size: Sizes) -> np.ndarray:
     """Natural logs of P(class | context), times P(word | class, context) for head words."""
     out = np.empty(len(symbol))
     for i in range(0, len(symbol), 1 << 15):
         part = slice(i, i + (1 << 15))
-        x, wanted, head, y, word, _ = _logits(tables, bias, [c[part] for c in ctx], symbol[part])
+        x, wanted, head, y, word, _ = _logits(tables, bias, [c[part] for c in ctx], symbol[part], size)
         p = _softmax(x)[np.arange(len(wanted)), wanted].astype(float)
         if len(head):
             p[head] *= _softmax(y)[np.arange(len(word)), word]
@@ -180,64 +212,91 @@ def log_probabilities(tables: list[np.ndarray], bias: np.ndarray, ctx: list[np.n
     return out
 
 
-def _step(table: np.ndarray, square: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+def _step(table: np.ndarray, square: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """One AdaGrad step on the rows in use."""
-    order = np.argsort(rows, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], rows[order][1:] != rows[order][:-1]]))
-    g = np.add.reduceat(gradient[order], first, axis=0)
-    at = rows[order][first]
-    square[at] += g * g
-    table[at] -= rate * g / (np.sqrt(square[at]) + 1e-3)
+    order = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    g = np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0)
+    at = ordered[first]
+    seen[at] += np.diff(np.append(first, len(order)))
+    now = np.take(square, at, axis=0)
+    now += g * g
+    square[at] = now
+    np.sqrt(now, out=now)
+    now += 1e-3
+    g *= rate
+    g /= now
+    table[at] -= g
 
 
 def _train(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray], bias: np.ndarray, vocabulary: Vocabulary, rate: float) -> Iterator[pa.RecordBatch]:
     old, tables = tables, [t.copy() for t in tables]
     squares = [np.full_like(t, 0.1) for t in tables]
-    seen = 0
+    seen = [np.zeros(len(t), dtype=np.int64) for t in tables]
+    size = vocabulary.sizes
     for w in word_slices(batches, fold=True):
         row, hashes, rare = tokens(w)
         symbol = vocabulary.symbols(hashes, rare)
-        ctx = contexts(symbol, row)
-        seen += len(symbol)
+        ctx = contexts(symbol, row, size)
         for i in range(0, len(symbol), BATCH):
             part = slice(i, i + BATCH)
             now = [c[part] for c in ctx]
-            x, wanted, head, y, word, rows = _logits(tables, bias, now, symbol[part])
+            x, wanted, head, y, word, rows = _logits(tables, bias, now, symbol[part], size)
             g = _softmax(x)
             g[np.arange(len(wanted)), wanted] -= 1
             for k in range(4):
-                _step(tables[k], squares[k], now[k], g, rate)
+                _step(tables[k], squares[k], seen[k], now[k], g, rate)
             if len(head):
                 g = _softmax(y)
                 g[np.arange(len(word)), word] -= 1
-                _step(tables[4], squares[4], rows, g, rate)
-    if seen:
-        change = np.concatenate([(a - b).ravel() for a, b in zip(tables, old, strict=True)])
-        blocks = [change[i : i + BLOCK] for i in range(0, len(change), BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array(blocks, pa.list_(pa.float32()))], names=["block", "change"])
+                _step(tables[4], squares[4], seen[4], rows, g, rate)
+    for k, (a, b, n) in enumerate(zip(tables, old, seen, strict=True)):
+        rows = np.flatnonzero(n)
+        if len(rows):
+            block = rows // BLOCK
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            yield _blocks(k, block[first], np.append(first, len(rows)), rows % BLOCK, n[rows], a[rows] - b[rows])
+
+
+def _blocks(k: int, block: np.ndarray, cuts: np.ndarray, rows: np.ndarray, n: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    at, values = pa.array(cuts.astype(np.int32)), pa.array((cuts * change.shape[1]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int64))) for x in (rows, n)] + [pa.ListArray.from_arrays(values, pa.array(change.ravel().astype(np.float32)))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(block), k, dtype=np.int32)), pa.array(block.astype(np.int64)), *lists], names=["k", "block", "row", "n", "change"])
+
+
+CHANGE_SCHEMA = "k int, block long, row array<long>, n array<long>, change array<float>"
 
 
-def _averaged(parts):  # one block's changes of all tasks
-    return parts.iloc[:1].assign(change=[np.mean(np.stack(parts["change"].to_list()), axis=0)])
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's mean change by row, weighted by how often the tasks met the row; the blocks of a partition are held."""
+    held: dict[tuple, tuple] = {}
+    for batch in batches:
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            row, n, change = (batch.column(j)[i].values.to_numpy() for j in (2, 3, 4))
+            change = change.reshape(len(row), -1)
+            count, total = held.setdefault(key, (np.zeros(BLOCK, dtype=np.int64), np.zeros((BLOCK, change.shape[1]))))
+            count[row] += n
+            total[row] += n[:, None] * change
+    for (k, block), (count, total) in held.items():
+        row = np.flatnonzero(count)
+        yield _blocks(k, np.array([block]), np.array([0, len(row)]), row, count[row], total[row] / count[row, None])
 
 
-def train(training: DataFrame, vocabulary: Vocabulary, bias: np.ndarray, docs: int = TRAIN_DOCS, rounds: int = ROUNDS, tasks: int = TASKS, rate: float = RATE) -> list[np.ndarray]:
-    """Weights after some rounds, each over its share of the sample; the weights have a fixed size."""
+def train(training: DataFrame, vocabulary: Vocabulary, bias: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[np.ndarray]:
+    """Weights after some rounds, each over its share of all documents."""
     spark = training.sparkSession
-    n, million = training.count(), 1_000_000
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(million))
-    limit = int(min(1.0, docs / max(n, 1)) * million)
-    sample = materialize(training.select("text", place.alias("place")).where(F.col("place") < limit).repartition(tasks), "sample")
-    tables = [np.zeros(shape, dtype=np.float32) for shape in SHAPES]
+    tables = [np.zeros(shape, dtype=np.float32) for shape in vocabulary.sizes.shapes]
+    tasks = max(TASKS, vocabulary.n // TASK_TOKENS)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((tables, bias, vocabulary))
-        part = sample.where(F.col("place") % rounds == k).select("text")
-        changes = part.mapInArrow(lambda b, s=shared: _train(b, *s.value, rate), "block long, change array<float>")
-        mean = changes.groupBy("block").applyInPandas(_averaged, "block long, change array<float>").toPandas()
-        if len(mean):
-            flat = np.concatenate(mean.sort_values("block")["change"].to_list()).astype(np.float32)
-            cuts = np.cumsum([t.size for t in tables])[:-1]
-            tables = [t + c.reshape(t.shape) for t, c in zip(tables, np.split(flat, cuts), strict=True)]
+        part = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k).select("text").coalesce(tasks)
+        changes = part.mapInArrow(lambda b, s=shared: _train(b, *s.value, rate), CHANGE_SCHEMA)
+        mean = changes.repartition("k", "block").mapInArrow(_averaged, CHANGE_SCHEMA).toArrow()
+        for batch in mean.to_batches():
+            for i, (t, block) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                row, change = batch.column(2)[i].values.to_numpy(), batch.column(4)[i].values.to_numpy()
+                tables[t][block * BLOCK + row] += change.reshape(len(row), -1)
         shared.unpersist()
     return tables
 
@@ -249,11 +308,11 @@ def _score(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray], bias: np
         n = w.batch.num_rows
         row, hashes, rare = tokens(w)
         symbol = vocabulary.symbols(hashes, rare)
-        logs = log_probabilities(tables, bias, contexts(symbol, row), symbol) / np.log(10)
+        logs = log_probabilities(tables, bias, contexts(symbol, row, vocabulary.sizes), symbol, vocabulary.sizes) / np.log(10)
         at = _lookup(vocabulary.frequent, hashes)
         known = at >= 0
         count_log = np.where(known, np.log10((vocabulary.counts[at] if len(vocabulary.counts) else np.zeros(len(at))) + 1.0), 0.0)
-        is_rare = symbol >= HEAD
+        is_rare = symbol >= vocabulary.sizes.head
         score = logs + np.where(is_rare, count_log - vocabulary.log_rare[rare], 0.0)
         total = lambda x: np.bincount(row, weights=x, minlength=n)
         other = np.flatnonzero(~known)
@@ -280,7 +339,7 @@ def score_documents(documents: DataFrame, training: DataFrame) -> DataFrame:
     counted = count_tokens(training)
     vocabulary, bias = make_vocabulary(counted)
     tables = train(training, vocabulary, bias)
-    shared = documents.sparkSession.sparkContext.broadcast((tables, bias, vocabulary))  # of a fixed size
+    shared = documents.sparkSession.sparkContext.broadcast((tables, bias, vocabulary))  # of the sizes that the distinct tokens ask for
     scored = materialize(documents.select("doc_id", "text").mapInArrow(lambda b: _score(b, *shared.value), SCORE_SCHEMA), "scored")
     others = scored.select("row_key", F.explode(F.arrays_zip("others", "times")).alias("e")).select("row_key", F.col("e.others").alias("token"), F.col("e.times").alias("times"))
     found = others.join(counted.select("token", "n"), "token").groupBy("row_key").agg(
