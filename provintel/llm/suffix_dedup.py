@@ -8,7 +8,8 @@ prefix, and one ascending pass over the groups emits the order along the pointer
 To spread the work, only text that can repeat meets in one array. Each string's ``gram``-byte piece of least hash is its
 anchor; neighbouring strings with one anchor make a stretch. Stretches are exchanged as hashes by anchor: equal stretches
 are repeats as a whole. Different stretches of one anchor share a string only if they agree on half a width to one side,
-so their bytes meet by (anchor, side), and a suffix array over those finds the strings that occur in two of them.
+so their bytes meet by (anchor, side), and a suffix array over those finds the strings that occur in two of them. Where more
+than ``HOT`` stretches meet, as around a passage that many documents share, their strings go out one by one as hashes.
 Inside a map slice only one of equal stretches goes out.
 
 Defined cases: null text is empty; shorter texts keep everything; a string that recurs in its own document counts, with
@@ -30,11 +31,12 @@ from .substring_dedup import merge_spans, n_buckets
 from .words import byte_prefix, column, mix, powers, signed, slices
 
 WIDTH, GRAM = 200, 24
-CHUNK = 1 << 16
+CHUNK, HOT = 1 << 16, 1000
 NEW, REPEAT, UNCLEAR = range(3)
 _NAMES = ["doc", "key", "check", "pos", "len", "off"]
 ENTRY_SCHEMA = "bucket long, kind int, " + ", ".join(f"{n} array<long>" for n in _NAMES)
 STRETCH_SCHEMA = "meet long, doc long, pos long, at long, piece binary"
+STRING_SCHEMA = "meet long, first long, second long, doc_id long, pos long"
 SPAN_SCHEMA = "doc_id long, pos long, len long"
 CUT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, "
 
@@ -313,6 +315,46 @@ def _find_shared(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> It
         yield from solved(todo)
 
 
+def _strings(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Every string of width bytes in the pieces, as its hash from either end; each holds the piece's block whole."""
+    for batch in batches:
+        meet, doc, pos = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("meet", "doc", "pos"))
+        pieces = batch.column(batch.schema.get_field_index("piece")).to_pylist()
+        for i in range(0, len(pieces), 1000):
+            part = pieces[i : i + 1000]
+            data = np.frombuffer(b"".join(part), dtype=np.uint8)
+            size = np.array([len(x) for x in part])
+            counts = np.maximum(size - width + 1, 0)
+            row = np.repeat(np.arange(len(part)), counts)
+            within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start, n = (np.cumsum(size) - size)[row] + within, len(data)
+            _, down = powers(n + 1)
+            ahead, back = byte_prefix(data), byte_prefix(data[::-1])
+            first = mix((ahead[start + width] - ahead[start]) * down[start])
+            second = mix((back[n - start] - back[n - start - width]) * down[n - start - width])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (meet[i + row], signed(first), signed(second), doc[i + row], pos[i + row] + within)], names=["meet", "first", "second", "doc_id", "pos"])
+
+
+def split_hot(sides: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pieces of which at most ``most`` meet, and the others if there are any."""
+    hot = materialize(sides.groupBy("meet").count().where(F.col("count") > most).select("meet"), "hot")
+    if not hot.limit(1).count():
+        return sides, None
+    hot = broadcast_if_small(hot)
+    return sides.join(hot, "meet", "left_anti"), sides.join(hot, "meet", "left_semi")
+
+
+def shared_strings(pieces: DataFrame, width: int, most: int) -> DataFrame:
+    """Places of the strings that occur twice or more among pieces that meet; strings beyond ``most`` places are joined by broadcast."""
+    strings = materialize(pieces.mapInArrow(lambda b: _strings(b, width), STRING_SCHEMA), "strings")
+    keys = ["meet", "first", "second"]
+    counted = materialize(strings.groupBy(keys).count().where("count > 1"), "repeated")
+    often = broadcast_if_small(counted.where(F.col("count") > most).select(keys))
+    seldom = counted.where(F.col("count") <= most).select(keys)
+    found = strings.join(often, keys, "left_semi").unionByName(strings.join(often, keys, "left_anti").join(seldom, keys, "left_semi"))
+    return found.select("doc_id", "pos", F.lit(width).cast("long").alias("len"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in slices(batches):
         n, gone = batch.num_rows, np.zeros(len(data) + 1, dtype=np.int64)
@@ -337,7 +379,7 @@ def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordB
         )
 
 
-def suffix_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
+def suffix_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_text (bytes cut from characters dropped) or its bytes' SHA-256."""
     texts = documents.select("doc_id", "text")
     buckets = n_buckets(documents)
@@ -346,8 +388,11 @@ def suffix_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, dig
     unclear = found.where(F.col("kind") == UNCLEAR).select(F.explode(F.arrays_zip("doc", "pos", "len", "off", "key")).alias("e"))
     unclear = materialize(unclear.groupBy(F.col("e.doc").alias("doc_id")).agg(F.collect_list(F.struct("e.pos", "e.len", "e.off", "e.key")).alias("spans")), "unclear")
     some = texts.join(broadcast_if_small(unclear.select("doc_id")), "doc_id", "left_semi").join(unclear, "doc_id")
-    met = some.mapInArrow(lambda b: _map_sides(b, width, gram), STRETCH_SCHEMA).repartition("meet").sortWithinPartitions("meet", "doc", "pos")
+    sides, crowd = split_hot(materialize(some.mapInArrow(lambda b: _map_sides(b, width, gram), STRETCH_SCHEMA), "sides"), hot)
+    met = sides.select("meet", "doc", "pos", "at", "piece").repartition("meet").sortWithinPartitions("meet", "doc", "pos")
     shared = met.mapInArrow(lambda b: _find_shared(b, width, gram), SPAN_SCHEMA)
+    if crowd is not None:
+        shared = shared.unionByName(shared_strings(crowd, width, hot))
     whole = found.where(F.col("kind") == REPEAT).select(F.explode(F.arrays_zip("doc", "pos", "len")).alias("e")).select(F.col("e.doc").alias("doc_id"), "e.pos", "e.len")
     spans = materialize(whole.unionByName(shared).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "len")).alias("spans")), "spans")
     schema = CUT_SCHEMA + ("kept_sha256 string" if digest else "kept_text string")
