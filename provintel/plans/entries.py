@@ -238,8 +238,8 @@ def j8_new_triggers(spark, d):
 @query("SELECT startup_id, snapshot_date, event_id FROM snapshots", "snapshots")
 def s3_upsert(spark, d):
     rows = B.snapshot_events(spark, d)
-    day = F.col("event_id") % 2 == 0
-    both = U.upsert(U.last_per_key(rows.where(day), ["startup_id", "snapshot_date"], ["ts", "event_id"]).limit(0), rows, ["startup_id", "snapshot_date"], ["ts", "event_id"])
+    morning, keys, order = F.coalesce(F.hour("ts") < 12, F.lit(False)), ["startup_id", "snapshot_date"], ["ts", "event_id"]
+    both = U.upsert(U.last_per_key(rows.where(morning), keys, order), rows.where(~morning), keys, order)
     return both.select("startup_id", "snapshot_date", "event_id")
 
 
