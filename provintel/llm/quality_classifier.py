@@ -1,13 +1,17 @@
 """Quality classifier by hierarchical empirical Bayes.
 
-A document classifier gives evidence: the sum of log odds of the hashed features present in a text (words of letters,
-and classes of document statistics), fitted on a bounded, hashed sample of labelled documents; only features whose class
-difference is significant count, and a one-variable logistic fit calibrates the sum. Every document's probability is then
-aggregated by host and by path: a host's rate is shrunk toward the global rate, a path's toward its host's, with prior
-strengths from the spread between groups (method of moments). A document's posterior log odds are its evidence plus what
-its path's rate adds to the global rate. The same is done for toxicity; ``kept`` takes both.
-
-Defined cases: null text has only its length class; null host or path is a group of its own; sparse groups fall back to
+A document classifier gives evidence, fitted on a hashed sample of at most about ``SAMPLE`` labelled documents. Its
+features are the hashed words present in a text, words' first bytes, and classes of document statistics (length, marks,
+bars, capitals, repeats). How likely a word is to tell anything at all comes from all words' test statistics, taken as a
+mixture of a null and a wider normal distribution, so evidence fades out smoothly and alike at every size. The words that
+may tell most and the classes enter one ridge logistic fit, where a less likely word is pulled to 0 the more; fitted
+together, the words of one family of copies share what they tell. Every document's probability is then
+aggregated by host and by path: a host's rate is shrunk toward the
+global rate, a path's toward its host's, with prior strengths from the spread between groups (method of moments). A
+document's posterior log odds are its evidence plus what its path's rate adds to the global rate. The same is done for
+toxicity; ``kept`` takes both.
+
+Defined cases: null text has no words and the lowest class of each statistic; null host or path is a group of its own; sparse groups fall back to
 their parent; labels that disagree about a document count as bad; without labels of both classes, evidence is 0 and all
 documents are kept; repeated rows are judged each; extra columns are ignored.
 """
@@ -15,17 +19,24 @@ documents are kept; repeated rows are judged each; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
-from .words import SPACES, column, mix, signed, word_slices, word_spans
+from .words import SPACES, byte_prefix, mix, powers, signed, word_slices, word_spans
 
 SAMPLE = 40_000
-MIN_DOCS, MIN_Z = 5, 5.0
+PREFIXES = (4, 5, 6, 7)  # bytes of a word's beginning that are features too
+LEAST_REAL, FEATURES = 0.2, 4_000  # words less likely than this to tell anything are left out; of the others so many enter the fit
+Z_BINS = 5  # bins a unit of the test statistic
+LEVELS = 12  # classes of a statistic
+STATISTICS = ("length", "marks", "bars", "capitals", "repeats")
+RIDGE = 1.0
 MAX_STRENGTH = 1000.0
 NOT_LETTER = np.ones(256, dtype=bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -39,8 +50,8 @@ def _share_class(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return np.digitize(x, [1e-9, 0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9, 0.97])
 
 
-def doc_features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, row number, feature hash) with each feature of a row perhaps more than once."""
+def doc_features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, row number, feature hash, classes of the statistics by row) with each feature of a row perhaps more than once."""
     for w in word_slices(batches, fold=False, outside=NOT_LETTER):
         n = w.batch.num_rows
         row, start, _ = word_spans(w.data, w.offsets, SPACES)
@@ -50,10 +61,8 @@ def doc_features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
         pipes = np.bincount(mark_row[(b - a == 1) & (w.data[a] == 0x7C)], minlength=n) if len(a) else np.zeros(n)
         upper = ((w.data >= 65) & (w.data <= 90)).astype(np.int64)
         per_row = np.add.reduceat(np.append(upper, 0), np.minimum(w.offsets[:-1], len(w.data))) * (np.diff(w.offsets) > 0)
-        distinct = np.zeros(n, dtype=np.int64)
-        if len(w.row):
-            pairs = np.unique(mix(w.hash ^ w.row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-            distinct = np.bincount(w.row[pairs], minlength=n)
+        pairs = np.unique(mix(w.hash ^ w.row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1] if len(w.row) else np.zeros(0, np.int64)
+        distinct = np.bincount(w.row[pairs], minlength=n)
         letters = np.bincount(w.row, minlength=n)
         classes = [
             np.digitize(words, [1, 5, 20, 50, 100, 300, 1000, 3000, 10000]),
@@ -62,15 +71,17 @@ def doc_features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
             _share_class(per_row, np.diff(w.offsets)),
             _share_class(letters - distinct, letters),
         ]
-        rows, feats = [w.row], [w.hash]
-        for k, c in enumerate(classes):
-            rows.append(np.arange(n))
-            feats.append(mix((c + 1000 * (k + 1)).astype(np.uint64)))
-        yield w.batch, np.concatenate(rows), np.concatenate(feats)
+        rows, feats = [w.row[pairs]], [w.hash[pairs]]
+        prefix, (_, down) = byte_prefix(w.data), powers(len(w.data) + 1)
+        for size in PREFIXES:
+            some = pairs[w.end[pairs] - w.start[pairs] > size]
+            rows.append(w.row[some])
+            feats.append(mix((prefix[w.start[some] + size] - prefix[w.start[some]]) * down[w.start[some]] + np.uint64(size)))
+        yield w.batch, np.concatenate(rows), np.concatenate(feats), np.stack(classes, axis=1)
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, row, feature in doc_features(batches):
+    for batch, row, feature, _ in doc_features(batches):
         bad, toxic = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("bad", "toxic"))
         order = np.lexsort((row, feature))
         row, feature = row[order], feature[order]
@@ -82,80 +93,166 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(signed(feature[first])), pa.array(n), pa.array(b), pa.array(t)], names=["feature", "n", "n_bad", "n_toxic"])
 
 
+class Prior(NamedTuple):
+    """Base rate of a label, share of features that tell something, and the variance that their statistics have beyond 1."""
+
+    rate: float
+    real: float
+    spread: float
+
+    def p_real(self, z: np.ndarray) -> np.ndarray:
+        """How likely a feature of this statistic tells something."""
+        wide = 1 + self.spread
+        null, alive = np.exp(-np.minimum(z * z / 2, 700)), np.exp(-np.minimum(z * z / (2 * wide), 700)) / np.sqrt(wide)
+        return self.real * alive / np.maximum((1 - self.real) * null + self.real * alive, 1e-300)
+
+    def least_z(self) -> float:
+        """The size of statistic from which features are LEAST_REAL likely to be real."""
+        z = np.arange(0, 40, 0.05)
+        hit = np.flatnonzero(self.p_real(z) >= LEAST_REAL)
+        return float(z[hit[0]]) if len(hit) and 0 < self.rate < 1 else 1e9
+
+
+def _statistic(n: str, yes: str, rate: float) -> Column:
+    """Signed root of the likelihood ratio of a feature's own rate against the base rate."""
+    y, no = F.col(yes), F.col(n) - F.col(yes)
+    ratio = F.when(y > 0, y * F.log(y / (F.col(n) * rate))).otherwise(0.0) + F.when(no > 0, no * F.log(no / (F.col(n) * (1 - rate)))).otherwise(0.0)
+    return F.signum(y - F.col(n) * rate) * F.sqrt(2 * F.greatest(ratio, F.lit(0.0)))
+
+
+def fit_prior(rate: float, z: np.ndarray, count: np.ndarray) -> Prior:
+    """Mixture of N(0, 1) and N(0, 1 + spread) over binned statistics, by expectation and maximization."""
+    prior = Prior(rate, 0.01, 25.0)
+    for _ in range(200):
+        p = prior.p_real(z) * count
+        if p.sum() < 1e-9:
+            break
+        prior = Prior(rate, float(np.clip(p.sum() / count.sum(), 1e-6, 0.5)), float(np.clip((p * z * z).sum() / p.sum() - 1, 4.0, 1e4)))
+    return prior
+
+
 class Evidence:
-    """Significant features (sorted), their log odds for bad and toxic, and each one's calibration."""
+    """Features (sorted) and, for bad and toxic, the weights of features and of [1, classes of the statistics]."""
 
-    def __init__(self, features: np.ndarray, weights: np.ndarray, calibration: list[tuple[float, float]]):
-        self.features, self.weights, self.calibration = features, weights, calibration
+    def __init__(self, features: np.ndarray, weights: list[np.ndarray], fits: list[np.ndarray]):
+        self.features, self.weights, self.fits = features, weights, fits
 
-    def sums(self, n_rows: int, row: np.ndarray, feature: np.ndarray) -> np.ndarray:
-        out = np.zeros((n_rows, 2))
+    def hits(self, row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (row, place of a feature), sorted."""
         if not len(self.features) or not len(row):
-            return out
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)
         hit = self.features[at] == feature
         pairs = np.unique(row[hit] * np.int64(len(self.features)) + at[hit])
-        for k in range(2):
-            out[:, k] = np.bincount(pairs // len(self.features), weights=self.weights[pairs % len(self.features), k], minlength=n_rows)
-        return out
+        return pairs // len(self.features), pairs % len(self.features)
 
     def score(self, batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
-        for batch, row, feature in doc_features(batches):
-            raw = self.sums(batch.num_rows, row, feature)
-            logits = [pa.array(np.clip(a + b * raw[:, k], -30, 30)) for k, (a, b) in enumerate(self.calibration)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)) for x in keep] + logits, names=[*keep, "bad_logit", "toxic_logit"])
-
-
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton steps of a one-variable logistic fit, with a weak pull to slope 1."""
-    rate = np.clip(y.mean(), 1e-4, 1 - 1e-4) if len(y) else 0.5
-    a, b = float(np.log(rate / (1 - rate))), 0.5
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        g = np.array([(p - y).sum(), ((p - y) * x).sum() + (b - 1)])
-        v = p * (1 - p) + 1e-6
-        h = np.array([[v.sum(), (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 1]])
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, b = a - step[0], b - step[1]
-    return float(a), float(max(b, 0.0))
+        for batch, row, feature, classes in doc_features(batches):
+            r, f = self.hits(row, feature)
+            logits = [one_hot(classes) @ fit + np.bincount(r, weights=w[f], minlength=batch.num_rows) for w, fit in zip(self.weights, self.fits, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index(x)) for x in keep] + [pa.array(np.clip(x, -30, 30)) for x in logits], names=[*keep, "bad_logit", "toxic_logit"]
+            )
+
+    def rows(self, batches: Iterator[pa.RecordBatch], labels: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+        """Labels, classes and places of the features of labelled documents."""
+        for batch, row, feature, classes in doc_features(batches):
+            r, f = self.hits(row, feature)
+            offsets = pa.array(np.searchsorted(r, np.arange(batch.num_rows + 1)).astype(np.int32))
+            places = pa.ListArray.from_arrays(offsets, pa.array(f.astype(np.int32)))
+            columns = [batch.column(batch.schema.get_field_index(x)) for x in labels] + [pa.array(classes[:, k].astype(np.int32)) for k in range(classes.shape[1])]
+            yield pa.RecordBatch.from_arrays([*columns, places], names=[*labels, *STATISTICS, "places"])
+
+
+def one_hot(classes: np.ndarray) -> np.ndarray:
+    hot = np.zeros((len(classes), 1 + classes.shape[1] * LEVELS))
+    hot[:, 0] = 1
+    for k in range(classes.shape[1]):
+        hot[np.arange(len(classes)), 1 + k * LEVELS + np.minimum(classes[:, k], LEVELS - 1)] = 1
+    return hot
+
+
+def logistic(dense: np.ndarray, row: np.ndarray, place: np.ndarray, y: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Ridge logistic fit of dense columns and sparse 0/1 ones (row, place): Newton steps by conjugate gradients, damped."""
+    d, m = dense.shape[1], len(pull)
+
+    def forward(b: np.ndarray) -> np.ndarray:
+        return dense @ b[:d] + np.bincount(row, weights=b[d + place], minlength=len(y))
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([dense.T @ v, np.bincount(place, weights=v[row], minlength=m - d)])
+
+    def loss(t: np.ndarray, b: np.ndarray) -> float:
+        return float(np.logaddexp(0, t).sum() - (t * y).sum() + (pull * b * b).sum() / 2)
+
+    fit = np.zeros(m)
+    fit[0] = np.log(y.mean() / (1 - y.mean()))
+    t = forward(fit)
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
+        v = p * (1 - p)
+        goal = -(back(p - y) + pull * fit)
+        scale = np.concatenate([(dense * dense).T @ v, np.bincount(place, weights=v[row], minlength=m - d)]) + pull
+        step, rest = np.zeros(m), goal.copy()
+        z = rest / scale
+        way, size = z.copy(), rest @ z
+        for _ in range(12):
+            turned = back(v * forward(way)) + pull * way
+            a = size / max(way @ turned, 1e-300)
+            step, rest = step + a * way, rest - a * turned
+            z = rest / scale
+            new = rest @ z
+            if new < 1e-3 * max(goal @ (goal / scale), 1e-300):
+                break
+            way, size = z + new / size * way, new
+        now, length, moved = loss(t, fit), 1.0, forward(step)
+        while length > 1e-4 and loss(t + length * moved, fit + length * step) > now:
+            length /= 2
+        fit, t = fit + length * step, t + length * moved
+        if now - loss(t, fit) < 1e-3 * max(now, 1):
+            break
+    return fit
 
 
 def fit_evidence(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Evidence:
-    """Learns from about ``sample`` labelled documents at most; what reaches the driver is bounded by it and by MIN_DOCS."""
+    """Learns from about ``sample`` labelled documents at most; what reaches the driver is bounded by it."""
     told = labels.where("doc_id is not null").groupBy("doc_id").agg((F.min("quality") < 1).alias("bad"), (F.max("toxic") > 0).alias("toxic"))
     n = told.count()
     million = 1_000_000
     picked = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < int(min(1.0, sample / max(n, 1)) * million)).fillna(False)
-    train = materialize(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled")
-    totals = train.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("b"), F.sum(F.col("toxic").cast("int")).alias("t")).first()
-    none = Evidence(np.zeros(0, np.uint64), np.zeros((0, 2)), [(-5.0, 0.0), (-5.0, 0.0)])
-    if not totals["n"]:
-        return none
-    counts = (
+    train = materialize(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled")  # picked is bounded by sample
+    kinds = ("bad", "toxic")
+    totals = train.agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("int")).alias(c) for c in kinds]).first()
+    rates = [(totals[c] or 0) / max(totals["n"], 1) for c in kinds]
+    counts = materialize(
         train.mapInArrow(_class_counts, "feature long, n long, n_bad long, n_toxic long")
-        .groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "n_bad", "n_toxic")])
+        .groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "n_bad", "n_toxic")]), "features"
     )
-
-    def z(hits: str, total: int) -> Column:
-        rate = total / totals["n"]
-        return F.abs(F.col(hits) - F.col("n") * rate) / F.sqrt(F.col("n") * max(rate * (1 - rate), 1e-9))
-
-    some = counts.where(F.col("n") >= MIN_DOCS).withColumn("zb", z("n_bad", totals["b"])).withColumn("zt", z("n_toxic", totals["t"]))
-    rows = some.where((F.col("zb") >= MIN_Z) | (F.col("zt") >= MIN_Z)).toPandas()
-    features = rows["feature"].to_numpy().view(np.uint64) if len(rows) else np.zeros(0, np.uint64)
-    order = np.argsort(features)
-    weights = np.zeros((len(rows), 2))
-    for k, (hits, total, zs) in enumerate((("n_bad", totals["b"], "zb"), ("n_toxic", totals["t"], "zt"))):
-        if 0 < total < totals["n"]:
-            rate = total / totals["n"]
-            yes, every = rows[hits].to_numpy(), rows["n"].to_numpy()
-            w = np.log((yes + 2 * rate) / (total + 2)) - np.log((every - yes + 2 * (1 - rate)) / (totals["n"] - total + 2))
-            weights[:, k] = np.where(rows[zs].to_numpy() >= MIN_Z, w, 0)
-    found = Evidence(features[order], weights[order], [(0.0, 1.0), (0.0, 1.0)])
-    scored = train.mapInArrow(lambda b: found.score(b, ["bad", "toxic"]), "bad boolean, toxic boolean, bad_logit double, toxic_logit double").toPandas()
-    found.calibration = [
-        _calibrate(scored[f"{c}_logit"].to_numpy(), scored[c].to_numpy().astype(float)) if 0 < scored[c].sum() < len(scored) else (-5.0, 0.0) for c in ("bad", "toxic")
-    ]
+    priors, strong, best = [], F.lit(False), F.lit(0.0)
+    for c, rate in zip(kinds, rates, strict=True):
+        if not 0 < rate < 1:
+            priors.append(None)
+            continue
+        z = _statistic("n", f"n_{c}", rate)
+        bins = counts.groupBy(F.round(z * Z_BINS).alias("z")).agg(F.count("*").alias("k")).collect()
+        priors.append(fit_prior(rate, np.array([r["z"] for r in bins]) / Z_BINS, np.array([r["k"] for r in bins], float)))
+        strong, best = strong | (F.abs(z) >= priors[-1].least_z()), F.greatest(best, F.abs(z))
+        counts = counts.withColumn(f"z_{c}", z)
+    rows = counts.where(strong).withColumn("best", best).orderBy(F.desc("best"), "feature").limit(FEATURES).toPandas()
+    rows = rows.sort_values("feature", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
+    features, width = rows["feature"].to_numpy(np.int64).view(np.uint64), 1 + len(STATISTICS) * LEVELS
+    found = Evidence(features, [np.zeros(len(features))] * 2, [np.append(-5.0, np.zeros(width - 1))] * 2)
+    schema = ", ".join([f"{c} boolean" for c in kinds] + [f"{x} int" for x in STATISTICS]) + ", places array<int>"
+    told = train.mapInArrow(lambda b: found.rows(b, kinds), schema).toArrow()  # of the sample's size
+    classes = np.stack([told[x].to_numpy() for x in STATISTICS], axis=1) if told.num_rows else np.zeros((0, len(STATISTICS)), np.int64)
+    places = told["places"].combine_chunks()
+    row, place = np.repeat(np.arange(told.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False)), places.flatten().to_numpy()
+    dense = one_hot(classes)
+    for k, c in enumerate(kinds):
+        if priors[k]:
+            pull = RIDGE / np.maximum(priors[k].p_real(rows[f"z_{c}"].to_numpy()), 1e-3)
+            fit = logistic(dense, row, place, told[c].to_numpy().astype(float), np.concatenate([[1e-6], np.full(width - 1, RIDGE), pull]))
+            found.fits[k], found.weights[k] = fit[:width], fit[width:]
     return found
 
 
