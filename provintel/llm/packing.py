@@ -29,6 +29,9 @@ from ..session import materialize
 
 CAPACITY, UNIT, END_ID = 4096, 8, 2
 CACHED_CHUNKS = 400_000
+# Byte-level tokenizers write printable bytes as themselves and the others as the characters from 256 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, n_cut long"
 
 
@@ -37,16 +40,19 @@ class ChunkIds:
 
     The tokenizer splits at white space before anything else, so a text's ids are those of its chunks in turn. A chunk
     of Latin-1 letters and then ASCII punctuation is two tokens of the tokenizer's own split, which drops case; it is put
-    together from those parts. What isn't cached yet is encoded in one call. The cache has two generations of at most half
-    the chunks: when the younger is full the older goes, and what is met again moves to the younger.
+    together from those parts. Lower-case Latin-1 letters are past what normalising and splitting change, so the merges are
+    applied to their byte characters at once; what else isn't cached yet is encoded in one call. The cache has two
+    generations of at most half the chunks: when the younger is full the older goes, and what is met again moves to the younger.
     """
 
     def __init__(self, path: str, most: int = CACHED_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode, self.most, self.known, self.older = Tokenizer.from_file(path).encode, most // 2, {"": b""}, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge, self.most, self.known, self.older = tokenizer.encode, tokenizer.model.tokenize, most // 2, {"": b""}, {}
         self.split = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+        self.simple = re.compile(r"[a-z\xDF-\xF6\xF8-\xFF]+").fullmatch
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > self.most:
@@ -61,7 +67,13 @@ class ChunkIds:
             else:
                 plain.add(c)
         self._recall(plain)
-        words = list(plain.difference(self.known))
+        words = []
+        for w in plain.difference(self.known):
+            if self.simple(w):
+                letters = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)
+                self.known[w] = np.array([t.id for t in self.merge(letters)], dtype="<u4").tobytes()
+            else:
+                words.append(w)
         if words:
             found = self.encode(words, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4").tobytes()
