@@ -131,7 +131,10 @@ def job_text(html: Column) -> Column:
     def one(h: str | None) -> str:
         parts = [squeeze(_walk(h).text)]
         if m := re.search(r'"descriptionPlainText"\s*:\s*("(?:[^"\\]|\\.)*")', h or ""):
-            parts.append(json.loads(m[1]))
+            try:
+                parts.append(json.loads(m[1], strict=False))
+            except ValueError:  # not JSON after all: the page has its visible text
+                pass
         if m := re.search(r'<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', h or "", re.DOTALL):
             try:
                 stack = [json.loads(m[1])]

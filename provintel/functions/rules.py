@@ -349,3 +349,17 @@ MARKETPLACE_PATTERNS = {
     ],
     "GCP": ["cloud.google.com/marketplace/product/", "console.cloud.google.com/marketplace/"],
 }
+
+# Site paths by signal source and weight, in order.
+PATH_GROUPS = {
+    **dict.fromkeys(["/integrations", "/partners", "/ecosystem", "/marketplace"], ("integrations_page", 0.6)),
+    **dict.fromkeys(["/docs", "/developers", "/api", "/documentation"], ("tech_docs", 0.6)),
+    **dict.fromkeys(
+        [
+            "/security", "/trust", "/privacy", "/compliance", "/legal/privacy", "/legal/security", "/trust-center", "/privacy-policy", "/legal/privacy-policy",
+            "/data-processing", "/dpa",
+        ], ("trust_page", 0.6),
+    ),
+    **dict.fromkeys(["/blog", "/eng/blog", "/engineering", "/tech-blog"], ("tech_blog", 0.3)),
+    "/": ("homepage", 0.3),
+}

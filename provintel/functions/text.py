@@ -63,7 +63,7 @@ def keyword_scan(df: DataFrame, text_col: str, keywords: dict[str, list[str]], n
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def term_classify(df: DataFrame, terms: list[tuple] = rules.PROVIDER_TERMS) -> DataFrame:
@@ -75,7 +75,7 @@ def term_classify(df: DataFrame, terms: list[tuple] = rules.PROVIDER_TERMS) -> D
     table = F.broadcast(spark.createDataFrame([(i, *t) for i, t in enumerate(terms)], "term_ord int, term string, provider_type string, provider_name string, multiplier double"))
     title, stem = F.lower("title"), F.split(F.lower(F.coalesce("domain", F.lit(""))), r"\.")[0]
     clauses = F.filter(F.split(title, ";"), lambda c: F.contains(c, F.lower("company")) | ((stem != "") & F.contains(c, stem)))
-    head = F.when(F.contains(title, F.lit(";")) & (F.size(clauses) > 0), F.array_join(F.transform(clauses, F.trim), " ")).otherwise(title)
+    head = F.when(F.contains(title, F.lit(";")) & (F.size(clauses) > 0), F.array_join(F.transform(clauses, lambda c: F.trim(c)), " ")).otherwise(title)
     text = F.concat(F.lit(" "), head, F.lit(" "), F.lower(F.coalesce("summary", F.lit(""))), F.lit(" "))
     hits = df.withColumn("_text", text).join(table, F.contains(F.col("_text"), F.col("term")))
     first = F.row_number().over(Window.partitionBy("id", "provider_name").orderBy("term_ord"))

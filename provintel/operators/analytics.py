@@ -64,33 +64,50 @@ def vertical_distribution(latest: DataFrame) -> DataFrame:
     return latest.where(F.col("vertical").isNotNull()).groupBy("vertical").agg(F.count("*").alias("startup_count"))
 
 
-def summary(latest: DataFrame, triggers: DataFrame) -> DataFrame:
-    """One row: companies, tier-1 companies, the commonest known cloud provider and its companies, triggers."""
+def summary(latest: DataFrame, triggers: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One row: companies, tier-1 companies, the commonest known cloud provider and its companies, triggers, and the newest run if runs are given."""
     known = latest.groupBy(cloud_bucket().alias("p")).agg(F.count("*").alias("n")).where("p <> 'Unknown'")
     top = known.agg(F.max(F.struct("n", "p")).alias("t")).select(F.col("t.p").alias("top_provider"), F.col("t.n").alias("top_count"))
     totals = latest.agg(F.count("*").alias("total_startups"), F.count_if(F.col("engagement_tier") == 1).alias("tier1_count"))
     hits = triggers.agg(F.count("*").alias("trigger_count"))
-    return totals.join(hits, F.lit(True)).join(top, F.lit(True))  # one row each
+    every = totals.join(hits, F.lit(True)).join(top, F.lit(True))  # one row each
+    if runs is not None:
+        last = runs.agg(F.max(F.struct("run_date", "run_id", "status")).alias("r")).select(F.col("r.run_date").alias("last_run_date"), F.col("r.run_id").alias("last_run_id"), F.col("r.status").alias("last_run_status"))
+        every = every.join(last, F.lit(True))
+    return every
 
 
 def usage_rollup(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("ts").alias("usage_date"), "source").agg(F.count("*").alias("query_count"))
 
 
-def search_usage(usage: DataFrame, sources: list[str], days: int, as_of: str, cost: float = 0.0003) -> DataFrame:
-    """Zero-filled day x source matrix of the last days, with the day's total and cost; pivot values are given, so no extra job."""
+def search_usage(usage: DataFrame, days: int, as_of: str, cost: float = 0.0003) -> DataFrame:
+    """Zero-filled day x source rows of the last days: each source's count and rank by its total, the day's total and cost, and the grand total.
+
+    Every source of the days is there, however many; a pivot on source_rank gives the matrix in the order of totals.
+    """
     recent = usage.where(F.col("usage_date") > F.date_sub(F.lit(as_of).cast("date"), days))
-    wide = recent.groupBy("usage_date").pivot("source", sources).agg(F.sum("query_count")).fillna(0, sources)
-    total = sum((F.col(s) for s in sources[1:]), F.col(sources[0]))
-    return wide.withColumn("total", total).withColumn("cost_usd", F.round(total * cost, 4))
+    sources = recent.groupBy("source").agg(F.sum("query_count").alias("source_total"))
+    ranked = sources.withColumn("source_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("source_total"), "source")))  # few sources
+    by_day = recent.groupBy("usage_date").agg(F.sum("query_count").alias("total"))
+    grand = recent.agg(F.sum("query_count").alias("grand_total"))
+    cells = by_day.join(F.broadcast(ranked), F.lit(True)).join(F.broadcast(grand), F.lit(True))  # days x sources
+    counts = recent.groupBy("usage_date", "source").agg(F.sum("query_count").alias("query_count"))
+    return cells.join(counts, ["usage_date", "source"], "left").fillna(0, ["query_count"]).withColumn("cost_usd", F.round(F.col("total") * cost, 4))
 
 
 def run_metrics(results: DataFrame) -> DataFrame:
-    """Per run: discovered, attributed, errors, error map and status, from (run_id, startup_id, attributed, error)."""
-    pairs = F.collect_list(F.when(F.col("error").isNotNull(), F.struct(F.col("startup_id").cast("string"), F.col("error"))))
-    return results.groupBy("run_id").agg(
-        F.count("*").alias("startups_discovered"), F.count_if("attributed").alias("startups_attributed"), F.count_if(F.col("error").isNotNull()).alias("errors_count"),
-        F.map_from_entries(pairs).alias("error_log"),
+    """Per run: discovered, attributed, errors, error map and status, from (run_id, startup_id, attributed, error).
+
+    The map has one entry a startup; of several errors the last in sorted order.
+    """
+    failed = F.col("error").isNotNull()
+    by_startup = results.groupBy("run_id", F.col("startup_id").cast("string").alias("s")).agg(
+        F.count("*").alias("n"), F.count_if("attributed").alias("a"), F.count_if(failed).alias("e"), F.max("error").alias("error")
+    )
+    pairs = F.array_sort(F.collect_list(F.when(failed, F.struct("s", "error"))))
+    return by_startup.groupBy("run_id").agg(
+        F.sum("n").alias("startups_discovered"), F.sum("a").alias("startups_attributed"), F.sum("e").alias("errors_count"), F.map_from_entries(pairs).alias("error_log"),
     ).withColumn("status", F.when(F.col("errors_count") == 0, "completed").otherwise("completed_with_errors"))
 
 
@@ -119,6 +136,11 @@ def recent_funding(funding: DataFrame, startups: DataFrame, latest: DataFrame, n
     return rows.join(state, "startup_id", "left").orderBy(F.desc("announcement_date"), F.desc("funding_amount_usd"), "startup_id", "funding_id").limit(n)
 
 
+def top_rows(df: DataFrame, newest_by: str, ties: list[str], n: int) -> DataFrame:
+    """The n newest rows of runs or changes, ties by the given columns."""
+    return df.orderBy(F.desc(newest_by), *ties).limit(n)
+
+
 def attribution_changes(snapshots: DataFrame, mode: str = "all") -> DataFrame:
     """Pairs of snapshots of a startup, later after earlier, whose provider arrays differ (nulls compare equal).
 

@@ -26,6 +26,13 @@ def funding_wire(articles: DataFrame, words: list[str] = rules.WIRE_FUNDING_WORD
     return articles.where((contains_any(title, words) | contains_any(summary, words)) & ~contains_any(title, skip))
 
 
+def passes_filters(articles: DataFrame) -> DataFrame:
+    """Wire and news articles that pass their own filter, and all of curated sources; one scan."""
+    title, both = F.lower("title"), F.concat_ws(" ", F.lower("title"), F.lower("summary"))
+    wire = contains_any(both, rules.WIRE_FUNDING_WORDS) & ~contains_any(title, rules.WIRE_SKIP_WORDS)
+    return articles.where(F.when(F.col("source") == "prnewswire", wire).when(F.col("source") == "google_news", contains_any(title, rules.NEWS_FUNDING_WORDS)).otherwise(True))
+
+
 def priority(source: Column, order: dict[str, int] = rules.SOURCE_PRIORITY) -> Column:
     return F.coalesce(*[F.when(source == s, p) for s, p in order.items()], F.lit(0))
 
@@ -138,8 +145,29 @@ def validate_events(events: DataFrame, most: int = 1_000_000) -> tuple[DataFrame
     return events.where(ok).withColumn("website", clean_website_event(F.col("website"))).withColumn("funding_round", normalize_round(F.col("funding_round"))), events.where(~ok)
 
 
-def attributable(events: DataFrame) -> DataFrame:
-    return events.where(F.col("website").isNotNull())
+def attributable(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events with a website, one row with the number of those skipped)."""
+    has = F.col("website").isNotNull()
+    return events.where(has), events.agg(F.count_if(~has).alias("skipped"))
+
+
+def run_discovery(articles: DataFrame, extractions: DataFrame, as_of: str, days_back: int = 3, most: int | None = None, resolved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(unique validated funding events, rejected ones) of recent articles and their extraction replies.
+
+    Wire and news articles pass their own filters, curated sources only the date; then urls, titles and hints are
+    de-duplicated, replies parsed and validated, company names de-duplicated, missing websites filled from resolved
+    (name, domain), and websites de-duplicated.
+    """
+    fresh = recent(dedup_urls(articles), days_back, as_of)
+    unique = dedup_hints(dedup_titles(passes_filters(fresh)))
+    if most is not None:
+        unique = cap_articles(unique, most)
+    valid, rejected = validate_events(parse_extractions(extractions, unique))
+    events = dedup_events(valid)
+    if resolved is not None:
+        names = resolved.select(F.lower("name").alias("_name"), F.col("domain").alias("_d"))
+        events = events.join(names, F.lower(F.trim("company_name")) == F.col("_name"), "left").withColumn("website", F.coalesce("website", "_d")).drop("_name", "_d")
+    return dedup_websites(events), rejected
 
 
 def enrich_events(events: DataFrame, startups: DataFrame, overrides: DataFrame) -> DataFrame:

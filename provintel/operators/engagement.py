@@ -113,6 +113,14 @@ def news_trigger(hits: DataFrame, companies: DataFrame, as_of: str, kind: str =
     )
 
 
+def vendor_batches(companies: DataFrame, vendors: list[str] = rules.VENDORS, size: int = 5) -> DataFrame:
+    """(startup_id, batch, query) of vendor-partnership searches: vendors in order, so many a query; hits carry the batch on."""
+    groups = [(i // size, " OR ".join(f'"{v}"' for v in vendors[i : i + size])) for i in range(0, len(vendors), size)]
+    table = F.broadcast(companies.sparkSession.createDataFrame(groups, "batch int, vendors string"))
+    query = F.concat(F.lit('"'), F.col("canonical_name"), F.lit('" (partnership OR integration) ('), F.col("vendors"), F.lit(")"))
+    return companies.select(F.col("id").alias("startup_id"), "canonical_name").join(table, F.lit(True)).select("startup_id", "batch", query.alias("query"))  # a row a batch
+
+
 def press_feature(hits: DataFrame, as_of: str, least: int = 3, domains: list[str] = rules.PRESS_DOMAINS, proper_www: bool = False) -> DataFrame:
     """Startups with enough hits of the last 14 days on press domains. Leading 'w' and '.' are stripped from hosts unless proper_www."""
     host = F.regexp_replace(F.parse_url("url", F.lit("HOST")), r"^www\." if proper_www else r"^[w.]+", "")

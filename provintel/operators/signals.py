@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, rules, sentences
+from ..session import broadcast_if_small, materialize
 from ..functions.text import age_to_weight, homepage_investors, is_competitor_url, keyword_scan, strength_of, term_classify, valid_title
 
 STEP = 1_000_000
@@ -53,7 +54,8 @@ def scan_both(df: DataFrame, text_col: str, cloud: dict = rules.CLOUD_KEYWORDS,
 
 def evidence_pages(urls: DataFrame, pages: DataFrame, source: str = "evidence_url", builder: int = 3, weight: float = 1.0, **tables) -> DataFrame:
     """Keyword hits of given pages (startup_id, url, ord) that answered 200."""
-    got = urls.join(pages.where("status = 200").select("url", "html"), "url").withColumn("text", html.visible_text(F.col("html"))).drop("html")
+    wanted = pages.where("status = 200").select("url", "html").join(broadcast_if_small(urls.select("url").distinct()), "url", "left_semi")
+    got = urls.join(wanted.select("url", html.visible_text(F.col("html")).alias("text")), "url")  # texts cross the join, html does not
     hits = scan_both(got, "text", **tables)
     return signal_rows(hits, builder, source, F.lit(weight), F.col("provider_type"), F.col("ord"), F.concat(F.lit("Keywords: "), F.array_join("keywords", ", ")), F.col("url"))
 
@@ -82,11 +84,12 @@ def subprocessors(rows: DataFrame, cloud: dict = rules.SUBPROCESSOR_CLOUD, ai: d
 
 
 def case_studies(pages: DataFrame, startups: DataFrame) -> DataFrame:
-    """Companies whose name is in the text of provider pages (provider_name, html, url, ord); pages are few, names join by their words."""
-    text = pages.withColumn("text", F.lower(html.visible_text(F.col("html")))).drop("html")
-    words = text.select("*", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("_word"))
+    """Companies whose name is in the text of provider pages (provider_name, html, url, ord): names and pages meet by a word, then the text decides."""
+    text = materialize(pages.select("provider_name", "url", "ord", F.lower(html.visible_text(F.col("html"))).alias("text")), "case-texts")
+    words = text.select("provider_name", "url", "ord", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("_word"))
     named = startups.select(F.col("id").alias("startup_id"), F.lower("canonical_name").alias("_name"), F.get(F.filter(F.split(F.lower("canonical_name"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0)).alias("_word"))
-    hits = words.join(named, "_word").where(F.contains(F.col("text"), F.col("_name")))
+    met = words.join(named, "_word").select("provider_name", "url", "ord", "startup_id", "_name").distinct()
+    hits = met.join(text, ["provider_name", "url", "ord"]).where(F.contains(F.col("text"), F.col("_name")))
     return signal_rows(hits, 5, "case_study", F.lit(1.0), F.lit("cloud"), F.col("ord"), F.concat(F.lit("Named on "), F.col("url")), F.col("url"))
 
 
@@ -121,7 +124,10 @@ def marketplaces(pages: DataFrame, patterns: dict = rules.MARKETPLACE_PATTERNS)
 
 
 def _lower_headers(headers: Column) -> Column:
-    return F.map_from_entries(F.array_distinct(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]), F.lower(e["value"])))))
+    """Lower-case names and values; of names that differ by case the first counts."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.lower(F.get(F.filter(entries, lambda e: F.lower(e["key"]) == n), F.lit(0))["value"])))
 
 
 def http_headers(pages: DataFrame, hosted: DataFrame, table: dict = rules.HEADER_PROVIDERS) -> DataFrame:
@@ -149,7 +155,7 @@ def job_postings(posts: DataFrame, cloud: dict = rules.CLOUD_KEYWORDS, ai: dict
     return signal_rows(found, 10, "job_posting", F.when(F.col("h.is_primary"), 1.0).otherwise(0.6), F.col("_type"), F.col("place"), F.concat(F.lit("Keywords: "), F.array_join("h.keywords", ", ")), F.col("url"))
 
 
-def site_pages(pages: DataFrame, groups: dict[str, tuple[str, float]], cloud: dict = rules.CLOUD_KEYWORDS, ai: dict = rules.AI_KEYWORDS) -> DataFrame:
+def site_pages(pages: DataFrame, groups: dict[str, tuple[str, float]] = rules.PATH_GROUPS, cloud: dict = rules.CLOUD_KEYWORDS, ai: dict = rules.AI_KEYWORDS) -> DataFrame:
     """Pages (startup_id, path, url, html, ord) by path group -> (signal source, weight); cloud by sentence rules, AI by keywords; ownership is worth 1.0."""
     table = _ordered_table(pages, [(p, g, w) for p, (g, w) in groups.items()], "path string, signal_source string, weight double")
     got = pages.where("status = 200").join(table, "path").withColumn("text", html.visible_text(F.col("html"))).drop("html")

@@ -37,25 +37,43 @@ TRIGGERS = (
     "CASE WHEN event_id % 10 = 0 THEN NULL ELSE concat('https://news.example/', CAST(event_id % 50 AS STRING)) END AS source_url, ts AS detected_date, event_id"
 )
 ARTICLES = (
-    "doc_id AS article_id, substring(split(text, '\\n')[0], 1, 200) AS title, concat('https://', source, '.example/', CAST(doc_id % 700 AS STRING)) AS url, "
+    "doc_id AS article_id, CASE WHEN instr(text, chr(10)) > 0 THEN substring(text, 1, instr(text, chr(10)) - 1) ELSE text END AS title, "
+    "CASE WHEN instr(text, chr(10)) > 0 THEN substring(text, instr(text, chr(10)) + 1) END AS summary, concat('https://', source, '.example/', CAST(doc_id % 700 AS STRING)) AS url, "
     "text AS body, CASE WHEN doc_id % 4 = 0 THEN 'vcnewsdaily' WHEN doc_id % 4 = 1 THEN 'prnewswire' ELSE 'google_news' END AS source, CAST(doc_id % 3 AS INT) AS query_id, doc_id AS ord"
 )
 
+COMPANIES = (
+    "c_custkey AS id, CASE c_custkey % 50 WHEN 0 THEN 'Anthropic' WHEN 1 THEN 'Runway' WHEN 2 THEN 'Vultr' WHEN 3 THEN 'Cohere' ELSE concat('Nova', CAST(c_custkey AS STRING), ' Labs') END AS canonical_name, "
+    "concat('nova', CAST(c_custkey AS STRING), CASE WHEN c_custkey % 3 = 0 THEN '.ai' ELSE '.com' END) AS website, c_mktsegment AS industry"
+)
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _derive(df: DataFrame, exprs: str) -> DataFrame:
-    view = f"_src_{abs(hash(exprs))}"
-    df.createOrReplaceTempView(view)
-    return df.sparkSession.sql(f"SELECT {exprs} FROM {view}")
+    plain = exprs.replace("{", "{{").replace("}", "}}")
+    return df.sparkSession.sql(f"SELECT {plain} FROM {{source}}", source=df)
 
 
 def startups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(_read(spark, sf_dir, "customer"), STARTUPS)
 
 
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Startups with names of which some are in the rule tables."""
+    return _derive(_read(spark, sf_dir, "customer"), COMPANIES)
+
+
+def derived(spark: SparkSession, sf_dir: str, table: str, exprs: str) -> DataFrame:
+    """A given table under expressions that DuckDB takes too (see duck())."""
+    return _derive(_read(spark, sf_dir, table), exprs)
+
+
+def duck(table: str, exprs: str) -> str:
+    return f"(SELECT {_duck(exprs)} FROM {table})"
+
+
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(_read(spark, sf_dir, "orders"), FUNDING)
 
@@ -96,7 +114,7 @@ def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    return _derive(_read(spark, sf_dir, "documents"), ARTICLES).withColumn("published", F.expr("CAST(date_add(DATE'2024-01-01', CAST(article_id % 30 AS INT)) AS TIMESTAMP)")).withColumn("summary", F.lit(None).cast("string"))
+    return _derive(_read(spark, sf_dir, "documents"), ARTICLES).withColumn("published", F.expr("CAST(date_add(DATE'2024-01-01', CAST(article_id % 30 AS INT)) AS TIMESTAMP)"))
 
 
 def _duck(exprs: str) -> str:
@@ -105,6 +123,7 @@ def _duck(exprs: str) -> str:
 
 SQL = {
     "startups": f"SELECT {_duck(STARTUPS)} FROM customer",
+    "companies": f"SELECT {_duck(COMPANIES)} FROM customer",
     "funding": f"SELECT {_duck(FUNDING)} FROM orders",
     "signals": f"SELECT {_duck(SIGNALS)} FROM lineitem JOIN (SELECT DISTINCT ON (o_orderkey) o_orderkey, o_custkey FROM orders) o ON l_orderkey = o_orderkey",
     "snapshots": (
@@ -117,7 +136,7 @@ SQL = {
         "LEFT JOIN (SELECT * FROM snapshots QUALIFY row_number() OVER (PARTITION BY startup_id ORDER BY snapshot_date DESC) = 1) n ON s.id = n.startup_id WHERE mf IS NULL OR mf >= 10"
     ),
     "triggers": f"SELECT {_duck(TRIGGERS)} FROM events",
-    "articles": f"SELECT {_duck(ARTICLES).replace(chr(92) + 'n', chr(10)).replace('[0]', '[1]')}, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS TIMESTAMP) AS published FROM documents",
+    "articles": f"SELECT {_duck(ARTICLES)}, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS TIMESTAMP) AS published FROM documents",
     "scores": "SELECT startup_id, provider_type, provider_name, sum(tenths) AS t, count(*) AS n, max(CASE WHEN signal_source IN ('dns', 'ip_asn', 'job_posting', 'subprocessors') THEN 1 ELSE 0 END) AS owned FROM signals GROUP BY ALL",
     "attributed": (
         "SELECT startup_id, provider_type, CASE WHEN k = 1 THEN false ELSE top - second < gap OR hybrid END AS is_multi, "

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html as H
-from ..functions import sentences as SE
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import discovery as D
@@ -17,23 +13,7 @@ from ..operators import scoring as S
 from ..operators import signals as G
 from ..sources import upsert as U
 from . import bindings as B
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *tables: str) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with SQL over the derived tables it names."""
-
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = B.with_tables(sql, *tables) if tables else sql
-        return fn
-
-    return add
-
+from .registry import ORACLES, QUERIES, Query, query
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
     return A.latest_attributions(B.startups(spark, d), B.funding(spark, d), B.snapshots(spark, d))
@@ -142,19 +122,19 @@ def a15_summary(spark, d):
     return A.summary(_latest(spark, d), B.triggers(spark, d))
 
 
-def _sources(spark, d):
-    return [r["source"] for r in _usage_events(spark, d).select("source").distinct().orderBy("source").limit(20).collect()]
-
-
 def _usage_events(spark, d):
     return _table(spark, d, "events").select("ts", F.col("event_type").alias("source"))
 
 
 @query(
-    "SELECT usage_date, total, round(total * 0.0003, 4) AS cost_usd FROM (SELECT CAST(ts AS DATE) AS usage_date, count(*) AS total FROM events GROUP BY 1) WHERE usage_date > DATE '2024-01-31' - 30"
+    "WITH u AS (SELECT CAST(ts AS DATE) AS usage_date, event_type AS source, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT * FROM u WHERE usage_date > DATE '2024-01-31' - 30), "
+    "s AS (SELECT source, sum(n) AS source_total, row_number() OVER (ORDER BY sum(n) DESC, source) AS source_rank FROM r GROUP BY 1), d AS (SELECT usage_date, sum(n) AS total FROM r GROUP BY 1) "
+    "SELECT d.usage_date, s.source, s.source_rank, s.source_total::BIGINT AS source_total, d.total::BIGINT AS total, coalesce(r.n, 0)::BIGINT AS query_count, (SELECT sum(n) FROM r)::BIGINT AS grand_total, round(d.total::DOUBLE * 0.0003::DOUBLE, 4) AS cost_usd "
+    "FROM d CROSS JOIN s LEFT JOIN r ON r.usage_date = d.usage_date AND r.source = s.source"
 )
 def a16_search_usage(spark, d):
-    return A.search_usage(A.usage_rollup(_usage_events(spark, d)), _sources(spark, d), 30, B.AS_OF_EVENTS).select("usage_date", "total", "cost_usd")
+    out = A.search_usage(A.usage_rollup(_usage_events(spark, d)), 30, B.AS_OF_EVENTS)
+    return out.withColumn("source_rank", F.col("source_rank").cast("long"))
 
 
 @query("SELECT CAST(ts AS DATE) AS usage_date, event_type AS source, count(*) AS query_count FROM events GROUP BY 1, 2")
@@ -162,11 +142,17 @@ def a17_usage_rollup(spark, d):
     return A.usage_rollup(_usage_events(spark, d))
 
 
-@query("SELECT o_orderstatus AS run_id, count(*) AS startups_discovered, count(*) FILTER (o_totalprice > 5000) AS startups_attributed, count(*) FILTER (o_totalprice <= 1500) AS errors_count, CASE WHEN count(*) FILTER (o_totalprice <= 1500) = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status FROM orders GROUP BY 1")
+@query(
+    "WITH r AS (SELECT o_orderstatus AS run_id, o_custkey AS s, count(*) AS n, count(*) FILTER (o_totalprice > 5000) AS a, count(*) FILTER (o_totalprice <= 50000) AS e, max(CASE WHEN o_totalprice <= 25000 THEN 'too small' WHEN o_totalprice <= 50000 THEN 'small' END) AS err FROM orders GROUP BY 1, 2) "
+    "SELECT run_id, sum(n)::BIGINT AS startups_discovered, sum(a)::BIGINT AS startups_attributed, sum(e)::BIGINT AS errors_count, CASE WHEN sum(e) = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status, "
+    "coalesce(string_agg(s || '=' || err, ',' ORDER BY CAST(s AS VARCHAR)) FILTER (err IS NOT NULL), '') AS errors FROM r GROUP BY 1"
+)
 def a18_run_metrics(spark, d):
-    # Errors are kept one per startup, as a map's keys must differ.
-    runs = _table(spark, d, "orders").selectExpr("o_orderstatus AS run_id", "concat(o_custkey, '-', o_orderkey, '-', monotonically_increasing_id()) AS startup_id", "o_totalprice > 5000 AS attributed", "CASE WHEN o_totalprice <= 1500 THEN 'amount too small' END AS error")
-    return A.run_metrics(runs).drop("error_log")
+    runs = _table(spark, d, "orders").selectExpr(
+        "o_orderstatus AS run_id", "o_custkey AS startup_id", "o_totalprice > 5000 AS attributed", "CASE WHEN o_totalprice <= 25000 THEN 'too small' WHEN o_totalprice <= 50000 THEN 'small' END AS error"
+    )
+    errors = F.transform(F.array_sort(F.map_entries("error_log")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return A.run_metrics(runs).withColumn("errors", F.array_join(errors, ",")).drop("error_log")
 
 
 @query("SELECT engagement_tier, count(*) AS startup_count FROM latest GROUP BY 1", "latest")
@@ -229,10 +215,11 @@ def j10_link_startup(spark, d):
     return D.link_startup(rows, B.startups(spark, d)).select("funding_id", "startup_id")
 
 
-@query("SELECT company_id, trigger_type, source_url, event_id FROM triggers a WHERE event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM triggers b WHERE b.event_id % 5 = 1 AND a.company_id = b.company_id AND a.trigger_type = b.trigger_type AND a.source_url IS NOT DISTINCT FROM b.source_url)", "triggers")
+@query("SELECT company_id, trigger_type, source_url, event_id FROM triggers a WHERE detected_date >= TIMESTAMP '2024-01-25' AND NOT EXISTS (SELECT 1 FROM triggers b WHERE b.detected_date < TIMESTAMP '2024-01-25' AND a.company_id = b.company_id AND a.trigger_type = b.trigger_type AND a.source_url IS NOT DISTINCT FROM b.source_url)", "triggers")
 def j8_new_triggers(spark, d):
     t = B.triggers(spark, d)
-    return K.new_triggers(t.where("event_id % 2 = 0"), t.where("event_id % 5 = 1")).select("company_id", "trigger_type", "source_url", "event_id")
+    found, known = t.where("detected_date >= TIMESTAMP '2024-01-25'"), t.where("detected_date < TIMESTAMP '2024-01-25'")
+    return K.new_triggers(found, known).select("company_id", "trigger_type", "source_url", "event_id")
 
 
 @query("SELECT startup_id, snapshot_date, event_id FROM snapshots", "snapshots")
@@ -329,11 +316,11 @@ def k10_engagement_timing(spark, d):
 
 @query(
     "SELECT id, CAST(CASE WHEN cloud_propensity <> 'High' THEN engagement_tier WHEN s >= 2 THEN 1 WHEN s = 1 THEN least(engagement_tier, 2) ELSE engagement_tier END AS INT) AS engagement_tier, n AS active_trigger_count FROM latest "
-    "JOIN (SELECT company_id, count(*) FILTER (signal_strength = 'strong') AS s, count(*) AS n FROM triggers WHERE event_id % 40 = 3 GROUP BY 1) ON id = company_id WHERE engagement_tier IN (1, 2)",
+    "JOIN (SELECT company_id, count(*) FILTER (signal_strength = 'strong') AS s, count(*) AS n FROM triggers GROUP BY 1) ON id = company_id WHERE engagement_tier IN (1, 2)",
     "latest", "triggers",
 )
 def k9_upgrade_tiers(spark, d):
-    return K.upgrade_tiers(_latest(spark, d), B.triggers(spark, d).where("event_id % 40 = 3"))
+    return K.upgrade_tiers(_latest(spark, d), B.triggers(spark, d))
 
 
 @query(
@@ -345,11 +332,11 @@ def k11_outreach_due(spark, d):
 
 
 @query(
-    "SELECT id, coalesce(lines, 'None') AS trigger_lines FROM latest LEFT JOIN (SELECT company_id, string_agg('- ' || trigger_label || ' (' || signal_strength || ')', chr(10) ORDER BY detected_date, trigger_label, signal_strength) AS lines FROM triggers WHERE event_id % 20 = 0 GROUP BY 1) ON id = company_id",
+    "SELECT id, coalesce(lines, 'None') AS trigger_lines FROM latest LEFT JOIN (SELECT company_id, string_agg('- ' || trigger_label || ' (' || signal_strength || ')', chr(10) ORDER BY detected_date, trigger_label, signal_strength) AS lines FROM triggers GROUP BY 1) ON id = company_id",
     "latest", "triggers",
 )
 def k12_outreach_context(spark, d):
-    return K.outreach_context(_latest(spark, d), B.funding(spark, d), B.triggers(spark, d).where("event_id % 20 = 0"), B.AS_OF_ORDERS).select("id", "trigger_lines")
+    return K.outreach_context(_latest(spark, d), B.funding(spark, d), B.triggers(spark, d), B.AS_OF_ORDERS).select("id", "trigger_lines")
 
 
 # ---- filters, text, discovery
@@ -365,7 +352,7 @@ def p2_funding_filter(spark, d):
     return D.funding_news(B.articles(spark, d), ["and ", "est"]).select("article_id")
 
 
-@query("SELECT article_id FROM articles WHERE (lower(title) LIKE '%and %' OR lower(title) LIKE '%est%') AND lower(title) NOT LIKE '%the%'", "articles")
+@query("SELECT article_id FROM articles WHERE (lower(title) LIKE '%and %' OR lower(title) LIKE '%est%' OR lower(coalesce(summary, '')) LIKE '%and %' OR lower(coalesce(summary, '')) LIKE '%est%') AND lower(title) NOT LIKE '%the%'", "articles")
 def p3_funding_wire(spark, d):
     return D.funding_wire(B.articles(spark, d), ["and ", "est"], ["the"]).select("article_id")
 
@@ -425,15 +412,25 @@ def d2_dedup_titles(spark, d):
     return D.dedup_titles(B.articles(spark, d)).select("article_id")
 
 
-@query("SELECT c_custkey AS id, upper(c_name[1:1]) || lower(c_name[2:]) AS name FROM customer")
+SAID = "CASE c_custkey % 6 WHEN 0 THEN concat('c', CAST(c_custkey AS STRING), 'i semi-conductors inc.') WHEN 1 THEN concat('ACME ', CAST(c_custkey AS STRING), ' LLC') WHEN 2 THEN concat('o''neil', CAST(c_custkey AS STRING), ' labs Ltd') WHEN 3 THEN concat(' north ', CAST(c_custkey AS STRING), 'th Corp. ') WHEN 4 THEN concat('Incline', CAST(c_custkey AS STRING)) ELSE concat('two Corporation LLC', CAST(c_custkey AS STRING)) END"
+
+
+@query(
+    "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'C' || c_custkey || 'I Semi-Conductors' WHEN 1 THEN 'Acme ' || c_custkey WHEN 2 THEN 'O''Neil' || c_custkey || ' Labs' WHEN 3 THEN 'North ' || c_custkey || 'Th Corp.' "
+    "WHEN 4 THEN 'Incline' || c_custkey ELSE 'Two Corporation Llc' || c_custkey END AS name FROM customer"
+)
 def p9_company_name(spark, d):
-    return _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.normalize_company_name(F.col("c_name")).alias("name"))
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), T.normalize_company_name(F.expr(SAID)).alias("name"))
+
 
+ROUND_SAID = "CASE o_orderkey % 8 WHEN 0 THEN 'seed' WHEN 1 THEN ' pre-seed ' WHEN 2 THEN 'Pre-Seed round' WHEN 3 THEN 'series b extension' WHEN 4 THEN 'Series A' WHEN 5 THEN concat('SERIES E-', CAST(o_orderkey % 3 AS STRING)) WHEN 6 THEN 'bridge' ELSE o_orderpriority END"
 
-@query("SELECT o_orderpriority AS said, upper(trim(o_orderpriority)) AS round, count(*) AS n FROM orders GROUP BY 1, 2")
+
+@query(
+    "SELECT round, count(*) AS n FROM (SELECT CASE o_orderkey % 8 WHEN 0 THEN 'Seed' WHEN 1 THEN 'Pre-Seed' WHEN 2 THEN 'Seed' WHEN 3 THEN 'Series B' WHEN 4 THEN 'Series A' WHEN 5 THEN 'Series E' WHEN 6 THEN 'BRIDGE' ELSE upper(trim(o_orderpriority)) END AS round FROM orders) GROUP BY 1"
+)
 def p8_normalize_round(spark, d):
-    o = _table(spark, d, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("said"), T.normalize_round(F.col("o_orderpriority")).alias("round")).agg(F.count("*").alias("n"))
+    return _table(spark, d, "orders").groupBy(T.normalize_round(F.expr(ROUND_SAID)).alias("round")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -448,39 +445,20 @@ def p11_apex_domain(spark, d):
     return _table(spark, d, "pages").select("page_id", T.apex_domain(F.parse_url("url", F.lit("HOST"))).alias("apex"))
 
 
-@query()
-def t1_visible_text(spark, d):
-    return _table(spark, d, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
-
-
-@query()
-def t2_extract_links(spark, d):
-    links = _table(spark, d, "pages").select("page_id", F.posexplode(H.extract_links(F.col("html"))).alias("place", "l"))
-    return links.select("page_id", "place", "l.href", "l.text")
-
-
-@query()
-def t6_job_sentences(spark, d):
-    hits = _table(spark, d, "documents").select("doc_id", F.explode(SE.job_hits(F.col("text"), WORDS, ("C",))).alias("h"))
-    return hits.select("doc_id", "h.provider_name", F.array_join("h.keywords", ",").alias("keywords"), "h.is_primary")
-
-
-@query()
-def t7_site_sentences(spark, d):
-    hits = _table(spark, d, "documents").select("doc_id", F.explode(SE.site_hits(F.col("text"), WORDS)).alias("h"))
-    return hits.select("doc_id", "h.provider_name", F.array_join("h.keywords", ",").alias("keywords"), "h.is_ownership")
-
-
 TERMS = [(" the ", "cloud", "A", 1.0), ("and", "cloud", "A", 0.5), (" la ", "cloud", "B", 1.0), ("en", "ai", "C", 0.6)]
 
 
 @query(
-    "SELECT id, provider_name, term, multiplier FROM (SELECT article_id AS id, ' ' || lower(title) || '  ' AS t FROM articles), (VALUES (0, ' the ', 'A', 1.0::DOUBLE), (1, 'and', 'A', 0.5::DOUBLE), (2, ' la ', 'B', 1.0::DOUBLE), (3, 'en', 'C', 0.6::DOUBLE)) v(o, term, provider_name, multiplier) "
+    "SELECT id, provider_name, term, multiplier FROM (SELECT article_id AS id, ' ' || CASE WHEN article_id % 2 = 0 THEN trim(lower(title)) || ' acme' WHEN article_id % 3 = 0 THEN 'la la acme la; and the' ELSE lower(title) END || ' ' || lower(coalesce(summary, '')) || ' ' AS t FROM articles), "
+    "(VALUES (0, ' the ', 'A', 1.0::DOUBLE), (1, 'and', 'A', 0.5::DOUBLE), (2, ' la ', 'B', 1.0::DOUBLE), (3, 'en', 'C', 0.6::DOUBLE)) v(o, term, provider_name, multiplier) "
     "WHERE contains(t, term) QUALIFY row_number() OVER (PARTITION BY id, provider_name ORDER BY o) = 1",
     "articles",
 )
 def t8_term_classify(spark, d):
-    rows = B.articles(spark, d).select(F.col("article_id").alias("id"), "title", "summary", F.lit("zzzz").alias("company"), F.lit(None).cast("string").alias("domain"))
+    # Even articles name the company in the first clause only; every third of the others names another company in one clause.
+    title = F.when(F.expr("article_id % 2 = 0"), F.concat(F.regexp_replace("title", ";", ","), F.lit(" Acme; and the la"))).when(F.expr("article_id % 3 = 0"), "la la acme la; and the").otherwise(F.regexp_replace("title", ";", ","))
+    company = F.when(F.expr("article_id % 2 = 0"), "Acme").otherwise("zzzz")
+    rows = B.articles(spark, d).select(F.col("article_id").alias("id"), title.alias("title"), "summary", company.alias("company"), F.lit(None).cast("string").alias("domain"))
     return T.term_classify(rows, TERMS).select("id", "provider_name", "term", "multiplier")
 
 
@@ -500,8 +478,11 @@ def g15_ip_ranges(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import discovery_entries, engagement_entries, signal_entries, text_entries  # noqa: F401 - they register theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

@@ -32,7 +32,7 @@ def read_seed_csv(spark: SparkSession, path: str) -> DataFrame:
     names = ["company_name", "website", "evidence_urls", "investors", "founder_background"]
     rows = spark.read.schema(", ".join(f"{n} string" for n in names)).option("quote", '"').option("escape", '"').csv(path)
     head = F.lower(F.trim("company_name")).isin("company", "company_name", "name")
-    items = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    items = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.where(F.col("company_name").isNotNull() & (F.trim("company_name") != "") & ~head).select(
         F.trim("company_name").alias("company_name"),
         F.trim("website").alias("website"),

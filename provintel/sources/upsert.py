@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.engagement import engagement_tier, tier_label, tier_rationale
+
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Target and updates with one row per key: updates beat the target, and of several the last in order."""
@@ -31,22 +33,30 @@ def replace_signals(target: DataFrame, new: DataFrame, startups: DataFrame) -> D
     return target.join(startups.select("startup_id").distinct(), "startup_id", "left_anti").unionByName(new)
 
 
-def build_snapshot(attributions: DataFrame, classification: DataFrame, as_of: str) -> DataFrame:
-    """One wide row per startup from its two attribution sides and its classification; a missing side gets defaults."""
-
-    def side(kind: str) -> DataFrame:
-        first = F.get("providers", F.lit(0))
-        return attributions.where(F.col("provider_type") == kind).select(
-            "startup_id", F.col("is_multi").alias(f"{kind}_is_multi"), F.col("primary_provider").alias(f"{kind}_primary_provider"),
-            F.transform("providers", lambda p: p["provider_name"]).alias(f"{kind}_providers"), F.col("confidence").alias(f"{kind}_confidence"),
-            first["entrenchment"].alias(f"{kind}_entrenchment"), F.col("evidence_count").alias(f"{kind}_evidence_count"), first["raw_score"].cast("double").alias(f"{kind}_raw_score"),
-            F.col("is_not_applicable").alias(f"{kind}_not_applicable"), F.col("not_applicable_note").alias(f"{kind}_not_applicable_note"),
-        )
-
-    wide = side("cloud").join(side("ai"), "startup_id", "full_outer").join(classification, "startup_id", "left")
-    for kind in ("cloud", "ai"):
-        wide = wide.fillna({f"{kind}_is_multi": False, f"{kind}_not_applicable": False, f"{kind}_evidence_count": 0})
-        wide = wide.withColumn(f"{kind}_providers", F.coalesce(f"{kind}_providers", F.array().cast("array<string>")))
+def build_snapshot(attributions: DataFrame, classification: DataFrame, as_of: str, startups: DataFrame | None = None, funding: DataFrame | None = None) -> DataFrame:
+    """One wide row per startup from its two attribution sides and its classification; a missing side gets defaults.
+
+    With startups every one of them has a row, attributed or not. With funding (startup_id, announcement_date) the
+    engagement tier, its label and rationale are in the row.
+    """
+    first = F.get("providers", F.lit(0))
+    told = F.struct(
+        F.col("is_multi"), F.col("primary_provider"), F.transform("providers", lambda p: p["provider_name"]).alias("providers"), F.col("confidence"), first["entrenchment"].alias("entrenchment"),
+        F.col("evidence_count"), first["raw_score"].cast("double").alias("raw_score"), F.col("is_not_applicable").alias("not_applicable"), F.col("not_applicable_note"),
+    )
+    sides = attributions.groupBy("startup_id").agg(*[F.first(F.when(F.col("provider_type") == k, told), ignorenulls=True).alias(k) for k in ("cloud", "ai")])
+    if startups is not None:
+        sides = startups.select(F.col("id").alias("startup_id")).join(sides, "startup_id", "left")
+    default = {"is_multi": F.lit(False), "providers": F.array().cast("array<string>"), "evidence_count": F.lit(0).cast("long"), "not_applicable": F.lit(False)}
+    names = ("is_multi", "primary_provider", "providers", "confidence", "entrenchment", "evidence_count", "raw_score", "not_applicable", "not_applicable_note")
+    value = lambda k, n: F.coalesce(F.col(k)[n], default[n]) if n in default else F.col(k)[n]
+    wide = sides.select("startup_id", *[value(k, n).alias(f"{k}_{n}") for k in ("cloud", "ai") for n in names]).join(classification, "startup_id", "left")
+    if funding is not None:
+        dates = funding.groupBy("startup_id").agg(F.max("announcement_date").alias("_date"))
+        args = (F.col("_date"), F.col("cloud_propensity"), F.col("cloud_entrenchment"), F.lit(as_of).cast("date"))
+        wide = wide.join(dates, "startup_id", "left").withColumn("engagement_tier", engagement_tier(*args))
+        tier = F.col("engagement_tier")
+        wide = wide.withColumn("engagement_tier_label", tier_label(tier)).withColumn("engagement_tier_rationale", tier_rationale(tier, *args)).drop("_date")
     return wide.withColumn("snapshot_date", F.lit(as_of).cast("date"))
 
 

@@ -1,29 +1,38 @@
-"""Streaming ingest of articles: filters, url de-duplication in state, title de-duplication and upsert per micro-batch."""
+"""Streaming ingest of articles: filters, url de-duplication in state, title de-duplication and upsert over batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import title_key
-from ..operators.discovery import funding_news, priority
+from ..operators.discovery import passes_filters, priority
 from ..sources.upsert import last_per_key
 
 LOOK_BACK = "3 days"
 
 
 def fresh_articles(stream: DataFrame, look_back: str = LOOK_BACK) -> DataFrame:
-    """Funding articles, once per url within the look-back; later than that is dropped, so state stays bounded."""
-    return funding_news(stream).withWatermark("published", look_back).dropDuplicatesWithinWatermark(["url"])
+    """Articles that pass their source's filter, once per url within the look-back; later than that is dropped, so state stays bounded."""
+    return passes_filters(stream).withWatermark("published", look_back).dropDuplicatesWithinWatermark(["url"])
+
+
+def best_per_title(articles: DataFrame) -> DataFrame:
+    """Per title key the article of the highest source priority, of those the earliest."""
+    ranked = articles.withColumn("_key", title_key(F.col("title"))).withColumn("_prio", priority(F.col("source"))).withColumn("_neg", -F.col("ord"))
+    return last_per_key(ranked, ["_key"], ["_prio", "_neg"]).drop("_key", "_prio", "_neg")
 
 
 def start_ingest(stream: DataFrame, path: str, checkpoint: str, look_back: str = LOOK_BACK) -> StreamingQuery:
-    """Appends each batch's best article per title key to path, partitioned by day."""
+    """Writes each batch's best articles to its own partition of path, by day; a batch that is run again replaces its partition."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        ranked = batch.withColumn("_key", title_key(F.col("title"))).withColumn("_prio", priority(F.col("source"))).withColumn("_neg", -F.col("ord"))
-        best = last_per_key(ranked, ["_key"], ["_prio", "_neg"]).drop("_key", "_prio", "_neg")
-        best.withColumn("day", F.to_date("published")).withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("day").parquet(path)
+        best_per_title(batch).withColumn("day", F.to_date("published")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
 
     return fresh_articles(stream, look_back).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_articles(spark: SparkSession, path: str) -> DataFrame:
+    """The upserted table: over all batches one article a title key, the same that one batch would have kept."""
+    return best_per_title(spark.read.parquet(path))
