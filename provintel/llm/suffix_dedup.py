@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
-from .substring_dedup import merge_spans, n_buckets
+from .substring_dedup import least_places, merge_spans, n_buckets
 from .words import byte_prefix, column, mix, powers, signed, slices
 
 WIDTH, GRAM = 200, 24
@@ -153,21 +153,6 @@ def repeated_places(pieces: list[np.ndarray], width: int) -> list[np.ndarray]:
     return [within[found[cut[i] : cut[i + 1]]] for i in range(n)]
 
 
-def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of width hashes, the place of the first least one; blockwise prefix and suffix minima."""
-    n = len(hashes)
-    bits = np.uint64(max(n, 2).bit_length())
-    packed = (hashes >> bits) << bits | np.arange(n, dtype=np.uint64)
-    blocks = -(-n // width)
-    padded = np.full(blocks * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = packed
-    grid = padded.reshape(blocks, width)
-    left = np.minimum.accumulate(grid, axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    m = n - width + 1
-    return (np.minimum(right[:m], left[width - 1 : width - 1 + m]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-
-
 def _entries(bucket: np.ndarray, kind: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     offsets = pa.array(np.append(first, len(bucket)).astype(np.int32))
