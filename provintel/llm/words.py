@@ -14,7 +14,7 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BYTE_VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -45,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of PRIME modulo 2**64, and of its inverse."""
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + (1 << 17))
         inverse = np.uint64(pow(int(PRIME), -1, 1 << 64))
         _powers, _inverses = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, p, dtype=np.uint64))]) for p in (PRIME, inverse))
     return _powers[:n], _inverses[:n]
@@ -72,6 +72,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
+        del text, raw, values, data
+        pa.default_memory_pool().release_unused()  # workers stay, and several share an executor
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
