@@ -1,7 +1,9 @@
 """Chat formatting: a finite-state machine over roles walks each conversation and emits text segments with loss flags.
 
 A declarative Template says what stands before and after a turn of each role and which roles carry loss. Control strings
-inside texts are escaped with one more backslash after their first character, so formatted text can be read back.
+inside texts are escaped with one more backslash after their first character. Segments are numbered within their
+conversation, so they can be written, read and ordered again. read_back() joins their texts and parses those alone, by the
+template's marks: what it finds proves that the escape is sound.
 
 Rows are hashed by conversation, sorted by turn and streamed; a task holds one turn at a time, so a conversation of any
 length fits. Its turns meet in one task, as the digest of an ordered text is sequential.
@@ -21,7 +23,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SEGMENT_SCHEMA = "conv_id long, kind string, text string, loss boolean, valid boolean"
+SEGMENT_SCHEMA = "conv_id long, segment long, kind string, text string, loss boolean, valid boolean"
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 BATCH_CHARS = 1 << 21
 
@@ -61,20 +63,18 @@ class Template:
         before, after = self.marks.get(role) or (self.other[0] + self.escape(role) + self.other[1], self.other[2])
         return [(before, False), (self.escape(text), role in self.loss_roles), (after, False)]
 
-    def turn_pattern(self) -> re.Pattern:
-        """Matches one whole formatted turn; groups are named by role's place, or other role and text."""
-        parts = [f"{re.escape(a)}(?P<r{i}>.*?){re.escape(b)}" for i, (a, b) in enumerate(self.marks.values())]
-        a, b, c = map(re.escape, self.other)
-        return re.compile("|".join([*parts, f"{a}(?P<role>.*?){b}(?P<text>.*?){c}"]), re.DOTALL)
-
-    def read_turn(self, pattern: re.Pattern, text: str) -> tuple[str, str] | None:
-        """Role and text of the formatted turn, or None if it isn't whole yet."""
-        if not (m := pattern.fullmatch(text)):
-            return None
-        if m["role"] is not None:
-            return self.unescape(m["role"]), self.unescape(m["text"])
-        i = next(i for i in range(len(self.marks)) if m[f"r{i}"] is not None)
-        return list(self.marks)[i], self.unescape(m[f"r{i}"])
+    def read_turn(self, text: str) -> tuple[str, str, int] | None:
+        """Role, text and length of the turn that formatted text starts with; None if it has no whole turn yet."""
+        before, middle, after = self.other
+        if text.startswith(before):
+            at = text.find(middle, len(before))
+            end = text.find(after, at + len(middle)) if at >= 0 else -1
+            return None if end < 0 else (self.unescape(text[len(before) : at]), self.unescape(text[at + len(middle) : end]), end + len(after))
+        for role, (before, after) in self.marks.items():
+            if text.startswith(before):
+                end = text.find(after, len(before))
+                return None if end < 0 else (role, self.unescape(text[len(before) : end]), end + len(after))
+        return None
 
 
 def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
@@ -97,64 +97,75 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, text_at: int | None) -> I
 
 
 def _emit(rows: Iterator[tuple], template: Template) -> Iterator[tuple]:
-    now, state, valid, any_row = None, "start", True, False
+    now, state, valid, any_row, k = None, "start", True, False, 0
     for conv, role, text in rows:
         role, text = role or "", text or ""
         if not any_row or conv != now:
             if any_row:
-                yield now, "end", "", False, valid and state in template.final
-            now, state, valid, any_row = conv, "start", True, True
-            yield conv, "begin", template.begin, False, True
+                yield now, k, "end", "", False, valid and state in template.final
+            now, state, valid, any_row, k = conv, "start", True, True, 1
+            yield conv, 0, "begin", template.begin, False, True
         follow = template.moves.get(state, {}).get(role)
         valid, state = valid and follow is not None, follow or (role if role in template.moves else state)
         for kind, (piece, loss) in zip(("before", "text", "after"), template.segments(role, text), strict=True):
-            yield conv, kind, piece, loss, valid
+            yield conv, k, kind, piece, loss, valid
+            k += 1
     if any_row:
-        yield now, "end", "", False, valid and state in template.final
+        yield now, k, "end", "", False, valid and state in template.final
 
 
 def format_conversations(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """Segments in order within each conversation (and task): kind, text, loss flag; the row of kind end says if it is valid."""
+    """Numbered segments of each conversation: kind, text, loss flag; the row of kind end says if it is valid."""
     template = template or Template()
-    schema = pa.schema([("conv_id", pa.int64()), ("kind", pa.string()), ("text", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())])
+    schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("kind", pa.string()), ("text", pa.string()), ("loss", pa.bool_()), ("valid", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batched(_emit(_rows(batches, "conv_id", "role", "text"), template), schema, 2)
+        return _batched(_emit(_rows(batches, "conv_id", "role", "text"), template), schema, 3)
 
     ordered = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(run, SEGMENT_SCHEMA)
 
 
 def _digest(rows: Iterator[tuple], template: Template) -> Iterator[tuple]:
-    pattern = template.turn_pattern()
-    for conv, kind, text, loss, valid in rows:
-        if kind == "begin":
-            n, turns, lost, loss_chars, chars, open_turn = 0, hashlib.sha256(), hashlib.sha256(), 0, 0, ""
+    """Digests of conversations whose segments come in order. Turns are found in the joined text; flags only say what carries loss."""
+
+    def torn(conv: int) -> ValueError:
+        return ValueError(f"conversation {conv}: formatted text can't be read back")
+
+    now, any_row = None, False
+    for conv, text, loss, valid in rows:
+        if not any_row or conv != now:
+            if any_row:
+                if rest or not begun:
+                    raise torn(now)
+                yield now, n, turns.hexdigest(), loss_chars, lost.hexdigest(), chars, ok
+            now, any_row, begun = conv, True, False
+            n, turns, lost, loss_chars, chars, rest = 0, hashlib.sha256(), hashlib.sha256(), 0, 0, ""
+        ok = valid
         chars += len(text)
-        if kind == "end":
-            if open_turn:
-                raise ValueError(f"conversation {conv}: formatted text can't be read back")
-            yield conv, n, turns.hexdigest(), loss_chars, lost.hexdigest(), chars, valid
-        elif kind != "begin":
-            open_turn += text
-            if loss:
-                plain = template.unescape(text)
-                loss_chars += len(plain)
-                lost.update(plain.encode())
-            if kind == "after":
-                turn = template.read_turn(pattern, open_turn)
-                if turn is None:
-                    raise ValueError(f"conversation {conv}: formatted text can't be read back")
-                turns.update(f"{turn[0]}\n{turn[1]}\n".encode())
-                n, open_turn = n + 1, ""
+        rest += text
+        if loss:
+            plain = template.unescape(text)
+            loss_chars += len(plain)
+            lost.update(plain.encode())
+        if not begun and rest.startswith(template.begin):
+            begun, rest = True, rest[len(template.begin) :]
+        while begun and (turn := template.read_turn(rest)):
+            turns.update(f"{turn[0]}\n{turn[1]}\n".encode())
+            n, rest = n + 1, rest[turn[2] :]
+    if any_row:
+        if rest or not begun:
+            raise torn(now)
+        yield now, n, turns.hexdigest(), loss_chars, lost.hexdigest(), chars, ok
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Parses segments, as format_conversations() left them, into turns again; one row of digests per conversation."""
+    """Orders segments by their numbers and parses their joined text into turns again; one row of digests per conversation."""
     template = template or Template()
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batched(_digest(_rows(batches, "conv_id", "kind", "text", "loss", "valid"), template), schema, None)
+        return _batched(_digest(_rows(batches, "conv_id", "text", "loss", "valid"), template), schema, None)
 
-    return segments.mapInArrow(run, DIGEST_SCHEMA)
+    ordered = segments.select("conv_id", "segment", "text", "loss", "valid").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.mapInArrow(run, DIGEST_SCHEMA)
