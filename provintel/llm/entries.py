@@ -66,7 +66,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_table(spark, sf_dir, "documents"), batches=2, digest=True)
+    return substring_dedup(_table(spark, sf_dir, "documents"), batches=3, digest=True, fanout=2)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,8 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 
 OP8_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), g AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM d, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 199)) AS t(i)
+), block AS (SELECT doc_id, o, CAST(length(h) / 2 AS BIGINT) AS n, substr(h, 2 * o + 1, 2 * 455) AS x FROM d, unnest(range(0, CAST(length(h) / 2 AS BIGINT), 256)) AS t(o)
+), g AS (SELECT doc_id, o + k AS i, md5(substr(x, 2 * k + 1, 400)) AS s FROM block, unnest(range(0, greatest(0, least(256, n - 199 - o)))) AS t(k)
 ), often AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1
 ), hit AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM g SEMI JOIN often USING (s)
 ), run AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit) GROUP BY doc_id, k

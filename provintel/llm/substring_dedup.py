@@ -6,11 +6,12 @@ the same anchor make a stretch (13 to 22 words). Equal windows have equal anchor
 first document goes out - its later documents are repeats already - so a passage in a third of all documents adds one
 entry a slice, not one a document.
 
-A run of the index is immutable: per bucket, the sorted (anchor, stretch) hashes of past batches and the first document
-of each. A batch is merge-joined with the runs bucket by bucket: a stretch that an earlier document has is all repeats.
-Anchors with several different stretches are verified window by window: their first owners' texts are read again and
-their windows, as two independent 64-bit hashes, are resolved the same way. The batch's own run is appended, and runs are
-compacted into one when there are ``fanout`` of them.
+A run of the index is immutable: per bucket, the sorted (anchor, stretch) hashes of one batch and the first document of
+each. A batch is sorted by bucket and merge-joined with the runs, of which only rows with one of its anchors go on: a
+stretch that an earlier document has is all repeats. Anchors with several different stretches are verified window by
+window: their first owners' texts are read again and their windows are resolved the same way, by two 64-bit hashes of the
+words' bytes that come from different byte values. The batch's own run is appended, and runs are compacted into one when
+there are ``fanout`` of them. With a path, runs stay there and a later job opens the index again.
 
 Defined cases: null text has no words; texts shorter than a window keep everything; a repeat inside one document does not
 count; doc_id identifies a document, rows that share one are judged alike; extra columns are kept; no rows give no rows.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, materialize
-from .words import PRIME, Words, column, mix, powers, signed, word_slices
+from .words import PRIME, Words, column, mix, other_hashes, powers, signed, word_slices
 
 WIDTH, GRAM = 13, 4
 ENTRY_SCHEMA = "bucket long, kind int, doc array<long>, key array<long>, check array<long>, pos array<long>, len array<long>"
@@ -72,7 +73,7 @@ def stretches(w: Words, width: int, gram: int) -> tuple[np.ndarray, ...]:
     anchor = anchor[at]
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
     count, start = np.diff(np.append(first, len(at))), at[first]
-    prefix, down = word_prefix(w.hash)
+    prefix, down = word_prefix(other_hashes(w))
     end = start + count + width - 1
     check = mix((prefix[end] - prefix[start]) * down[start] + (anchor[first] - start).astype(np.uint64))
     return start, count, grams[anchor[first]], check
@@ -136,7 +137,7 @@ def _map_windows(batches: Iterator[pa.RecordBatch], width: int, buckets: int) ->
         count = np.maximum(np.minimum(size, first_word[row + 1] - first_word[row] - pos) - width + 1, 0)
         at = np.repeat(first_word[row] + pos, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         at = np.unique(at)
-        prefix, down = word_prefix(w.hash)
+        prefix, down = word_prefix(other_hashes(w))
         check = mix((prefix[at + width] - prefix[at]) * down[at])
         key = np.zeros(len(at), dtype=np.uint64)
         for k in range(width):
@@ -152,8 +153,15 @@ def _map_windows(batches: Iterator[pa.RecordBatch], width: int, buckets: int) ->
 
 
 def _resolve_bucket(bucket: int, parts: list[tuple[int, list[np.ndarray]]], keep_run: bool, unclear: bool) -> Iterator[pa.RecordBatch]:
-    doc, key, check, pos, size = (np.concatenate([p[1][i] for p in parts]) for i in range(5))
-    past = np.concatenate([np.full(len(p[1][0]), p[0] == PAST) for p in parts])
+    fresh = [p for kind, p in parts if kind == NEW]
+    if not fresh:
+        return
+    if keep_run:
+        yield from _merge_bucket(bucket, fresh)
+    anchors = np.unique(np.concatenate([p[1] for p in fresh]))
+    met = [[x[rows] for x in p] for kind, p in parts if kind != NEW and len(rows := _meeting(anchors, p[1]))]
+    doc, key, check, pos, size = (np.concatenate([p[i] for p in fresh + met]) for i in range(5))
+    past = np.arange(len(doc)) >= sum(len(p[0]) for p in fresh)
     order = np.lexsort((doc, check, key))
     doc, key, check, pos, size, past = (x[order] for x in (doc, key, check, pos, size, past))
     new_key = np.concatenate([[True], key[1:] != key[:-1]])
@@ -172,12 +180,30 @@ def _resolve_bucket(bucket: int, parts: list[tuple[int, list[np.ndarray]]], keep
         todo = several[group] & (doc == owner)
         if todo.any():
             yield entry_batch(where(todo), UNCLEAR, [x[todo] for x in (doc, key, check, pos, size)])
-    if keep_run:
-        yield entry_batch(where(new), RUN, [x[first] for x in (doc, key, check, pos, size)])
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], keep_run: bool, unclear: bool) -> Iterator[pa.RecordBatch]:
+def _meeting(anchors: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Rows of a run (keys) that have one of the anchors, which are sorted."""
+    at = np.minimum(np.searchsorted(anchors, keys), len(anchors) - 1)
+    return np.flatnonzero(anchors[at] == keys)
+
+
+def _merge_bucket(bucket: int, parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """A run: the first document of each (key, check), sorted by them."""
+    arrays = [np.concatenate([p[i] for p in parts]) for i in range(5)]
+    doc, key, check = arrays[:3]
+    order = np.lexsort((doc, check, key))
+    key, check = key[order], check[order]
+    first = order[np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])]
+    yield entry_batch(np.full(len(first), bucket, dtype=np.int64), RUN, [x[first] for x in arrays])
+
+
+def _resolve(batches: Iterator[pa.RecordBatch], keep_run: bool, unclear: bool, compact: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; a bucket's entries are held together."""
+
+    def done(bucket: int, parts: list[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        return _merge_bucket(bucket, [p for _, p in parts]) if compact else _resolve_bucket(bucket, parts, keep_run, unclear)
+
     now, parts = None, []
     for batch in batches:
         lists = [batch.column(batch.schema.get_field_index(n)) for n in _NAMES]
@@ -186,17 +212,17 @@ def _resolve(batches: Iterator[pa.RecordBatch], keep_run: bool, unclear: bool) -
                 yield batch.slice(i, 1)
                 continue
             if bucket != now and parts:
-                yield from _resolve_bucket(now, parts, keep_run, unclear)
+                yield from done(now, parts)
                 parts = []
             now = bucket
             views = [x[i].values.to_numpy() for x in lists]
             parts.append((kind, [views[0], views[1].view(np.uint64), views[2].view(np.uint64), views[3], views[4]]))
     if parts:
-        yield from _resolve_bucket(now, parts, keep_run, unclear)
+        yield from done(now, parts)
 
 
-def resolve(entries: DataFrame, keep_run: bool, unclear: bool) -> DataFrame:
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _resolve(b, keep_run, unclear), ENTRY_SCHEMA)
+def resolve(entries: DataFrame, keep_run: bool, unclear: bool, compact: bool = False) -> DataFrame:
+    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _resolve(b, keep_run, unclear, compact), ENTRY_SCHEMA)
 
 
 def _spans(entries: DataFrame, kind: int) -> DataFrame:
@@ -212,19 +238,37 @@ def _texts_with(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, stretch) hashes with their first documents, by bucket."""
+    """Sorted immutable runs of (anchor, stretch) hashes with their first documents, by bucket.
 
-    def __init__(self, buckets: int, width: int = WIDTH, gram: int = GRAM, fanout: int = 4):
-        self.buckets, self.width, self.gram, self.fanout = buckets, width, gram, fanout
+    Without a path the runs last as long as the session. With one, each run is a folder of it, and manifests say which
+    runs count; open() takes the index up again, given the documents that are in it.
+    """
+
+    def __init__(self, buckets: int, width: int = WIDTH, gram: int = GRAM, fanout: int = 4, path: str | None = None):
+        self.buckets, self.width, self.gram, self.fanout, self.path = buckets, width, gram, fanout, path
         self.runs: list[DataFrame] = []
+        self.names: list[str] = []
+        self.written = 0
         self.past: DataFrame | None = None
 
+    @classmethod
+    def open(cls, path: str, documents: DataFrame, width: int = WIDTH, gram: int = GRAM, fanout: int = 4) -> FingerprintIndex:
+        spark = documents.sparkSession
+        rows = spark.read.parquet(f"{path}/manifest-*").collect()  # a row a run and state
+        last = max(r["state"] for r in rows)
+        now = sorted((r for r in rows if r["state"] == last), key=lambda r: r["run"])
+        index = cls(now[0]["buckets"], width, gram, fanout, path)
+        index.names, index.written = [r["run"] for r in now], last + 1
+        index.runs = [spark.read.schema(ENTRY_SCHEMA).parquet(f"{path}/{n}") for n in index.names]
+        index.past = documents.select("doc_id", "text", F.lit(True).alias("past"))
+        return index
+
     def repeats(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """doc_id and spans of words that repeat earlier documents; the batch then is part of the index, unless last."""
         width, gram, buckets = self.width, self.gram, self.buckets
         entries = batch.select("doc_id", "text").mapInArrow(lambda b: _map_stretches(b, width, gram, buckets), ENTRY_SCHEMA)
         for run in self.runs:
-            entries = entries.unionByName(run.withColumn("kind", F.lit(PAST)))
+            entries = entries.unionByName(run)
         found = materialize(resolve(entries, not last, True), "stretches", "kind").select("bucket", *_NAMES, F.col("kind").cast("int").alias("kind"))
         texts = batch.select("doc_id", "text", F.lit(False).alias("past"))
         if self.past is not None:
@@ -233,7 +277,7 @@ class FingerprintIndex:
         windows = _texts_with(texts, unclear).mapInArrow(lambda b: _map_windows(b, width, buckets), ENTRY_SCHEMA)
         verified = materialize(resolve(windows, False, False), "windows")
         if not last:
-            self.runs.append(found.where(F.col("kind") == RUN))
+            self._append(found.where(F.col("kind") == RUN).select("bucket", "kind", *_NAMES))
             self.past = texts.withColumn("past", F.lit(True))
             if len(self.runs) >= self.fanout:
                 self.compact()
@@ -244,8 +288,20 @@ class FingerprintIndex:
         every = self.runs[0]
         for run in self.runs[1:]:
             every = every.unionByName(run)
-        merged = resolve(every.withColumn("kind", F.lit(PAST)), True, False).where(F.col("kind") == RUN)
-        self.runs = [materialize(merged, "run")]
+        merged = resolve(every, False, False, compact=True)
+        self.runs, self.names = [], []
+        self._append(merged if self.path else materialize(merged, "run"))
+
+    def _append(self, run: DataFrame) -> None:
+        if self.path:
+            name = f"run-{self.written:06d}"
+            run.write.parquet(f"{self.path}/{name}")
+            run = run.sparkSession.read.schema(ENTRY_SCHEMA).parquet(f"{self.path}/{name}")
+            self.names.append(name)
+            state = [(self.written, n, self.buckets) for n in self.names]
+            run.sparkSession.createDataFrame(state, "state long, run string, buckets long").coalesce(1).write.parquet(f"{self.path}/manifest-{self.written:06d}")
+            self.written += 1
+        self.runs.append(run)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int, digest: bool) -> Iterator[pa.RecordBatch]:
@@ -278,13 +334,13 @@ def n_buckets(documents: DataFrame) -> int:
     return max(16, -(-size // BUCKET_BYTES))
 
 
-def find_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1) -> DataFrame:
+def find_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1, fanout: int = 4) -> DataFrame:
     """doc_id and spans (pos, len) of words in windows that documents of smaller doc_id have.
 
     With several batches, documents come into the index in doc_id order, a range at a time.
     """
     documents = documents.select("doc_id", "text").where("doc_id is not null")
-    index = FingerprintIndex(n_buckets(documents), width, gram)
+    index = FingerprintIndex(n_buckets(documents), width, gram, fanout)
     edges = documents.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or [] if batches > 1 else []
     edges = sorted(set(edges))
     repeats = None
@@ -299,9 +355,9 @@ def find_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, bat
     return repeats
 
 
-def substring_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1, digest: bool = False) -> DataFrame:
+def substring_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1, digest: bool = False, fanout: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words, one space between) or its SHA-256."""
-    repeats = find_repeats(documents, width, gram, batches)
+    repeats = find_repeats(documents, width, gram, batches, fanout)
     kind = "kept_sha256" if digest else "kept_text"
     schema = f"doc_id long, n_words long, n_removed long, {kind} string"
     touched = _texts_with(documents.select("doc_id", "text"), repeats).mapInArrow(lambda b: _cut(b, width, digest), schema)
@@ -311,16 +367,23 @@ def substring_dedup(documents: DataFrame, width: int = WIDTH, gram: int = GRAM,
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of columns c0, c1, ... (by the names' order) and spans, with new texts."""
+    at = names.index("text")
     for batch in batches:
-        some = batch.select(["doc_id", "text", "__spans"]).rename_columns(["doc_id", "text", "spans"])
+        some = pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), batch.column(at), batch.column(len(names) + 1)], names=["doc_id", "text", "spans"])
         texts = pa.chunked_array([x.column(3) for x in _cut(iter([some]), WIDTH, False)], pa.string()).combine_chunks()
         new = {"text": texts, "n_chars": pa.compute.utf8_length(texts)}
-        yield pa.RecordBatch.from_arrays([new[n].cast(batch.schema.field(n).type) if n in new else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [new[n].cast(batch.schema.field(i).type) if n in new else batch.column(i) for i, n in enumerate(names)], names=[f"c{i}" for i in range(len(names))]
+        )
 
 
-def without_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1) -> DataFrame:
+def without_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1, fanout: int = 4) -> DataFrame:
     """The documents, all columns; texts that had repeats are their kept words with one space between, n_chars follows."""
-    repeats = find_repeats(documents, width, gram, batches).withColumnRenamed("spans", "__spans")
-    ids, names = broadcast_if_small(repeats.select("doc_id")), documents.columns
-    touched = documents.join(ids, "doc_id", "left_semi").join(repeats, "doc_id").mapInArrow(lambda b: _rewrite(b, names), documents.schema)
-    return touched.unionByName(documents.join(ids, "doc_id", "left_anti"))
+    repeats = find_repeats(documents, width, gram, batches, fanout).withColumnRenamed("doc_id", "__doc")
+    names = documents.columns
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])  # no name of theirs can clash
+    ids, doc = broadcast_if_small(repeats.select("__doc")), f"c{names.index('doc_id')}"
+    some = plain.join(ids, F.col(doc) == F.col("__doc"), "left_semi")
+    touched = some.join(repeats, F.col(doc) == F.col("__doc")).select(*plain.columns, "__doc", "spans").mapInArrow(lambda b: _rewrite(b, names), plain.schema)
+    return touched.unionByName(plain.join(ids, F.col(doc) == F.col("__doc"), "left_anti")).toDF(*names)

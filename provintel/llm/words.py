@@ -15,7 +15,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 1 << 20
-_BYTE_VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_VALUES, _OTHER_VALUES = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240601, 20240602))
 
 
 class Words(NamedTuple):
@@ -51,14 +51,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _inverses[:n]
 
 
-def byte_prefix(data: np.ndarray) -> np.ndarray:
+def byte_prefix(data: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> np.ndarray:
     """Prefix sums of byte values times powers: any slice's hash is a difference times an inverse power."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up, out=out[1:])
+    np.cumsum(values[data] * up, out=out[1:])
     return out
 
 
+def other_hashes(w: Words) -> np.ndarray:
+    """Hashes of the words' bytes that come from other byte values than w.hash."""
+    prefix, (_, down) = byte_prefix(w.data, _OTHER_VALUES), powers(len(w.data) + 1)
+    return mix((prefix[w.end] - prefix[w.start]) * down[w.start])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their text bytes end to end, n+1 offsets), of about ``most`` bytes or one row; null text is empty."""
     for batch in batches:

@@ -13,7 +13,7 @@ from provintel.llm.quality_rules import quality_rules
 from provintel.llm.substring_dedup import substring_dedup, without_repeats
 from provintel.llm.suffix_dedup import suffix_dedup
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept string, bucket string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, __doc string, d string"
 ROWS = [
     (None, None, None, None, None, None, None, None),
     (None, "Hello world hello", None, None, 3, None, "x", None),
