@@ -36,7 +36,7 @@ LEAST_REAL, FEATURES = 0.2, 4_000  # words less likely than this to tell anythin
 Z_BINS = 5  # bins a unit of the test statistic
 LEVELS = 12  # classes of a statistic
 STATISTICS = ("length", "marks", "bars", "capitals", "repeats")
-RIDGE = 1.0
+RIDGE = 0.1
 MAX_STRENGTH = 1000.0
 NOT_LETTER = np.ones(256, dtype=bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
