@@ -146,7 +146,7 @@ def job_postings(posts: DataFrame, cloud: dict = rules.CLOUD_KEYWORDS, ai: dict
     role = F.lower(F.coalesce("title", F.lit(""))).rlike("|".join(rules.ROLE_KEYWORDS))
     place = F.row_number().over(Window.partitionBy("startup_id").orderBy(F.when(role, 0).otherwise(1), "ord"))
     some = posts.where("status = 200").withColumn("place", place).where(F.col("place") <= most).withColumn("text", html.job_text(F.col("html"))).drop("html")
-    scanned = some.withColumn("cloud_hits", sentences.job_hits(F.col("text"), cloud)).withColumn("ai_hits", sentences.job_hits(F.col("text"), ai, tuple(ai)))
+    scanned = sentences.with_job_hits(sentences.with_job_hits(some, "cloud_hits", F.col("text"), cloud), "ai_hits", F.col("text"), ai, tuple(ai))
     before = Window.partitionBy("startup_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     had = lambda c: F.coalesce(F.max(F.size(c) > 0).over(before), F.lit(False))
     read = scanned.withColumn("_done", had("cloud_hits") & had("ai_hits")).where("not _done")
@@ -159,7 +159,7 @@ def site_pages(pages: DataFrame, groups: dict[str, tuple[str, float]] = rules.PA
     """Pages (startup_id, path, url, html, ord) by path group -> (signal source, weight); cloud by sentence rules, AI by keywords; ownership is worth 1.0."""
     table = _ordered_table(pages, [(p, g, w) for p, (g, w) in groups.items()], "path string, signal_source string, weight double")
     got = pages.where("status = 200").join(table, "path").withColumn("text", html.visible_text(F.col("html"))).drop("html")
-    cloudy = got.withColumn("h", F.explode(sentences.site_hits(F.col("text"), cloud))).select("startup_id", "url", "map_ord", "signal_source", "weight", F.col("h.provider_name").alias("provider_name"), F.col("h.keywords").alias("keywords"), F.col("h.is_ownership").alias("owns"), F.lit("cloud").alias("_type"))
+    cloudy = sentences.with_site_hits(got, "_hits", F.col("text"), cloud).withColumn("h", F.explode("_hits")).select("startup_id", "url", "map_ord", "signal_source", "weight", F.col("h.provider_name").alias("provider_name"), F.col("h.keywords").alias("keywords"), F.col("h.is_ownership").alias("owns"), F.lit("cloud").alias("_type"))
     smart = keyword_scan(got.drop("provider_name"), "text", ai).select("startup_id", "url", "map_ord", "signal_source", "weight", "provider_name", "keywords", F.lit(False).alias("owns"), F.lit("ai").alias("_type"))
     every = cloudy.unionByName(smart).withColumn("weight", F.when(F.col("owns"), 1.0).otherwise(F.col("weight"))).withColumn("signal_source", F.when(F.col("owns"), "ownership_declaration").otherwise(F.col("signal_source")))
     return signal_rows(every, 11, "", F.col("weight"), F.col("_type"), F.col("map_ord"), F.concat(F.lit("Keywords: "), F.array_join("keywords", ", ")), F.col("url"), ["signal_source"])

@@ -197,7 +197,7 @@ _JOB_FACTS = "(VALUES (1, 'AWS', false), (1, 'Azure', false), (2, 'AWS', true),
 
 @query(f"SELECT id, p AS provider_name, bool_or(q) AS is_primary FROM (SELECT c_custkey AS id, unnest([c_custkey % 7, CAST(floor(c_custkey / 7) AS BIGINT) % 7]) AS k FROM customer) JOIN {_JOB_FACTS} USING (k) GROUP BY 1, 2")
 def t6_job_rules(spark, d):
-    hits = B.derived(spark, d, "customer", JOBS).select("id", F.explode(SE.job_hits(F.col("text"), {**CLOUD, **AI}, tuple(AI))).alias("h"))
+    hits = SE.with_job_hits(B.derived(spark, d, "customer", JOBS), "hits", F.col("text"), {**CLOUD, **AI}, tuple(AI)).select("id", F.explode("hits").alias("h"))
     return hits.select("id", "h.provider_name", "h.is_primary")
 
 
@@ -214,7 +214,7 @@ _SITE_FACTS = "(VALUES (0, 'AWS', true), (3, 'Azure', false), (4, 'GCP', true),
 
 @query(f"SELECT id, p AS provider_name, bool_or(q) AS is_ownership FROM (SELECT c_custkey AS id, unnest([c_custkey % 7, CAST(floor(c_custkey / 7) AS BIGINT) % 7]) AS k FROM customer) JOIN {_SITE_FACTS} USING (k) GROUP BY 1, 2")
 def t7_site_rules(spark, d):
-    hits = B.derived(spark, d, "customer", SITE_TEXTS).select("id", F.explode(SE.site_hits(F.col("text"), CLOUD)).alias("h"))
+    hits = SE.with_site_hits(B.derived(spark, d, "customer", SITE_TEXTS), "hits", F.col("text"), CLOUD).select("id", F.explode("hits").alias("h"))
     return hits.select("id", "h.provider_name", "h.is_ownership")
 
 
@@ -224,14 +224,14 @@ WORDS = {"A": [" the ", " and "], "B": [" est ", " la "], "C": [" der ", " und "
 @query()
 def t6_job_sentences(spark, d):
     """All documents; the rules themselves are proven by t6_job_rules."""
-    hits = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(SE.job_hits(F.col("text"), WORDS, ("C",))).alias("h"))
+    hits = SE.with_job_hits(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "hits", F.col("text"), WORDS, ("C",)).select("doc_id", F.explode("hits").alias("h"))
     return hits.select("doc_id", "h.provider_name", F.array_join("h.keywords", ",").alias("keywords"), "h.is_primary")
 
 
 @query()
 def t7_site_sentences(spark, d):
     """All documents; the rules themselves are proven by t7_site_rules."""
-    hits = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(SE.site_hits(F.col("text"), WORDS)).alias("h"))
+    hits = SE.with_site_hits(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "hits", F.col("text"), WORDS).select("doc_id", F.explode("hits").alias("h"))
     return hits.select("doc_id", "h.provider_name", F.array_join("h.keywords", ",").alias("keywords"), "h.is_ownership")
 
 

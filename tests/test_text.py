@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from provintel.functions import rules
 from provintel.functions import text as T
-from provintel.functions.sentences import SentenceRules
+from provintel.functions import sentences as SE
 
 
 def one(spark, expr, value):
@@ -57,19 +57,25 @@ def test_keyword_scan_never_matches_punctuated_keywords(spark):
     assert got == {"AWS"}
 
 
-def test_job_sentences():
-    r = SentenceRules(rules.CLOUD_KEYWORDS)
-    names = lambda t: {h["provider_name"]: h["is_primary"] for h in r.job(t)}
+def test_job_sentences(spark):
+    def names(text, table=rules.CLOUD_KEYWORDS, ai=()):
+        df = spark.createDataFrame([(text,)], "v string")
+        return {h["provider_name"]: h["is_primary"] for h in SE.with_job_hits(df, "h", F.col("v"), table, ai).first()["h"]}
+
     assert names("AWS, Azure, or GCP experience preferred") == {}
     assert names("We migrated from Azure to AWS") == {"AWS": False, "Azure": False}
     assert names("AWS primarily, with Azure and GCP support for enterprise customers") == {"AWS": True}
     assert set(names("our internal AWS environment, plus Azure and GCP")) == {"AWS", "Azure", "GCP"}
-    ai = SentenceRules(rules.AI_KEYWORDS, tuple(rules.AI_KEYWORDS))
-    assert ai.job("Experience with OpenAI API required") == []
-    assert r.job(None) == []
+    assert names("Experience with OpenAI API required", rules.AI_KEYWORDS, tuple(rules.AI_KEYWORDS)) == {}
+    assert names("We call OpenAI.\nExperience with OpenAI API required", rules.AI_KEYWORDS, tuple(rules.AI_KEYWORDS)) == {"OpenAI": False}
+    assert names(None) == {}
+
 
+def test_site_sentences(spark):
+    def hits(text):
+        df = spark.createDataFrame([(text,)], "v string")
+        return [h.asDict() for h in SE.with_site_hits(df, "h", F.col("v"), rules.CLOUD_KEYWORDS).first()["h"]]
 
-def test_site_sentences():
-    r = SentenceRules(rules.CLOUD_KEYWORDS)
-    assert r.site("Our platform is built natively on AWS today") == [{"provider_name": "AWS", "keywords": [" aws "], "is_ownership": True}]
-    assert r.site("We secure your AWS environment") == []
+    assert hits("Our platform is built natively on AWS today") == [{"provider_name": "AWS", "keywords": [" aws "], "is_ownership": True}]
+    assert hits("We secure your AWS environment") == []
+    assert hits("We like EC2 and AWS.\nIt runs on AWS.") == [{"provider_name": "AWS", "keywords": [" aws "], "is_ownership": True}]
