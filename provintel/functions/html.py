@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 PAGE_DROPS = ("script", "style", "nav", "footer", "header")
 ARTICLE_DROPS = (*PAGE_DROPS, "aside", "form", "noscript")
+NAME_TAGS = ("h3", "h4", "strong", "b")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 LINKS = "array<struct<href: string, text: string>>"
 VENDOR_ROWS = "array<struct<name: string, purpose: string, location: string>>"
@@ -21,9 +22,11 @@ VENDOR_ROWS = "array<struct<name: string, purpose: string, location: string>>"
 class _Walker(HTMLParser):
     """Text outside dropped tags, links with their text, headings and meta contents, table / list rows."""
 
-    def __init__(self, drops: tuple[str, ...] = PAGE_DROPS, inside: tuple[str, ...] = ()):
+    def __init__(self, drops: tuple[str, ...] = PAGE_DROPS, inside: tuple[str, ...] = (), cards: tuple[str, ...] = (), card_tags: tuple[str, ...] = ("div", "a")):
         super().__init__(convert_charrefs=True)
-        self.drops, self.inside = drops, inside
+        self.drops, self.inside, self.card_words, self.card_tags = drops, inside, cards, card_tags
+        self.cards: list[dict] = []
+        self.open_cards: list[tuple[int, dict]] = []  # depth and card
         self.hidden = self.within = 0
         self.text: list[str] = []
         self.main: list[str] = []
@@ -31,7 +34,7 @@ class _Walker(HTMLParser):
         self.open_link = False
         self.named: dict[str, list[str]] = {}
         self.stack: list[str] = []
-        self.rows: list[list[list[str]]] = []
+        self.tables: list[list[list[list[str]]]] = []
         self.terms: list[tuple[str, list[str]]] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -43,15 +46,24 @@ class _Walker(HTMLParser):
         if tag in VOID:
             return
         self.stack.append(tag)
+        if tag in self.card_tags and any(w in a.get("class", "") for w in self.card_words):
+            self.cards.append({"texts": [], "name": None, "naming": 0})
+            self.open_cards.append((len(self.stack), self.cards[-1]))
+        if tag in NAME_TAGS:
+            for _, card in self.open_cards:
+                if card["name"] is None:
+                    card["name"], card["naming"] = [], len(self.stack)
         self.hidden += tag in self.drops
         self.within += tag in self.inside or a.get("role") == "main"
         if tag == "a":
             self.links.append((a.get("href", ""), []))
             self.open_link = True
-        elif tag == "tr":
-            self.rows.append([])
-        elif tag in ("td", "th") and self.rows:
-            self.rows[-1].append([])
+        elif tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and self.tables:
+            self.tables[-1].append([])
+        elif tag in ("td", "th") and self.tables and self.tables[-1]:
+            self.tables[-1][-1].append([])
         elif tag in ("dt", "dd"):
             self.terms.append((tag, []))
 
@@ -60,6 +72,9 @@ class _Walker(HTMLParser):
             return
         while self.stack:
             last = self.stack.pop()
+            for _, card in self.open_cards:
+                card["naming"] *= card["naming"] <= len(self.stack)
+            self.open_cards = [c for c in self.open_cards if c[0] <= len(self.stack)]
             self.hidden -= last in self.drops and self.hidden > 0
             self.within -= last in self.inside and self.within > 0
             if last == "a":
@@ -73,8 +88,12 @@ class _Walker(HTMLParser):
             self.named.setdefault(top, []).append(data)
         if self.open_link and self.links:
             self.links[-1][1].append(data)
-        if self.rows and self.rows[-1] and "tr" in self.stack:
-            self.rows[-1][-1].append(data)
+        if self.tables and self.tables[-1] and self.tables[-1][-1] and "tr" in self.stack:
+            self.tables[-1][-1][-1].append(data)
+        for _, card in self.open_cards:
+            card["texts"].append(data)
+            if card["naming"]:
+                card["name"].append(data)
         if self.terms and ("dt" in self.stack or "dd" in self.stack):
             self.terms[-1][1].append(data)
         if not self.hidden:
@@ -153,28 +172,60 @@ def job_text(html: Column) -> Column:
     return _mapped("string", one)(html)
 
 
+# Words that make a page one of subprocessors, its columns, and the classes of its cards and of result cards.
+SUBPROCESSOR_TERMS = ("subprocessor", "sub-processor", "data processor")
+SUBPROCESSOR_NAMES = ("amazon", "google", "microsoft", "azure", "openai", "anthropic")
+VENDOR_COLUMNS = {
+    "name": ("company", "name", "vendor", "processor", "provider"), "purpose": ("purpose", "service", "description", "use", "category"), "location": ("location", "country", "region", "jurisdiction"),
+}
+VENDOR_CARDS = ("card", "item", "processor", "vendor")
+RESULT_CARDS = {"AWS": ("card", "result", "case-study", "customer-reference"), "GCP": ("card", "result", "customer", "tile"), "Azure": ("card", "result", "story", "customer")}
+
+
+def card_text(html: Column, provider: Column) -> Column:
+    """Text inside the result cards of a provider's page; what stands around them doesn't count."""
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series, providers: pd.Series) -> pd.Series:
+        read = lambda h, p: squeeze([x for c in _walk(h, drops=(), cards=RESULT_CARDS.get(p, ("card", "result"))).cards for x in c["texts"]])
+        return pd.Series([read(h, p) for h, p in zip(pages, providers, strict=True)], dtype=object)
+
+    return run(html, provider)
+
+
+def _table_rows(table: list[list[list[str]]]) -> list[dict]:
+    rows = [[squeeze(c) for c in r] for r in table]
+    head = [c.lower() for c in rows[0]] if len(rows) > 1 else []
+    at = {k: next((i for i, c in enumerate(head) if any(w in c for w in words)), None) for k, words in VENDOR_COLUMNS.items()}
+    if at["name"] is None:
+        return []
+    cell = lambda r, i: r[i] if i is not None and i < len(r) else ""
+    return [{k: cell(r, i) for k, i in at.items()} for r in rows[1:] if cell(r, at["name"])]
+
+
+def _card_rows(cards: list[dict]) -> list[dict]:
+    found = []
+    for card in cards:
+        name, text = squeeze(card["name"] or []), " | ".join(t for x in card["texts"] if (t := squeeze([x])))
+        if len(name) > 2:
+            found.append({"name": name, "purpose": text.replace(name, "").strip(" |"), "location": ""})
+    return found
+
+
+def _term_rows(terms: list[tuple[str, list[str]]]) -> list[dict]:
+    names, told = ([squeeze(x) for t, x in terms if t == tag] for tag in ("dt", "dd"))
+    return [{"name": n, "purpose": p, "location": ""} for n, p in zip(names, told, strict=False) if n]
+
+
 def subprocessor_rows(html: Column) -> Column:
-    """Vendor rows of a subprocessor page: table rows, else definition lists; pages without the term give none."""
+    """Vendor rows of a subprocessor page: tables with a name column, else cards, else definition lists; pages without a term and a provider's name give none."""
 
     def one(h: str | None) -> list[dict]:
-        w = _walk(h, drops=("script", "style"))
-        if "subprocessor" not in squeeze(w.text).lower().replace("-", ""):
+        low = (h or "").lower()
+        plain = re.sub(r"<link[^>]+>|<script[^>]+src=[^>]+>", "", low)
+        if not any(w in low for w in SUBPROCESSOR_TERMS) or not any(w in plain for w in SUBPROCESSOR_NAMES):
             return []
-        rows = [[squeeze(c) for c in r] for r in w.rows if len(r) > 1]
-        head = [c.lower() for c in rows[0]] if rows else []
-        find = lambda *names: next((i for i, c in enumerate(head) if any(n in c for n in names)), None)
-        name, purpose, place = find("name", "vendor", "subprocessor", "entity", "company"), find("purpose", "service", "function", "description"), find("location", "country", "region")
-        has_head = name is not None
-        name, purpose = (name or 0), (1 if purpose is None else purpose)
-        cell = lambda r, i: r[i] if i is not None and i < len(r) else ""
-        out = [{"name": cell(r, name), "purpose": cell(r, purpose), "location": cell(r, place)} for r in rows[has_head:] if cell(r, name)]
-        if out:
-            return out
-        for tag, text in w.terms:
-            if tag == "dt":
-                out.append({"name": squeeze(text), "purpose": "", "location": ""})
-            elif out and not out[-1]["purpose"]:
-                out[-1]["purpose"] = squeeze(text)
-        return out
+        w = _walk(h, drops=(), cards=VENDOR_CARDS, card_tags=("div",))
+        return [r for t in w.tables for r in _table_rows(t)] or _card_rows(w.cards) or _term_rows(w.terms)
 
     return _mapped(VENDOR_ROWS, one)(html)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, rules, sentences
 from ..session import broadcast_if_small, materialize
-from ..functions.text import age_to_weight, homepage_investors, is_competitor_url, keyword_scan, strength_of, term_classify, valid_title
+from ..functions.text import age_to_weight, homepage_investors, is_competitor_url, keyword_scan, pub_date_weight, strength_of, term_classify, valid_title
 
 STEP = 1_000_000
 ALLOWED_WEIGHTS = (1.0, 0.6, 0.3)
@@ -84,8 +84,8 @@ def subprocessors(rows: DataFrame, cloud: dict = rules.SUBPROCESSOR_CLOUD, ai: d
 
 
 def case_studies(pages: DataFrame, startups: DataFrame) -> DataFrame:
-    """Companies whose name is in the text of provider pages (provider_name, html, url, ord): names and pages meet by a word, then the text decides."""
-    text = materialize(pages.select("provider_name", "url", "ord", F.lower(html.visible_text(F.col("html"))).alias("text")), "case-texts")
+    """Companies named in result cards of provider pages (provider_name, html, url, ord): names and pages meet by a word, then the cards' text decides."""
+    text = materialize(pages.select("provider_name", "url", "ord", F.lower(html.card_text(F.col("html"), F.col("provider_name"))).alias("text")), "case-texts")
     words = text.select("provider_name", "url", "ord", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("_word"))
     named = startups.select(F.col("id").alias("startup_id"), F.lower("canonical_name").alias("_name"), F.get(F.filter(F.split(F.lower("canonical_name"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0)).alias("_word"))
     met = words.join(named, "_word").select("provider_name", "url", "ord", "startup_id", "_name").distinct()
@@ -103,6 +103,66 @@ def partnerships(news: DataFrame, startups: DataFrame, as_of: str, terms: list[t
     return signal_rows(hits, 6, "partnership_announcement", F.col("_w"), F.col("provider_type"), rank, F.col("title"), F.col("url"))
 
 
+def marketplace_listings(listings: DataFrame, startups: DataFrame, case_signals: DataFrame, most: int = 5) -> DataFrame:
+    """First of the first listing pages (startup_id, rank, url, html, status) that holds the name, for startups without an AWS case study."""
+    told = case_signals.where("provider_name = 'AWS'").select("startup_id").distinct()
+    own = listings.join(told, "startup_id", "left_anti").join(startups.select(F.col("id").alias("startup_id"), F.lower("canonical_name").alias("_name")), "startup_id")
+    place = F.row_number().over(Window.partitionBy("startup_id").orderBy("rank"))
+    hits = own.where(F.contains(F.col("url"), F.lit("aws.amazon.com/marketplace"))).withColumn("_place", place).where((F.col("_place") <= most) & (F.col("status") == 200) & F.contains(F.lower("html"), F.col("_name")))
+    return signal_rows(hits.withColumn("provider_name", F.lit("AWS")), 5, "aws_marketplace", F.lit(1.0), F.lit("cloud"), F.lit(500_000) + F.col("rank"), F.lit("Listed on AWS Marketplace"), F.col("url"))
+
+
+def press_titles(hits: DataFrame, startups: DataFrame, most: int = 20) -> DataFrame:
+    """First of the first press-corner hits (startup_id, rank, title, url) whose title holds the name or website."""
+    named = hits.join(startups.select(F.col("id").alias("startup_id"), F.lower("canonical_name").alias("_name"), F.lower("website").alias("_site")), "startup_id")
+    place = F.row_number().over(Window.partitionBy("startup_id").orderBy("rank"))
+    title = F.lower("title")
+    found = named.withColumn("_place", place).where((F.col("_place") <= most) & (F.contains(title, F.col("_name")) | F.coalesce(F.contains(title, F.nullif("_site", F.lit(""))), F.lit(False))))
+    return signal_rows(found.withColumn("provider_name", F.lit("GCP")), 5, "case_study", F.lit(1.0), F.lit("cloud"), F.lit(700_000) + F.col("rank"), F.concat(F.lit("Press: "), F.substring("title", 1, 120)), F.col("url"))
+
+
+def partnership_sources(
+    startups: DataFrame, as_of: str, feed: DataFrame | None = None, batches: DataFrame | None = None, provider_hits: DataFrame | None = None, articles: DataFrame | None = None,
+    terms: list[tuple] = rules.PROVIDER_TERMS, cloud: dict = rules.CLOUD_KEYWORDS, ai: dict = rules.AI_KEYWORDS,
+) -> DataFrame:
+    """Partnership news of four sources; the first hit per provider over all of them wins, so later sources only fill what is missing.
+
+    feed (startup_id, rank, title, url, published): titles, first 100, by the age of publication. batches (startup_id,
+    batch, rank, title, snippet, url, date_str): first 10 a batch. provider_hits (startup_id, provider_name, rank, title,
+    snippet, url, date_str): first 5 a provider, the company in title or snippet. articles (startup_id, rank, title, url,
+    date_str, body): first 10, keywords in the first 4,000 characters. Titles must be valid; a product of weight and
+    multiplier that isn't a weight drops its row alone.
+    """
+    day = F.lit(as_of).cast("date")
+    known = startups.select(F.col("id").alias("startup_id"), F.col("canonical_name").alias("company"), F.col("website").alias("domain"))
+    first = lambda df, keys, n: df.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).where(F.col("_p") <= n)
+    named = lambda df: df.join(known, "startup_id").where(valid_title(F.col("title"), F.col("company"), F.col("domain")))
+    none = F.lit(None).cast("string")
+    parts = []
+
+    def told(df: DataFrame, weight: Column, stage: int, batch: Column = F.lit(0)) -> None:
+        parts.append(df.select("startup_id", "provider_type", "provider_name", "title", "url", F.round(weight, 2).alias("_w"), (F.lit(stage * 200_000) + batch * 1_000 + F.col("rank")).alias("_at")))
+
+    if feed is not None:
+        rows = named(first(feed, ["startup_id"], 100)).withColumn("summary", none).withColumn("id", F.xxhash64("startup_id", "rank", "url"))
+        told(term_classify(rows, terms), pub_date_weight(F.col("published"), day) * F.col("multiplier"), 0)
+    if batches is not None:
+        rows = named(first(batches, ["startup_id", "batch"], 10)).withColumn("summary", F.col("snippet")).withColumn("id", F.xxhash64("startup_id", "batch", "rank", "url"))
+        told(term_classify(rows, terms), age_to_weight(F.col("date_str"), day) * F.col("multiplier"), 1, F.col("batch"))
+    if provider_hits is not None:
+        text = F.lower(F.concat_ws(" ", "title", "snippet"))
+        stem = F.split(F.lower(F.coalesce("domain", F.lit(""))), r"\.")[0]
+        rows = named(first(provider_hits, ["startup_id", "provider_name"], 5)).where(F.contains(text, F.lower("company")) | ((stem != "") & F.contains(text, stem)))
+        told(rows.withColumn("provider_type", F.lit("cloud")), age_to_weight(F.col("date_str"), day), 2)
+    if articles is not None:
+        rows = named(first(articles, ["startup_id"], 10)).withColumn("excerpt", F.substring("body", 1, 4000))
+        told(scan_both(rows, "excerpt", cloud, ai), age_to_weight(F.col("date_str"), day), 3)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return signal_rows(every.where(F.col("_w").isin(*ALLOWED_WEIGHTS)), 6, "partnership_announcement", F.col("_w"), F.col("provider_type"), F.col("_at"), F.col("title"), F.col("url"))
+
+
 def hosted_startups(records: DataFrame, hosted: list[str] = rules.HOSTED_CNAMES) -> DataFrame:
     return records.where(F.exists(F.array(*map(F.lit, hosted)), lambda h: F.contains(F.lower("target"), h))).select("startup_id").distinct()
 

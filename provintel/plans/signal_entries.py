@@ -54,10 +54,10 @@ def g4_subprocessors(spark, d):
     "companies",
 )
 def g5_case_studies(spark, d):
-    """Provider pages of a supplier each name four companies or none of theirs whole."""
+    """Result cards name a company whole or in part; what stands around the cards names everyone."""
     named = B.companies(spark, d).where("canonical_name LIKE 'Nova%'")
     pages = named.selectExpr(
-        "CASE WHEN id % 2 = 0 THEN 'AWS' ELSE 'GCP' END AS provider_name", "concat('<p>How ', CASE WHEN id % 4 = 3 THEN replace(canonical_name, ' Labs', '') ELSE canonical_name END, ' grew</p>') AS html", "concat('u', id) AS url", "CAST(0 AS INT) AS ord"
+        "CASE WHEN id % 2 = 0 THEN 'AWS' ELSE 'GCP' END AS provider_name", "concat('<p>Searched for ', canonical_name, '</p><div class=\"result-card\"><b>How ', CASE WHEN id % 4 = 3 THEN replace(canonical_name, ' Labs', '') ELSE canonical_name END, ' grew</b></div>') AS html", "concat('u', id) AS url", "CAST(0 AS INT) AS ord"
     )
     return G.case_studies(pages, named).selectExpr(*SIGNAL)
 
@@ -77,6 +77,46 @@ def g6_partnerships(spark, d):
     return G.partnerships(B.derived(spark, d, "customer", NEWS), named, B.AS_OF_EVENTS).selectExpr(*SIGNAL)
 
 
+LISTINGS = (
+    "c_custkey AS startup_id, CAST(c_custkey % 3 AS INT) AS rank, concat('https://aws.amazon.com/marketplace/pp/', CAST(c_custkey AS STRING)) AS url, CASE WHEN c_custkey % 5 = 0 THEN 404 ELSE 200 END AS status, "
+    "CASE WHEN c_custkey % 4 = 0 THEN '<p>somebody else</p>' ELSE concat('<p>NOVA', CAST(c_custkey AS STRING), ' LABS on sale</p>') END AS html"
+)
+
+
+@query("SELECT id AS startup_id, 'cloud' AS provider_type, 'AWS' AS provider_name, 1.0::DOUBLE AS weight FROM companies WHERE canonical_name LIKE 'Nova%' AND id % 5 <> 0 AND id % 4 <> 0 AND id % 7 <> 0", "companies")
+def g5_marketplace_listings(spark, d):
+    told = B.companies(spark, d).where("id % 7 = 0").selectExpr("id AS startup_id", "'AWS' AS provider_name")
+    return G.marketplace_listings(B.derived(spark, d, "customer", LISTINGS), B.companies(spark, d).where("canonical_name LIKE 'Nova%'"), told).selectExpr(*SIGNAL)
+
+
+PRESS = "o_custkey AS startup_id, o_orderkey AS rank, concat('u', CAST(o_orderkey AS STRING)) AS url, CASE o_orderkey % 3 WHEN 0 THEN concat('Cloud news of nova', CAST(o_custkey AS STRING), '.ai') WHEN 1 THEN concat('NOVA', CAST(o_custkey AS STRING), ' Labs goes far') ELSE 'Other' END AS title"
+
+
+@query(
+    "SELECT startup_id, 'GCP' AS provider_name, arg_min(url, rank) AS evidence_url FROM (SELECT o_custkey AS startup_id, o_orderkey AS rank, 'u' || o_orderkey AS url, o_orderkey % 3 AS k FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 20) "
+    "JOIN companies ON id = startup_id WHERE (k = 0 AND id % 3 = 0) OR (k = 1 AND canonical_name LIKE 'Nova%') GROUP BY 1",
+    "companies",
+)
+def g5_press_titles(spark, d):
+    return G.press_titles(B.derived(spark, d, "orders", PRESS), B.companies(spark, d)).select("startup_id", "provider_name", "evidence_url")
+
+
+@query(
+    "WITH c AS (SELECT c_custkey AS id FROM customer), r AS (SELECT id, 0 AS o, 'ai' AS t, 'OpenAI' AS p, CASE WHEN id % 2 = 0 THEN 1.0 ELSE 0.3 END AS w FROM c WHERE id % 3 = 0 UNION ALL SELECT id, 1, 'cloud', 'Azure', 1.0 FROM c WHERE id % 4 = 0 UNION ALL SELECT id, 1, 'ai', 'OpenAI', 1.0 FROM c WHERE id % 4 = 0 "
+    "UNION ALL SELECT id, 2, 'cloud', p, 0.6 FROM c, (VALUES ('AWS'), ('Azure')) v(p) WHERE id % 5 <> 0 UNION ALL SELECT id, 3, t, p, 0.6 FROM c, (VALUES ('cloud', 'AWS'), ('ai', 'Cohere')) v(t, p) WHERE id % 7 = 0) "
+    "SELECT id AS startup_id, t AS provider_type, p AS provider_name, w::DOUBLE AS weight FROM r QUALIFY row_number() OVER (PARTITION BY id, t, p ORDER BY o) = 1"
+)
+def g6_partnership_sources(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS startup_id")
+    known = c.selectExpr("startup_id AS id", "'Nova Labs' AS canonical_name", "'novalabs.ai' AS website")
+    hit = lambda *more: c.selectExpr("startup_id", "1 AS rank", "'u' AS url", *more)
+    feed = hit("CASE WHEN startup_id % 3 = 0 THEN 'Nova Labs picks OpenAI' ELSE 'Nova Labs grows' END AS title", "CASE WHEN startup_id % 2 = 0 THEN DATE'2024-01-01' ELSE DATE'2020-01-01' END AS published")
+    batches = hit("0 AS batch", "'Nova Labs grows' AS title", "CASE WHEN startup_id % 4 = 0 THEN 'on Microsoft Azure with OpenAI' END AS snippet", "'2 days ago' AS date_str")
+    sites = hit("explode(array('AWS', 'Azure')) AS provider_name", "CASE WHEN startup_id % 5 = 0 THEN 'The Nova Labs' ELSE 'Nova Labs story' END AS title", "'' AS snippet", "'' AS date_str")
+    articles = hit("'Nova Labs raises' AS title", "CASE WHEN startup_id % 7 = 0 THEN concat('Runs on AWS with Cohere. ', repeat('x ', 2000), ' google cloud') ELSE 'none' END AS body", "'1 year ago' AS date_str")
+    return G.partnership_sources(known, B.AS_OF_EVENTS, feed, batches, sites, articles).selectExpr(*SIGNAL)
+
+
 RECORDS = (
     "c_custkey AS startup_id, CASE WHEN c_custkey % 8 = 7 THEN 'A' ELSE 'CNAME' END AS rtype, CASE c_custkey % 8 WHEN 0 THEN 'x.elb.amazonaws.com.' WHEN 1 THEN 'GHS.googlehosted.com' WHEN 2 THEN 'app.azurewebsites.net.' WHEN 3 THEN 'a.wixdns.net' WHEN 4 THEN 'x.vercel-dns.com' "
     "WHEN 5 THEN 'plain.example.com' WHEN 6 THEN 'y.onrender.com' ELSE 'x.amazonaws.com' END AS target"

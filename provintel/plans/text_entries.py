@@ -142,12 +142,12 @@ def t18_name_on_homepage(spark, d):
 
 
 VENDORS = (
-    "c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('<h1>Subprocessors</h1><table><tr><th>Location</th><th>Vendor</th><th>Purpose</th></tr><tr><td>US</td><td>OpenAI</td><td>LLM ', CAST(c_custkey AS STRING), '</td></tr></table>') "
-    "WHEN 1 THEN concat('<h1>Sub-processors</h1><dl><dt>Google Cloud</dt><dd>Hosting ', CAST(c_custkey AS STRING), '</dd></dl>') ELSE '<table><tr><td>AWS</td><td>hosting</td></tr></table>' END AS html"
+    "c_custkey AS id, CASE WHEN c_custkey % 30 = 0 THEN '<h1>Subprocessors</h1><link href=\"https://fonts.google.com\"><table><tr><th>Vendor</th></tr><tr><td>Nobody</td></tr></table>' WHEN c_custkey % 30 = 2 THEN concat('<h1>Data processors</h1><div class=\"vendor-card\"><h3>Azure</h3><p>Compute ', CAST(c_custkey AS STRING), '</p><p>EU</p></div>') ELSE CASE c_custkey % 3 WHEN 0 THEN concat('<h1>Subprocessors</h1><table><tr><th>Location</th><th>Vendor</th><th>Purpose</th></tr><tr><td>US</td><td>OpenAI</td><td>LLM ', CAST(c_custkey AS STRING), '</td></tr></table>') "
+    "WHEN 1 THEN concat('<h1>Sub-processors</h1><dl><dt>Google Cloud</dt><dd>Hosting ', CAST(c_custkey AS STRING), '</dd></dl>') ELSE '<table><tr><td>AWS</td><td>hosting</td></tr></table>' END END AS html"
 )
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'OpenAI' ELSE 'Google Cloud' END AS name, CASE c_custkey % 3 WHEN 0 THEN 'LLM ' ELSE 'Hosting ' END || c_custkey AS purpose, CASE c_custkey % 3 WHEN 0 THEN 'US' ELSE '' END AS location FROM customer WHERE c_custkey % 3 <> 2")
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'OpenAI' ELSE 'Google Cloud' END AS name, CASE c_custkey % 3 WHEN 0 THEN 'LLM ' ELSE 'Hosting ' END || c_custkey AS purpose, CASE c_custkey % 3 WHEN 0 THEN 'US' ELSE '' END AS location FROM customer WHERE c_custkey % 3 <> 2 AND c_custkey % 30 <> 0 UNION ALL SELECT c_custkey, 'Azure', 'Compute ' || c_custkey || ' | EU', '' FROM customer WHERE c_custkey % 30 = 2")
 def t19_subprocessor_rows(spark, d):
     rows = B.derived(spark, d, "customer", VENDORS).select("id", F.explode(H.subprocessor_rows(F.col("html"))).alias("r"))
     return rows.select("id", "r.name", "r.purpose", "r.location")
