@@ -136,15 +136,17 @@ def count_tokens(training: DataFrame) -> DataFrame:
 def make_vocabulary(counted: DataFrame, frequent: int = FREQUENT) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and its first weights' biases: log counts of classes and head words."""
     totals = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    # Counts fall into sixteenths of powers of two; the highest bins that hold at most ``frequent`` tokens together are taken.
+    # Counts fall into sixteenths of powers of two; the highest bins that hold at most ``frequent`` tokens together are taken,
+    # and of the next one the share of smallest hashes that fills them up.
     binned = counted.withColumn("bin", F.floor(F.log2("n") * 16).cast("int"))
-    seen, cut = 0, 1 << 20
+    seen, wanted = 0, F.lit(False)
     for r in sorted(binned.groupBy("bin").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["bin"]):
+        share = min(1.0, (frequent - seen) / r["k"])
+        wanted = wanted | ((F.col("bin") == r["bin"]) & (F.lit(True) if share == 1 else F.col("token") < int((share - 0.5) * 2.0**64)))
         seen += r["k"]
-        if seen > frequent:
+        if seen >= frequent:
             break
-        cut = r["bin"]
-    top = binned.where(F.col("bin") >= cut).drop("bin").toPandas().sort_values(["n", "token"], ascending=[False, True])
+    top = binned.where(wanted).drop("bin").toPandas().sort_values(["n", "token"], ascending=[False, True])
     hashes, counts, rare = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["rare"].to_numpy(np.int64)
     by_rare = np.ones(RARE)
     for r in counted.groupBy("rare").agg(F.sum(F.col("n") + 1).alias("n")).collect():
