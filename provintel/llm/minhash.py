@@ -2,7 +2,7 @@
 
 A document's set is its distinct shingles. Equal sets are one class, kept once. Of a class, one permutation of shingle
 hashes gives ``bins`` minima; empty bins borrow from a bin that a hash of (bin, attempt) picks (optimal densification).
-Sets of under ``SMALL`` shingles also get independent minima, as few filled bins vary much. ``rows`` bins make a band's
+Sets of under 5/4 of ``SMALL`` shingles also get independent minima, as few filled bins vary much. ``rows`` bins make a band's
 bucket. In each bucket one hub - the member with most company over all buckets, which in a family of copies is the one
 nearest to all - is compared with the others on full sets, a star. Comparisons also leave bit sketches of what a member
 lacks of its hub and what it adds. They bound from above what two members of a hub's family share, exactly, so of the
@@ -12,7 +12,7 @@ bucket is lost to the choice of hubs, and families of thousands do not give all
 With 32 bands of 4, a pair at similarity 0.8 misses all buckets with probability 5e-8.
 
 Defined cases: a single word is a shingle by itself; null or word-less text has an empty set, no link, and stays, as does a null doc_id; rows
-that share a doc_id count as one document's and share its component; ties go to the smallest doc_id; extra columns are
+that share a doc_id count as one document's, whose links are those of its least set, and share its component; ties go to the smallest doc_id; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -32,6 +32,7 @@ from .words import Words, column, mix, runs, signed, word_slices
 BINS, ROWS, SMALL = 128, 4, 64
 SIMILARITY, WORDS = 80, 5
 SKETCH = 256
+FAMILY = 2000  # members of a hub that meet its unlinked ones in one block
 PAIR_SCHEMA = "a long, b long, n_a long, n_b long, both long, less array<long>, more array<long>"
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 _ATTEMPTS = 64
@@ -178,7 +179,6 @@ def _similar(both: Column, n: Column, m: Column, similarity: int) -> Column:
 def _alone(x: str, y: str) -> Column:
     """Bits of sketch x that y lacks; each stands for an element, or more, that only x has."""
     return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(1, SKETCH // 64)), F.bit_count(F.get(x, F.lit(0)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(0))))))
-    return alone
 
 
 def near_duplicates(documents: DataFrame, size: int = WORDS, similarity: int = SIMILARITY, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -197,7 +197,7 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, similarity: int = S
     stars = materialize(crowded.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     involved = broadcast_if_small(crowded.select(F.col("node").alias("doc_id")).distinct())
     texts = documents.select("doc_id", "text").join(involved, "doc_id", "left_semi")
-    sets = texts.mapInArrow(lambda b: _sets(b, size), "doc_id long, shingles array<long>").groupBy(F.col("doc_id").alias("node")).agg(F.first("shingles").alias("shingles"))
+    sets = texts.mapInArrow(lambda b: _sets(b, size), "doc_id long, shingles array<long>").groupBy(F.col("doc_id").alias("node")).agg(F.min("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
     family = materialize(compare_sets(stars, sets), "family")
     links = family.where(_similar(F.col("both"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
@@ -207,12 +207,15 @@ def near_duplicates(documents: DataFrame, size: int = WORDS, similarity: int = S
     known = family.join(label("a"), "a", "left").join(label("b"), "b", "left").select(
         "a", "b", F.coalesce("a_c", "a").alias("a_c"), F.coalesce("b_c", "b").alias("b_c"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "both", "less", "more"
     )
-    out = known.where("a_c <> b_c").select("a", *[F.col(c).alias(f"x_{c}") for c in ("b", "b_c", "n", "both", "less", "more")])
+    # A large family meets its unlinked members block by block.
+    blocks = family.groupBy("a").agg(F.ceil(F.count("*") / FAMILY).alias("blocks"))
+    known = known.join(broadcast_if_small(blocks), "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks"))
+    out = known.where("a_c <> b_c").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"x_{c}") for c in ("b", "b_c", "n", "both", "less", "more")])
     joined_less = F.col("n_hub") - F.col("x_both") - _alone("x_less", "less")  # removals the two may share
     joined_more = F.col("x_n") - F.col("x_both") - _alone("x_more", "more")  # additions the two may share
     most = F.col("x_both") + F.col("both") - F.col("n_hub") + joined_less + joined_more
     twice = (F.col("b_c") == F.col("a_c")) | (F.col("x_b") < F.col("b"))
-    maybe = known.join(out, "a").where((F.col("x_b_c") != F.col("b_c")) & twice & _similar(most, F.col("x_n"), F.col("n"), similarity))
+    maybe = known.join(out, ["a", "block"]).where((F.col("x_b_c") != F.col("b_c")) & twice & _similar(most, F.col("x_n"), F.col("n"), similarity))
     pairs = materialize(maybe.select(F.col("x_b").alias("a"), "b").distinct(), "pairs")
     if not pairs.isEmpty():
         more_links = materialize(compare_sets(pairs, sets).where(_similar(F.col("both"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"), "links")
