@@ -32,7 +32,7 @@ from .words import SPACES, byte_prefix, mix, powers, signed, word_slices, word_s
 
 SAMPLE = 40_000
 PREFIXES = (4, 5, 6, 7)  # bytes of a word's beginning that are features too
-LEAST_REAL, FEATURES = 0.2, 4_000  # words less likely than this to tell anything are left out; of the others so many enter the fit
+LEAST_REAL, FEATURES = 0.2, 4_000  # words less likely than this to tell anything are left out; of the others so many (at most 32,767) enter the fit
 Z_BINS = 5  # bins a unit of the test statistic
 LEVELS = 12  # classes of a statistic
 STATISTICS = ("length", "marks", "bars", "capitals", "repeats")
@@ -159,7 +159,7 @@ class Evidence:
         for batch, row, feature, classes in doc_features(batches):
             r, f = self.hits(row, feature)
             offsets = pa.array(np.searchsorted(r, np.arange(batch.num_rows + 1)).astype(np.int32))
-            places = pa.ListArray.from_arrays(offsets, pa.array(f.astype(np.int32)))
+            places = pa.ListArray.from_arrays(offsets, pa.array(f.astype(np.int16)))
             columns = [batch.column(batch.schema.get_field_index(x)) for x in labels] + [pa.array(classes[:, k].astype(np.int32)) for k in range(classes.shape[1])]
             yield pa.RecordBatch.from_arrays([*columns, places], names=[*labels, *STATISTICS, "places"])
 
@@ -242,11 +242,11 @@ def fit_evidence(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     rows = rows.sort_values("feature", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
     features, width = rows["feature"].to_numpy(np.int64).view(np.uint64), 1 + len(STATISTICS) * LEVELS
     found = Evidence(features, [np.zeros(len(features))] * 2, [np.append(-5.0, np.zeros(width - 1))] * 2)
-    schema = ", ".join([f"{c} boolean" for c in kinds] + [f"{x} int" for x in STATISTICS]) + ", places array<int>"
+    schema = ", ".join([f"{c} boolean" for c in kinds] + [f"{x} int" for x in STATISTICS]) + ", places array<smallint>"
     told = train.mapInArrow(lambda b: found.rows(b, kinds), schema).toArrow()  # of the sample's size
     classes = np.stack([told[x].to_numpy() for x in STATISTICS], axis=1) if told.num_rows else np.zeros((0, len(STATISTICS)), np.int64)
     places = told["places"].combine_chunks()
-    row, place = np.repeat(np.arange(told.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False)), places.flatten().to_numpy()
+    row, place = np.repeat(np.arange(told.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False)), places.flatten().to_numpy().astype(np.int64)
     dense = one_hot(classes)
     for k, c in enumerate(kinds):
         if priors[k]:
