@@ -149,12 +149,14 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_ste
     if not m:
         return []
     basis = np.diag((capacity // sizes).astype(float))
-    inverse, x = np.linalg.inv(basis), demand / (capacity // sizes)
+    inverse, x = np.diag(1.0 / (capacity // sizes)), demand / (capacity // sizes)
+    # Products are summed by numpy itself: linear-algebra threads have hung in a driver that had started the JVM.
+    product = lambda a, b: np.einsum("ij,jk->ik", a, b)
     for step in range(max_steps):
         value, counts = price(inverse.sum(axis=0), sizes, capacity)  # every pattern costs one sequence
         if value <= 1 + 1e-6:
             break
-        way = inverse @ counts
+        way = (inverse * counts).sum(axis=1)
         ratio = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -163,8 +165,11 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_ste
         x[out] = ratio[out]
         basis[:, out] = counts
         if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0)
+            row = inverse[out] / way[out]
+            inverse -= np.outer(way, row)
+            inverse[out] = row
+            inverse += product(inverse, np.eye(m) - product(basis, inverse))  # takes the rounding errors out
+            x = np.maximum((inverse * demand).sum(axis=1), 0)
         else:
             row = inverse[out] / way[out]
             inverse -= np.outer(way, row)
