@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, read_back
 from .decontamination import contamination_report
 from .language_id import fit_language_model, label_languages
+from .lexical_search import search
 from .lm_scoring import score_documents
 from .minhash import near_duplicates
+from .mixing import BLOCK, ROUNDS, SEED, mix_documents
 from .packing import pack
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
@@ -85,6 +87,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -97,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_minhash": op9_minhash,
         "op10_quality_classifier": op10_quality_classifier,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_source_mixing": op13_source_mixing,
     }
 
 
@@ -168,5 +180,50 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), n AS (SELECT r, count(*) AS n FROM d GROUP BY r
+), total AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM n
+), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), c AS (SELECT r, doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM c, total GROUP BY term, big_n
+), s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM c JOIN n USING (r) JOIN w USING (term) JOIN q USING (term), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def _permuted_sql(rows: str, x: str, n: str, key: str) -> str:
+    """CTE steps that replace x by its place in the key's order of 0..n-1; the last is called permuted."""
+    steps = [f"p0 AS (SELECT *, {x} AS x, floor(sqrt({n}))::BIGINT AS lo, {n} // floor(sqrt({n}))::BIGINT AS hi FROM {rows})"]
+    for r in range(ROUNDS):
+        steps.append(f"p{r}a AS (SELECT *, ({key} + {(r + 1) * 104729}) % 2147483647 AS rk, (x + ({key} + {(r + 1) * 104729}) % 2147483647) % {n} AS y FROM p{r})")
+        steps.append(f"p{r}b AS (SELECT *, (y % lo * 1540483477 + rk) % 2147483647 AS f FROM p{r}a), p{r}c AS (SELECT *, (y // lo + f * f % 2147483629) % hi AS h FROM p{r}b)")
+        steps.append(f"p{r}d AS (SELECT *, (h * 1103515245 + rk) % 2147483647 AS g FROM p{r}c)")
+        steps.append(f"p{r + 1} AS (SELECT * EXCLUDE (x, rk, y, f, h, g), CASE WHEN y < lo * hi THEN h * lo + (y % lo + g * g % 2147483629) % lo ELSE y END AS x FROM p{r}d)")
+    return ", ".join(steps) + f", permuted AS (SELECT * FROM p{ROUNDS})"
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number FROM d GROUP BY source
+), w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][number % 3 + 1] AS weight FROM s
+), o AS (SELECT *, row_number() OVER q AS k, (1.5 * sum(source_size) OVER () - 2.0 * coalesce(sum(source_size) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+  / sum(weight) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM w WINDOW q AS (ORDER BY source_size / weight, number)
+), u AS (SELECT arg_min(unit, k) AS unit FROM o WHERE unit * weight <= 2.0 * source_size
+), t AS (SELECT source, number, source_size, least(weight * u.unit, source_size * 2.0::DOUBLE) AS target FROM w, u
+), c AS (SELECT *, ceil(source_size / {BLOCK})::BIGINT AS blocks, floor(target / source_size)::BIGINT AS rounds FROM t WHERE source_size > 0
+), e AS (SELECT *, rounds * blocks + least(floor((target - rounds * source_size) / {BLOCK} + 0.5)::BIGINT, blocks) AS slots FROM c
+), k AS (SELECT number, blocks, k, k % blocks AS b, ({SEED} + number * 1000003 + k // blocks * 7919) % 2147483647 AS key FROM e, unnest(range(slots)) AS v(k)
+), {_permuted_sql("k", "b", "blocks", "key")}
+, times AS (SELECT number, x AS block, count(*) AS times FROM permuted GROUP BY ALL
+), laid AS (SELECT r, doc_id, size, number, source_size, target, coalesce(sum(size) OVER (PARTITION BY number ORDER BY doc_id NULLS FIRST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), piece AS (SELECT r, number, block, least(a + size, (block + 1) * {BLOCK}) - greatest(a, block * {BLOCK}) AS words FROM laid, unnest(range(a // {BLOCK}, (a + size - 1) // {BLOCK} + 1)) AS v(block) WHERE size > 0
+), took AS (SELECT r, sum(words * times)::BIGINT AS taken FROM piece JOIN times USING (number, block) GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM laid LEFT JOIN took USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op9_minhash": OP9_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op9_minhash": OP9_SQL, "op12_lexical_search": OP12_SQL, "op13_source_mixing": OP13_SQL}
