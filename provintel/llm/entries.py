@@ -15,6 +15,7 @@ from .lm_scoring import score_documents
 from .minhash import near_duplicates
 from .mixing import BLOCK, ROUNDS, SEED, mix_documents
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
@@ -87,6 +88,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_minhash": op9_minhash,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_lexical_search": op12_lexical_search,
         "op13_source_mixing": op13_source_mixing,
     }
@@ -180,6 +186,21 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 """
 
 
+OP11_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, xor(4294967295, list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, 4294967295::BIGINT)) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND k <= h UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > h
+), p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS depth, octet_length(encode(text)) AS bytes, sha256(length(role) || ':' || role || text) AS turn FROM r
+), m AS (SELECT conv_id, depth, bytes, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS id FROM p UNION ALL SELECT conv_id, 0, 0, 'root' FROM c
+), l AS (SELECT *, lag(id) OVER w AS parent, lead(id) OVER w IS NULL AS ends FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+), node AS (SELECT id, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n, (count(*) - 1) * any_value(bytes) AS saved, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS members FROM l GROUP BY id
+), kids AS (SELECT parent AS id, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY 1
+), sums AS (SELECT m.id, count(*) FILTER (kids.n IS NULL) AS leaves, sum(saved) AS saved FROM node JOIN m ON m.conv_id = node.conv_id AND m.depth <= node.depth LEFT JOIN kids ON kids.id = node.id GROUP BY 1)
+SELECT node.conv_id, node.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, sums.saved::BIGINT AS saved_tokens, sha256(node.members) AS ends_sha256
+FROM node JOIN sums USING (id) LEFT JOIN kids USING (id) LEFT JOIN node up ON up.id = node.parent
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
 ), n AS (SELECT r, count(*) AS n FROM d GROUP BY r
@@ -226,4 +247,4 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op9_minhash": OP9_SQL, "op12_lexical_search": OP12_SQL, "op13_source_mixing": OP13_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_suffix_dedup": OP8_SQL, "op9_minhash": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_source_mixing": OP13_SQL}
