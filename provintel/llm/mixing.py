@@ -113,7 +113,7 @@ def _laid(documents: DataFrame, block: int, texts: bool, weights: tuple, share:
 def mix_documents(documents: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """One row per document: size, source_size, the source's target, and taken, the words that the mix takes of it."""
     pieces, sources = _laid(documents, block, False, weights, share, cap)
-    times = draw_slots(sources, block, shard_slots, seed).groupBy("number", "block").agg(F.count("*").alias("times"))
+    times = draw_slots(sources, block, shard_slots, seed).groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")  # Catalyst takes exploded slots for few
     taken = F.coalesce(F.sum(F.col("_words") * F.col("times")), F.lit(0)).cast("long").alias("taken")
     mixed = pieces.join(times, ["number", "block"], "left").groupBy("_row", "number", "doc_id", "size").agg(taken)
     return mixed.join(broadcast_if_small(sources.select("number", "source_size", "target")), "number").select("doc_id", "size", "source_size", "target", "taken")
@@ -127,4 +127,4 @@ def mix_blocks(documents: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
         F.sum("_words").alias("n_words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_piece"))), lambda p: p["_piece"]), " ").alias("text")
     )
     named = broadcast_if_small(sources.select("number", "source"))
-    return draw_slots(sources, block, shard_slots, seed).join(texts, ["number", "block"]).join(named, "number").select("shard", "slot", "source", "block", "n_words", "text")
+    return draw_slots(sources, block, shard_slots, seed).hint("merge").join(texts, ["number", "block"]).join(named, "number").select("shard", "slot", "source", "block", "n_words", "text")
