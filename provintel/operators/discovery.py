@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import insort
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..components import components
 from ..functions import rules
 from ..functions.text import clean_website_event, company_hint, contains_any, normalize_round, title_key
+from ..session import broadcast_if_small, materialize
+
+GRAM = 8
 
 
 def recent(articles: DataFrame, days_back: int, as_of: str) -> DataFrame:
@@ -49,72 +53,160 @@ def dedup_titles(articles: DataFrame) -> DataFrame:
     return _first(articles, [title_key(F.col("title"))], [F.desc(priority(F.col("source"))), "ord"])
 
 
+def containment_edges(names: DataFrame, name: str, min_len: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes (node, name), edges (outer, inner)): distinct names, and which of them holds which.
+
+    A name of up to GRAM characters is looked up as it is, a longer one under its rarest piece of GRAM characters, among
+    the pieces of all names; only longer ones are then compared. Pieces are linear in a name's length.
+    """
+    nodes = materialize(names.select(F.col(name).alias("name")).where(F.length(name) >= min_len).distinct().withColumn("node", F.monotonically_increasing_id()), "names")
+    size = F.length("name")
+    cut = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, k)))
+    pieces = nodes.select(F.col("node").alias("outer"), F.explode(F.array_distinct(F.flatten(F.filter(F.array(*[cut(F.lit(k)) for k in range(min_len, GRAM + 1)]), lambda x: x.isNotNull())))).alias("piece"))
+    whole = nodes.where(size > GRAM).select("node", F.explode(F.array_distinct(cut(F.lit(GRAM)))).alias("piece"))
+    seen = whole.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = whole.join(seen, "piece").groupBy("node").agg(F.min(F.struct("n", "piece"))["piece"].alias("piece"))
+    inner = lambda df: df.withColumnRenamed("node", "inner")
+    short = pieces.join(inner(nodes.where(size <= GRAM).select("node", F.col("name").alias("piece"))), "piece")
+    near = pieces.where(F.length("piece") == GRAM).join(inner(rarest), "piece").where("outer <> inner").select("outer", "inner")
+    named = lambda to: nodes.select(F.col("node").alias(to), F.col("name").alias(f"_{to}"))
+    long = near.join(named("outer"), "outer").join(named("inner"), "inner").where(F.contains(F.col("_outer"), F.col("_inner")))
+    edges = short.where("outer <> inner").select("outer", "inner").unionByName(long.select("outer", "inner"))
+    return nodes, materialize(edges, "containment")
+
+
 def containment_components(names: DataFrame, name: str, min_len: int = 2) -> DataFrame:
-    """(name, component): names linked when one holds the other, by an equi-join of every substring with the names themselves."""
-    distinct = names.select(name).where(F.length(name) >= min_len).distinct()
-    ids = distinct.withColumn("node", F.xxhash64(name))
-    starts = F.sequence(F.lit(1), F.length(name))
-    parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(min_len), F.greatest(F.length(name) - i + 1, F.lit(min_len))), lambda k: F.substring(F.col(name), i, k)))))
-    pieces = ids.select(F.col("node").alias("a"), F.explode(parts).alias(name))
-    edges = pieces.join(ids, name).select("a", F.col("node").alias("b")).where("a <> b")
-    return ids.join(components(edges), "node", "left").select(name, F.coalesce("component", "node").alias("component"))
-
-
-def _leaders(group: pd.DataFrame) -> pd.DataFrame:
-    """In order, an unused row takes every unused row whose hint contains its own or is contained; the best priority stays."""
-    rows = group.sort_values("ord", kind="stable").reset_index(drop=True)
-    used, keep = [False] * len(rows), []
-    hints, prio = rows["hint"].tolist(), rows["prio"].tolist()
-    for i, lead in enumerate(hints):
-        if used[i]:
-            continue
-        members = [j for j in range(i, len(hints)) if not used[j] and (j == i or lead in hints[j] or hints[j] in lead)]
-        for j in members:
-            used[j] = True
-        keep.append(max(members, key=lambda j: (prio[j], -j)))
-    return rows.loc[keep, ["article_id"]]
-
-
-def _grown(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows join the first group whose canonical name contains or is contained; the name grows; the best score stays."""
-    rows = group.sort_values("ord", kind="stable").reset_index(drop=True)
-    groups: list[list] = []
-    for i, name in enumerate(rows["name"]):
-        for g in groups:
-            if name in g[0] or g[0] in name:
-                g[1].append(i)
-                g[0] = max(g[0], name, key=len)
-                break
-        else:
-            groups.append([name, [i]])
-    keep = [max(members, key=lambda i: (rows["score"][i], -i)) for _, members in groups]
-    return rows.loc[keep, ["ord"]]
-
-
-def _by_component(df: DataFrame, name: str, fn: Callable, schema: str) -> DataFrame:
-    """The ordered pass needs a component's rows together; those are the headlines of one family of names."""
-    return df.join(containment_components(df, name), name).groupBy("component").applyInPandas(fn, schema)
+    """(name, component) of names linked when one holds the other."""
+    nodes, edges = containment_edges(names, name, min_len)
+    linked = components(edges.select(F.col("outer").alias("a"), F.col("inner").alias("b")))
+    return nodes.join(linked, "node", "left").select(F.col("name").alias(name), F.coalesce("component", "node").alias("component"))
+
+
+def family_sizes(names: DataFrame, name: str) -> DataFrame:
+    """(component, n_rows, n_names, example): how large the families of names are that dedup_events reads in order, largest first."""
+    told = names.join(containment_components(names, name), name)
+    return told.groupBy("component").agg(F.count("*").alias("n_rows"), F.count_distinct(name).alias("n_names"), F.min_by(name, F.length(name)).alias("example")).orderBy(F.desc("n_rows"), "component")
+
+
+def first_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, leader): in order of (at, node), a node that no leader before it is linked to leads; others follow the first such leader.
+
+    Rounds of joins: nodes without an open neighbour before them lead, their later neighbours follow, and the links of both
+    are closed. Orders that don't follow the links take few rounds.
+    """
+    place = lambda to: nodes.select(F.col("node").alias(to), F.struct("at", "node").alias(f"_{to}"))
+    placed = edges.select(F.col("outer").alias("x"), F.col("inner").alias("y")).join(place("x"), "x").join(place("y"), "y")
+    x_first = F.col("_x") < F.col("_y")
+    links = materialize(placed.select(F.when(x_first, F.col("x")).otherwise(F.col("y")).alias("e"), F.when(x_first, F.col("y")).otherwise(F.col("x")).alias("l"), F.least("_x", "_y").alias("at")), "links")
+    still, followers = links.select("e", "l"), None
+    ends = lambda df, c: df.select(F.col(c).alias("node")).distinct()
+    without = lambda df, nodes, c: df.join(nodes.withColumnRenamed("node", c), c, "left_anti")
+    while True:
+        leaders = materialize(ends(still, "e").join(ends(still, "l"), "node", "left_anti"), "leaders")
+        if leaders.isEmpty():
+            break
+        taken = materialize(ends(still.join(leaders.withColumnRenamed("node", "e"), "e", "left_semi"), "l"), "followers")
+        followers = taken if followers is None else followers.unionByName(taken)
+        gone = leaders.unionByName(taken)
+        still = materialize(without(without(still, gone, "e"), gone, "l"), "still")
+    if followers is None:
+        return nodes.select("node", F.col("node").alias("leader"))
+    first = without(links, followers, "e").groupBy(F.col("l").alias("node")).agg(F.min("at")["node"].alias("leader"))
+    return nodes.select("node").join(first, "node", "left").withColumn("leader", F.coalesce("leader", "node"))
 
 
 def dedup_hints(articles: DataFrame) -> DataFrame:
-    """One article per family of company hints; articles without a hint stay."""
+    """One article per family of company hints; articles without a hint stay.
+
+    In order, a hint that no earlier leader holds or is held by leads; rows of one hint stay together, as all are next to
+    the same hints. Of each family the article of the best priority stays, of those the first.
+    """
     hinted = articles.withColumn("hint", company_hint(F.col("title"))).withColumn("prio", priority(F.col("source")))
-    some = hinted.where(F.col("hint").isNotNull()).select("article_id", "hint", "prio", "ord")
-    kept = _by_component(some, "hint", _leaders, "article_id long")
-    return articles.join(kept.unionByName(hinted.where(F.col("hint").isNull()).select("article_id")), "article_id", "left_semi")
+    some = materialize(hinted.where(F.col("hint").isNotNull()).select("article_id", "hint", "prio", "ord"), "hints")
+    nodes, edges = containment_edges(some, "hint")
+    known = broadcast_if_small(nodes.withColumnRenamed("name", "hint"))
+    nodes = materialize(some.join(known, "hint").groupBy("node").agg(F.min("ord").alias("at")), "placed")
+    family = broadcast_if_small(known.join(first_leaders(nodes, edges), "node").select("hint", "leader"))
+    kept = _first(some.join(family, "hint"), ["leader"], [F.desc("prio"), "ord"])
+    return articles.join(kept.select("article_id").unionByName(hinted.where(F.col("hint").isNull()).select("article_id")), "article_id", "left_semi")
+
+
+class _Families:
+    """Groups of names in order of creation; a name belongs to the first whose longest name holds it or is held by it."""
+
+    def __init__(self):
+        self.names: list[str] = []  # the longest name of each group
+        self.best: list[tuple] = []
+        self.exact: dict[str, list[int]] = {}
+        self.sizes: dict[int, int] = {}
+        self.pairs: dict[str, list[int]] = {}  # groups that hold, or held, two characters
+
+    def _held(self, name: str) -> list[int]:
+        """Groups whose name stands in this one."""
+        parts = {name[i : i + k] for k in self.sizes if k <= len(name) for i in range(len(name) - k + 1)}
+        return [self.exact[p][0] for p in parts if p in self.exact]
+
+    def _holder(self, name: str) -> int | None:
+        """First group whose name holds this one."""
+        lists = [self.pairs.get(name[i : i + 2], []) for i in range(len(name) - 1)]
+        return next((g for g in min(lists, key=len) if name in self.names[g]), None)
+
+    def add(self, name: str, score: int, at: int) -> None:
+        found = [*self._held(name), *([h] if (h := self._holder(name)) is not None else [])]
+        g = min(found) if found else len(self.names)
+        if not found:
+            self.names.append("")
+            self.best.append((score, -at))
+        self.best[g] = max(self.best[g], (score, -at))
+        if len(name) > len(self.names[g]):
+            self._rename(g, name)
+
+    def _rename(self, g: int, name: str) -> None:
+        old = self.names[g]
+        if old:
+            self.sizes[len(old)] -= 1
+            if not self.sizes[len(old)]:
+                del self.sizes[len(old)]
+            self.exact[old].remove(g)
+            if not self.exact[old]:
+                del self.exact[old]
+        self.names[g] = name
+        insort(self.exact.setdefault(name, []), g)
+        self.sizes[len(name)] = self.sizes.get(len(name), 0) + 1
+        for pair in {name[i : i + 2] for i in range(len(name) - 1)} - {old[i : i + 2] for i in range(len(old) - 1)}:
+            insort(self.pairs.setdefault(pair, []), g)
+
+
+def _best_of_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ord of the best row of each family; rows come by component, in order, and are never held together."""
+    now, families = None, _Families()
+    told = lambda: pa.record_batch({"ord": pa.array([-at for _, at in families.best], pa.int64())})
+    for batch in batches:
+        for component, name, score, at in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("component", "name", "score", "ord")], strict=True):
+            if component != now:
+                yield told()
+                now, families = component, _Families()
+            families.add(name, score, at)
+    yield told()
 
 
 def dedup_events(events: DataFrame) -> DataFrame:
-    """One event per family of company names, the one that tells most."""
+    """One event per family of company names, the one that tells most.
+
+    A family's name grows with its members, so where a name belongs depends on all before it: the rows of a component of
+    names that hold each other stream through one task in order, which keeps a name per family.
+    """
     score = (
         F.when(F.col("funding_round").isNotNull() & ~F.col("funding_round").isin("Unknown", "UNKNOWN", ""), 10).otherwise(0)
         + F.when(F.coalesce("website", F.lit("")) != "", 5).otherwise(0)
         + F.when(F.coalesce(F.size("lead_investors"), F.lit(0)) > 0, 3).otherwise(0)
         + F.length(F.coalesce("description", F.lit("")))
     )
-    named = events.select(F.lower(F.trim("company_name")).alias("name"), score.alias("score"), "ord")
-    short = named.where(F.length("name") < 2).select("ord")
-    return events.join(_by_component(named.where(F.length("name") >= 2), "name", _grown, "ord long").unionByName(short), "ord", "left_semi")
+    named = materialize(events.select(F.lower(F.trim("company_name")).alias("name"), score.cast("long").alias("score"), F.col("ord").cast("long").alias("ord")), "event-names")
+    short = named.where(F.coalesce(F.length("name") < 2, F.lit(True))).select("ord")
+    some = named.where(F.length("name") >= 2)
+    dealt = some.join(containment_components(some, "name"), "name").repartition("component").sortWithinPartitions("component", "ord")
+    return events.join(dealt.mapInArrow(_best_of_families, "ord long").unionByName(short), "ord", "left_semi")
 
 
 def dedup_websites(events: DataFrame) -> DataFrame:
@@ -132,7 +224,7 @@ def parse_extractions(extractions: DataFrame, articles: DataFrame) -> DataFrame:
     named = r["company_name"].isNotNull() & ~F.lower(F.trim(r["company_name"])).isin("unknown", "n/a", "tbd", "")
     kept = parsed.where(~F.coalesce(r["not_funding"], F.lit(False)) & named & (r["funding_amount_usd"] >= 10))
     return kept.select(
-        r["company_name"].alias("company_name"), r["funding_amount_usd"].cast("long").alias("funding_amount_usd"), F.coalesce(F.nullif(r["funding_round"], F.lit("")), F.lit("Unknown")).alias("funding_round"),
+        r["company_name"].alias("company_name"), r["funding_amount_usd"].try_cast("long").alias("funding_amount_usd"), F.coalesce(F.nullif(r["funding_round"], F.lit("")), F.lit("Unknown")).alias("funding_round"),
         F.try_to_date(r["funding_date"]).alias("funding_date"), F.coalesce(F.try_to_date(r["announcement_date"]), F.to_date("published")).alias("announcement_date"),
         F.coalesce(r["lead_investors"], F.array().cast("array<string>")).alias("lead_investors"), r["website"].alias("website"), r["industry"].alias("industry"), r["description"].alias("description"),
         F.col("source").alias("source_name"), F.col("url").alias("source_url"), F.substring("body", 1, 2000).alias("raw_article_text"), "ord",

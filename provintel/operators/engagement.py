@@ -123,7 +123,7 @@ def vendor_batches(companies: DataFrame, vendors: list[str] = rules.VENDORS, siz
 
 def press_feature(hits: DataFrame, as_of: str, least: int = 3, domains: list[str] = rules.PRESS_DOMAINS, proper_www: bool = False) -> DataFrame:
     """Startups with enough hits of the last 14 days on press domains. Leading 'w' and '.' are stripped from hosts unless proper_www."""
-    host = F.regexp_replace(F.parse_url("url", F.lit("HOST")), r"^www\." if proper_www else r"^[w.]+", "")
+    host = F.regexp_replace(F.try_parse_url("url", F.lit("HOST")), r"^www\." if proper_www else r"^[w.]+", "")
     some = hits.where((parse_result_age(F.col("date_str"), F.lit(as_of).cast("date")) <= 14) & host.isin(list(domains)))
     return some.groupBy("startup_id").agg(F.count("*").alias("n"), F.min_by("url", "rank").alias("source_url")).where(F.col("n") >= least).select(
         F.col("startup_id").alias("company_id"), F.lit("press_feature").alias("trigger_type"), F.concat(F.col("n"), F.lit(" major press mentions in 14 days")).alias("trigger_label"), "source_url", F.lit("moderate").alias("signal_strength"),

@@ -32,7 +32,7 @@ def score_links(articles: DataFrame, skip: list[str] = rules.ARTICLE_SKIP_DOMAIN
     """Per (startup_id, apex): anchor hits, pattern hits and frequency of links in article html (startup_id, canonical_name, domain, html)."""
     slug = F.regexp_replace(F.lower("canonical_name"), "[^a-z0-9]", "")
     links = articles.select("startup_id", slug.alias("slug"), F.lower("canonical_name").alias("name"), apex_domain(F.col("domain")).alias("own"), F.explode(html.extract_links(F.col("html"))).alias("l"))
-    host = apex_domain(F.parse_url("l.href", F.lit("HOST")))
+    host = apex_domain(F.try_parse_url("l.href", F.lit("HOST")))
     flat = links.where(F.col("l.href").startswith("http")).select("startup_id", host.alias("apex"), "own", F.contains(F.lower("l.text"), F.col("name")).alias("anchor"), "slug")
     base = F.split("apex", r"\.")[0]
     pattern = F.exists(F.array(*map(F.lit, prefixes)), lambda p: base == F.concat(p, F.col("slug"))) | (F.col("apex") == F.concat("slug", F.lit(".ai"))) | (F.col("apex") == F.concat("slug", F.lit(".io")))
@@ -40,10 +40,11 @@ def score_links(articles: DataFrame, skip: list[str] = rules.ARTICLE_SKIP_DOMAIN
     return usable.groupBy("startup_id", "apex").agg(F.sum(F.col("anchor").cast("int")).alias("anchor_hits"), F.sum(pattern.cast("int")).alias("pattern_hits"), F.count("*").alias("freq"))
 
 
-def resolve_domains(texts: DataFrame, search_scores: DataFrame, link_scores: DataFrame, candidates: DataFrame, replies: DataFrame, dns: DataFrame, homepages: DataFrame) -> DataFrame:
+def resolve_domains(texts: DataFrame, search_scores: DataFrame, link_scores: DataFrame, candidates: DataFrame, replies: DataFrame, dns: DataFrame, homepages: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(startup_id, domain, stage): the first stage that gives one - text, search hosts, article links, name candidates, supplied reply.
 
     Text needs no check; a reply needs a DNS row; the others need a DNS row and the name on the homepage (startup_id, domain).
+    With pages (domain, path, final_url), a domain that redirects to another registrable name becomes that one.
     """
     strong = "anchor_hits >= 1 or pattern_hits >= 1 or freq >= 2"
     by_score = Window.partitionBy("startup_id").orderBy(F.desc("anchor_hits"), F.desc("pattern_hits"), F.desc("freq"), "apex")
@@ -54,12 +55,13 @@ def resolve_domains(texts: DataFrame, search_scores: DataFrame, link_scores: Dat
     checked = checked.join(live, "domain", "left_semi").join(homepages, ["startup_id", "domain"], "left_semi")
     said = replies.select("startup_id", F.lower(F.trim("domain")).alias("domain"), F.lit(5).alias("stage"), F.lit(1).alias("rank")).where(is_valid_domain(F.col("domain"))).join(live, "domain", "left_semi")
     every = text.unionByName(checked).unionByName(said)
-    return every.withColumn("_n", F.row_number().over(Window.partitionBy("startup_id").orderBy("stage", "rank"))).where("_n = 1").select("startup_id", "domain", "stage")
+    first = every.withColumn("_n", F.row_number().over(Window.partitionBy("startup_id").orderBy("stage", "rank"))).where("_n = 1").select("startup_id", "domain", "stage")
+    return first if pages is None else canonical_redirect(first, pages).select("startup_id", "domain", "stage")
 
 
 def canonical_redirect(resolved: DataFrame, pages: DataFrame) -> DataFrame:
     """A domain whose page ended on another registrable name takes that host."""
-    final = pages.where("path = '/'").select("domain", F.regexp_replace(F.lower(F.parse_url("final_url", F.lit("HOST"))), r"^www\.", "").alias("_final"))
+    final = pages.where("path = '/'").select("domain", F.regexp_replace(F.lower(F.try_parse_url("final_url", F.lit("HOST"))), r"^www\.", "").alias("_final"))
     moved = F.col("_final").isNotNull() & (apex_domain(F.col("_final")) != apex_domain(F.col("domain")))
     return resolved.join(final.dropDuplicates(["domain"]), "domain", "left").withColumn("domain", F.when(moved, F.col("_final")).otherwise(F.col("domain"))).drop("_final")
 
@@ -74,7 +76,7 @@ def domain_health(startups: DataFrame, pages: DataFrame) -> DataFrame:
     name, low = F.lower("canonical_name"), F.lower(F.coalesce("html", F.lit("")))
     slug = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, " ai", ""), " ", ""), "ai", "")
     slug = F.substring(F.when(F.length(slug) < 4, F.regexp_replace(name, " ", "")).otherwise(slug), 1, 5)
-    host = F.regexp_replace(F.lower(F.parse_url("final_url", F.lit("HOST"))), r"www\.", "")
+    host = F.regexp_replace(F.lower(F.try_parse_url("final_url", F.lit("HOST"))), r"www\.", "")
     size = F.length(F.trim(F.coalesce("html", F.lit(""))))
     joined = startups.select(F.col("id").alias("startup_id"), "canonical_name", F.col("website").alias("domain")).join(pages.where("path = '/'"), "domain", "left")
     reason = (

@@ -259,19 +259,29 @@ def security_txt(pages: DataFrame, cloud: dict = rules.CLOUD_KEYWORDS) -> DataFr
 
 
 def ip_number(ip: Column) -> Column:
-    parts = F.transform(F.split(ip, r"\."), lambda p: p.cast("long"))
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p))
+    """An IPv4 address as a number; null if it is none."""
+    parts = F.transform(F.split(ip, r"\."), lambda p: p.try_cast("long"))
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p)
+    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(F.forall(parts, lambda p: p < 256), number))
 
 
 def ip_ranges(hosts: DataFrame, ranges: DataFrame, hosted: DataFrame) -> DataFrame:
-    """Host addresses (startup_id, ip) in provider networks: networks are cut into /16 buckets, joined on the bucket, then compared."""
-    bits = F.split("cidr", "/")[1].cast("int")
-    low = ip_number(F.split("cidr", "/")[0])
-    net = ranges.where(~F.contains(F.col("cidr"), F.lit(":"))).select(F.col("provider").alias("provider_name"), "prio", low.alias("lo"), (low + F.pow(F.lit(2), 32 - bits).cast("long") - 1).alias("hi"))
-    net = net.withColumn("bucket", F.explode(F.sequence((F.col("lo") / 65536).cast("long"), (F.col("hi") / 65536).cast("long"))))
-    own = hosts.join(hosted, "startup_id", "left_anti").withColumn("_ip", ip_number(F.col("ip"))).withColumn("bucket", (F.col("_ip") / 65536).cast("long"))
-    hits = own.join(net, "bucket").where((F.col("_ip") >= F.col("lo")) & (F.col("_ip") <= F.col("hi")))
-    best = hits.withColumn("_n", F.row_number().over(Window.partitionBy("startup_id", "ip").orderBy("prio"))).where("_n = 1")
+    """Host addresses (startup_id, ip) in provider networks, whichever provider has the least prio; malformed addresses and networks count as none.
+
+    Each distinct address is cut to every prefix length that a network has (at most 33), and cut addresses meet networks
+    by equality, so that a wide network costs one row and a busy one no comparison.
+    """
+    size = F.coalesce(F.get(F.split("cidr", "/"), F.lit(1)), F.lit("32"))
+    bits = F.when(size.rlike(r"^\d{1,2}$"), size.try_cast("int"))
+    cut = lambda number, bits: F.floor(number / F.pow(F.lit(2.0), F.lit(32) - bits)).cast("long")
+    net = ranges.select(F.col("provider").alias("provider_name"), "prio", bits.alias("bits"), ip_number(F.get(F.split("cidr", "/"), F.lit(0))).alias("_low")).where("bits <= 32 and _low is not null")
+    net = net.withColumn("net", cut(F.col("_low"), F.col("bits"))).groupBy("bits", "net").agg(F.min(F.struct("prio", "provider_name")).alias("best"))
+    net = broadcast_if_small(net)
+    lengths = sorted(r[0] for r in net.select("bits").distinct().collect())
+    own = hosts.join(hosted, "startup_id", "left_anti")
+    each = own.select("ip").distinct().withColumn("_ip", ip_number(F.col("ip"))).where("_ip is not null").withColumn("bits", F.explode(F.lit(lengths).cast("array<int>")))
+    found = each.withColumn("net", cut(F.col("_ip"), F.col("bits"))).join(net, ["bits", "net"]).groupBy("ip").agg(F.min("best").alias("best"))
+    best = own.join(found, "ip").select("startup_id", "ip", "best.*")
     return signal_rows(best, 15, "ip_asn", F.lit(0.3), F.lit("cloud"), F.col("prio"), F.concat(F.lit("IP "), F.col("ip")))
 
 
@@ -333,7 +343,7 @@ JOB_BOARDS = ("greenhouse.io", "lever.co", "ashbyhq.com", "workable.com", "smart
 def job_board_links(pages: DataFrame, boards: tuple[str, ...] = JOB_BOARDS) -> DataFrame:
     """(startup_id, url, title, ord) of posts an index page (startup_id, url, html) points to: deeper links of its own board, links to known boards, sitemap locations below it."""
     links = pages.select("startup_id", F.col("url").alias("index"), F.posexplode(html.extract_links(F.col("html"))).alias("ord", "l"))
-    host = lambda c: F.regexp_replace(F.lower(F.parse_url(c, F.lit("HOST"))), r"^www\.", "")
+    host = lambda c: F.regexp_replace(F.lower(F.try_parse_url(c, F.lit("HOST"))), r"^www\.", "")
     href = F.when(F.col("l.href").startswith("/"), F.concat(F.regexp_extract("index", r"^(https?://[^/]+)", 1), F.col("l.href"))).otherwise(F.col("l.href"))
     seen = links.withColumn("href", href).where(F.col("href").startswith("http"))
     deeper = (host("href") == host("index")) & F.startswith("href", F.regexp_replace("index", "/+$", "")) & (F.length("href") > F.length("index") + 1)

@@ -442,7 +442,7 @@ def p7_clean_website(spark, d):
 
 @query("SELECT page_id, CASE WHEN len(p) >= 2 THEN p[-2] || '.' || p[-1] ELSE h END AS apex FROM (SELECT *, string_split(h, '.') AS p FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS h FROM pages))")
 def p11_apex_domain(spark, d):
-    return _table(spark, d, "pages").select("page_id", T.apex_domain(F.parse_url("url", F.lit("HOST"))).alias("apex"))
+    return _table(spark, d, "pages").select("page_id", T.apex_domain(F.try_parse_url("url", F.lit("HOST"))).alias("apex"))
 
 
 TERMS = [(" the ", "cloud", "A", 1.0), ("and", "cloud", "A", 0.5), (" la ", "cloud", "B", 1.0), ("en", "ai", "C", 0.6)]
