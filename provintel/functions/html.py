@@ -1,16 +1,23 @@
-"""HTML views as Arrow-vectorized functions over the standard library's parser."""
+"""HTML views as Arrow-vectorized functions over the standard library's parser.
+
+page_view() reads a page once and gives all the parts that are asked for, so builders that share a table of pages share
+one Python pass; visible_text() and the others are page views of one part.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rules, sentences
+
 PAGE_DROPS = ("script", "style", "nav", "footer", "header")
 ARTICLE_DROPS = (*PAGE_DROPS, "aside", "form", "noscript")
 NAME_TAGS = ("h3", "h4", "strong", "b")
@@ -47,7 +54,7 @@ class _Walker(HTMLParser):
             return
         self.stack.append(tag)
         if tag in self.card_tags and any(w in a.get("class", "") for w in self.card_words):
-            self.cards.append({"texts": [], "name": None, "naming": 0})
+            self.cards.append({"tag": tag, "class": a.get("class", ""), "texts": [], "name": None, "naming": 0})
             self.open_cards.append((len(self.stack), self.cards[-1]))
         if tag in NAME_TAGS:
             for _, card in self.open_cards:
@@ -121,57 +128,6 @@ def _mapped(kind: str, fn: Callable) -> Callable[[Column], Column]:
     return run
 
 
-def visible_text(html: Column) -> Column:
-    return _mapped("string", lambda h: squeeze(_walk(h).text))(html)
-
-
-def article_text(html: Column) -> Column:
-    """Text of <article> or the main role where there is one, else of the page."""
-
-    def one(h: str | None) -> str:
-        w = _walk(h, drops=ARTICLE_DROPS, inside=("article",))
-        return squeeze(w.main or w.text)
-
-    return _mapped("string", one)(html)
-
-
-def extract_links(html: Column) -> Column:
-    return _mapped(LINKS, lambda h: [{"href": a, "text": squeeze(t)} for a, t in _walk(h, drops=()).links])(html)
-
-
-def headline_text(html: Column) -> Column:
-    """Title, description and og: contents, h1 and h2, one a line."""
-    return _mapped("string", lambda h: "\n".join(x for k in ("title", "meta", "h1", "h2") for x in _walk(h, drops=()).named.get(k, [])))(html)
-
-
-def job_text(html: Column) -> Column:
-    """Visible text and the description that some job boards embed as JSON."""
-
-    def one(h: str | None) -> str:
-        parts = [squeeze(_walk(h).text)]
-        if m := re.search(r'"descriptionPlainText"\s*:\s*("(?:[^"\\]|\\.)*")', h or ""):
-            try:
-                parts.append(json.loads(m[1], strict=False))
-            except ValueError:  # not JSON after all: the page has its visible text
-                pass
-        if m := re.search(r'<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', h or "", re.DOTALL):
-            try:
-                stack = [json.loads(m[1])]
-            except ValueError:
-                stack = []
-            while stack:
-                x = stack.pop()
-                if isinstance(x, dict):
-                    if isinstance(x.get("currentJob"), dict):
-                        parts.append(squeeze(_walk(x["currentJob"].get("description") or "").text))
-                    stack.extend(x.values())
-                elif isinstance(x, list):
-                    stack.extend(x)
-        return "\n".join(p for p in parts if p)
-
-    return _mapped("string", one)(html)
-
-
 # Words that make a page one of subprocessors, its columns, and the classes of its cards and of result cards.
 SUBPROCESSOR_TERMS = ("subprocessor", "sub-processor", "data processor")
 SUBPROCESSOR_NAMES = ("amazon", "google", "microsoft", "azure", "openai", "anthropic")
@@ -182,17 +138,6 @@ VENDOR_CARDS = ("card", "item", "processor", "vendor")
 RESULT_CARDS = {"AWS": ("card", "result", "case-study", "customer-reference"), "GCP": ("card", "result", "customer", "tile"), "Azure": ("card", "result", "story", "customer")}
 
 
-def card_text(html: Column, provider: Column) -> Column:
-    """Text inside the result cards of a provider's page; what stands around them doesn't count."""
-
-    @F.pandas_udf("string")
-    def run(pages: pd.Series, providers: pd.Series) -> pd.Series:
-        read = lambda h, p: squeeze([x for c in _walk(h, drops=(), cards=RESULT_CARDS.get(p, ("card", "result"))).cards for x in c["texts"]])
-        return pd.Series([read(h, p) for h, p in zip(pages, providers, strict=True)], dtype=object)
-
-    return run(html, provider)
-
-
 def _table_rows(table: list[list[list[str]]]) -> list[dict]:
     rows = [[squeeze(c) for c in r] for r in table]
     head = [c.lower() for c in rows[0]] if len(rows) > 1 else []
@@ -217,15 +162,138 @@ def _term_rows(terms: list[tuple[str, list[str]]]) -> list[dict]:
     return [{"name": n, "purpose": p, "location": ""} for n, p in zip(names, told, strict=False) if n]
 
 
-def subprocessor_rows(html: Column) -> Column:
-    """Vendor rows of a subprocessor page: tables with a name column, else cards, else definition lists; pages without a term and a provider's name give none."""
-
-    def one(h: str | None) -> list[dict]:
-        low = (h or "").lower()
+def _job_descriptions(html: str) -> Iterator[str]:
+    """Descriptions that some job boards embed as JSON; what isn't JSON after all is left out."""
+    if m := re.search(r'"descriptionPlainText"\s*:\s*("(?:[^"\\]|\\.)*")', html):
+        try:
+            yield json.loads(m[1], strict=False)
+        except ValueError:
+            pass
+    if m := re.search(r'<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>', html, re.DOTALL):
+        try:
+            stack = [json.loads(m[1])]
+        except ValueError:
+            stack = []
+        while stack:
+            x = stack.pop()
+            if isinstance(x, dict):
+                if isinstance(x.get("currentJob"), dict):
+                    yield squeeze(_walk(x["currentJob"].get("description") or "").text)
+                stack.extend(x.values())
+            elif isinstance(x, list):
+                stack.extend(x)
+
+
+class PageView:
+    """A page, walked once when a part first needs it."""
+
+    def __init__(self, html: str | None, provider: str | None, patterns: sentences.Patterns | None):
+        self.html, self.patterns = html or "", patterns
+        self.result_words = RESULT_CARDS.get(provider, ("card", "result"))
+
+    @cached_property
+    def walked(self) -> _Walker:
+        return _walk(self.html, cards=(*VENDOR_CARDS, *self.result_words))
+
+    @cached_property
+    def text(self) -> str:
+        return squeeze(self.walked.text)
+
+    @cached_property
+    def job(self) -> str:
+        return "\n".join(p for p in (self.text, *_job_descriptions(self.html)) if p)
+
+    @property
+    def facts(self) -> list[dict]:
+        return self.patterns.facts(self.text)
+
+    @property
+    def job_facts(self) -> list[dict]:
+        return self.patterns.facts(self.job)
+
+    @property
+    def links(self) -> list[dict]:
+        return [{"href": a, "text": squeeze(t)} for a, t in self.walked.links]
+
+    @property
+    def headline(self) -> str:
+        return "\n".join(x for k in ("title", "meta", "h1", "h2") for x in self.walked.named.get(k, []))
+
+    def _cards(self, words: tuple[str, ...], tags: tuple[str, ...]) -> list[dict]:
+        return [c for c in self.walked.cards if c["tag"] in tags and any(w in c["class"] for w in words)]
+
+    @property
+    def cards(self) -> str:
+        return squeeze([x for c in self._cards(self.result_words, ("div", "a")) for x in c["texts"]])
+
+    @property
+    def vendors(self) -> list[dict]:
+        low = self.html.lower()
         plain = re.sub(r"<link[^>]+>|<script[^>]+src=[^>]+>", "", low)
         if not any(w in low for w in SUBPROCESSOR_TERMS) or not any(w in plain for w in SUBPROCESSOR_NAMES):
             return []
-        w = _walk(h, drops=(), cards=VENDOR_CARDS, card_tags=("div",))
-        return [r for t in w.tables for r in _table_rows(t)] or _card_rows(w.cards) or _term_rows(w.terms)
+        return [r for t in self.walked.tables for r in _table_rows(t)] or _card_rows(self._cards(VENDOR_CARDS, ("div",))) or _term_rows(self.walked.terms)
 
-    return _mapped(VENDOR_ROWS, one)(html)
+
+PARTS = {"text": "string", "links": LINKS, "headline": "string", "job": "string", "cards": "string", "vendors": VENDOR_ROWS, "facts": sentences.FACTS, "job_facts": sentences.FACTS}
+
+
+def page_view(html: Column, parts: tuple[str, ...], provider: Column | None = None, tables: sentences.Tables | None = None, hiring: list[str] = rules.HIRING_PHRASES) -> Column:
+    """A struct of parts of a page: text, links, headline, job (text with embedded descriptions), cards (text in result
+    cards of a provider's page), vendors (rows of a subprocessor page), and facts and job_facts of the texts' sentences."""
+
+    @F.pandas_udf(", ".join(f"{p} {PARTS[p]}" for p in parts))
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        patterns = sentences.Patterns(tables, hiring) if tables else None
+        for pages, providers in batches:
+            rows = []
+            for h, p in zip(pages, providers, strict=True):
+                view = PageView(h, p, patterns)
+                rows.append([getattr(view, part) for part in parts])
+            yield pd.DataFrame({part: pd.Series([r[i] for r in rows], dtype=object) for i, part in enumerate(parts)})
+
+    return read(html, F.lit(None).cast("string") if provider is None else provider)
+
+
+def may_name(html: Column, words: Iterable[str]) -> Column:
+    """Whether a page's source can hold one of the words in its text: it holds a word's first letters and digits, or writes letters as references."""
+    first = {m[0] for w in words if (m := re.search("[a-z0-9]+", w))}
+    return F.lower(html).rlike("|".join(sorted(first)) + "|&#|&fjlig")
+
+
+def visible_text(html: Column) -> Column:
+    return page_view(html, ("text",))["text"]
+
+
+def extract_links(html: Column) -> Column:
+    return page_view(html, ("links",))["links"]
+
+
+def headline_text(html: Column) -> Column:
+    """Title, description and og: contents, h1 and h2, one a line."""
+    return page_view(html, ("headline",))["headline"]
+
+
+def job_text(html: Column) -> Column:
+    """Visible text and the description that some job boards embed as JSON."""
+    return page_view(html, ("job",))["job"]
+
+
+def card_text(html: Column, provider: Column) -> Column:
+    """Text inside the result cards of a provider's page; what stands around them doesn't count."""
+    return page_view(html, ("cards",), provider)["cards"]
+
+
+def subprocessor_rows(html: Column) -> Column:
+    """Vendor rows of a subprocessor page: tables with a name column, else cards, else definition lists; pages without a term and a provider's name give none."""
+    return page_view(html, ("vendors",))["vendors"]
+
+
+def article_text(html: Column) -> Column:
+    """Text of <article> or the main role where there is one, else of the page; other tags are dropped, so it is a walk of its own."""
+
+    def one(h: str | None) -> str:
+        w = _walk(h, drops=ARTICLE_DROPS, inside=("article",))
+        return squeeze(w.main or w.text)
+
+    return _mapped("string", one)(html)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, rules, sentences
 from ..session import broadcast_if_small, materialize
-from ..functions.text import age_to_weight, homepage_investors, is_competitor_url, keyword_scan, pub_date_weight, strength_of, term_classify, valid_title
+from ..functions.text import age_to_weight, homepage_investors, is_competitor_url, keyword_hits, keyword_scan, pub_date_weight, strength_of, term_classify, valid_title
 
 STEP = 1_000_000
 ALLOWED_WEIGHTS = (1.0, 0.6, 0.3)
@@ -48,14 +48,33 @@ def not_applicable(startups: DataFrame, table: dict = rules.NOT_APPLICABLE) -> D
 
 
 def scan_both(df: DataFrame, text_col: str, cloud: dict = rules.CLOUD_KEYWORDS, ai: dict = rules.AI_KEYWORDS) -> DataFrame:
-    """keyword_scan of cloud and AI tables, with provider_type."""
-    return keyword_scan(df, text_col, cloud).withColumn("provider_type", F.lit("cloud")).unionByName(keyword_scan(df, text_col, ai).withColumn("provider_type", F.lit("ai")))
+    """keyword_scan of cloud and AI tables, with provider_type; df is read once."""
+    tagged = lambda side, table: F.transform(keyword_hits(F.col(text_col), table), lambda h: F.struct(F.lit(side).alias("provider_type"), h["provider_name"].alias("provider_name"), h["keywords"].alias("keywords")))
+    return df.withColumn("_hit", F.explode(F.concat(tagged("cloud", cloud), tagged("ai", ai)))).select(*df.columns, "_hit.*")
+
+
+def page_texts(pages: DataFrame, cloud: dict = rules.CLOUD_KEYWORDS, ai: dict = rules.AI_KEYWORDS) -> DataFrame:
+    """Pages that answered 200, with text and facts of its sentences (cloud) instead of html: one Python pass for all builders that read texts.
+
+    Pages but the first one of a site have no text unless their source can name a provider.
+    """
+    words = [k for table in (cloud, ai) for ks in table.values() for k in ks]
+    wanted = html.may_name(F.col("html"), words)
+    if "path" in pages.columns:
+        wanted = wanted | F.coalesce(F.col("path") == "/", F.lit(False))
+    read = html.page_view(F.when(wanted, F.col("html")), ("text", "facts"), tables={"cloud": cloud})
+    return pages.where("status = 200").withColumn("_v", read).select(*[c for c in pages.columns if c != "html"], "_v.text", "_v.facts")
+
+
+def _texts(pages: DataFrame, **tables) -> DataFrame:
+    """pages with text and facts, read before or now."""
+    return pages if "text" in pages.columns else page_texts(pages, **tables)
 
 
 def evidence_pages(urls: DataFrame, pages: DataFrame, source: str = "evidence_url", builder: int = 3, weight: float = 1.0, **tables) -> DataFrame:
     """Keyword hits of given pages (startup_id, url, ord) that answered 200."""
-    wanted = pages.where("status = 200").select("url", "html").join(broadcast_if_small(urls.select("url").distinct()), "url", "left_semi")
-    got = urls.join(wanted.select("url", html.visible_text(F.col("html")).alias("text")), "url")  # texts cross the join, html does not
+    wanted = pages.join(broadcast_if_small(urls.select("url").distinct()), "url", "left_semi")
+    got = urls.join(_texts(wanted, **tables).where("status = 200").select("url", "text"), "url")  # texts cross the join, html does not
     hits = scan_both(got, "text", **tables)
     return signal_rows(hits, builder, source, F.lit(weight), F.col("provider_type"), F.col("ord"), F.concat(F.lit("Keywords: "), F.array_join("keywords", ", ")), F.col("url"))
 
@@ -205,28 +224,34 @@ def job_postings(posts: DataFrame, cloud: dict = rules.CLOUD_KEYWORDS, ai: dict
     """Engineering titles first, first posts only; reading stops after the post where both sides have a hit."""
     role = F.lower(F.coalesce("title", F.lit(""))).rlike("|".join(rules.ROLE_KEYWORDS))
     place = F.row_number().over(Window.partitionBy("startup_id").orderBy(F.when(role, 0).otherwise(1), "ord"))
-    some = posts.where("status = 200").withColumn("place", place).where(F.col("place") <= most).withColumn("text", html.job_text(F.col("html"))).drop("html")
-    scanned = sentences.with_job_hits(sentences.with_job_hits(some, "cloud_hits", F.col("text"), cloud), "ai_hits", F.col("text"), ai, tuple(ai))
+    some = posts.where("status = 200").withColumn("place", place).where(F.col("place") <= most)
+    facts = html.page_view(F.col("html"), ("job_facts",), tables={"cloud": cloud, "ai": ai})["job_facts"]
+    read = some.withColumn("facts", facts).select("startup_id", "url", "place", "facts")
+    of = lambda side: F.filter("facts", lambda f: f["side"] == side)
+    scanned = sentences.judged_jobs(sentences.judged_jobs(read, "cloud_hits", of("cloud")), "ai_hits", of("ai"), tuple(ai))
     before = Window.partitionBy("startup_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     had = lambda c: F.coalesce(F.max(F.size(c) > 0).over(before), F.lit(False))
-    read = scanned.withColumn("_done", had("cloud_hits") & had("ai_hits")).where("not _done")
-    sides = [read.select("startup_id", "url", "place", F.explode(f"{t}_hits").alias("h"), F.lit(t).alias("_type")) for t in ("cloud", "ai")]
-    found = sides[0].unionByName(sides[1]).withColumn("provider_name", F.col("h.provider_name"))
-    return signal_rows(found, 10, "job_posting", F.when(F.col("h.is_primary"), 1.0).otherwise(0.6), F.col("_type"), F.col("place"), F.concat(F.lit("Keywords: "), F.array_join("h.keywords", ", ")), F.col("url"))
+    open_ = scanned.withColumn("_done", had("cloud_hits") & had("ai_hits")).where("not _done")
+    tagged = lambda side: F.transform(f"{side}_hits", lambda h: F.struct(F.lit(side).alias("side"), h["provider_name"].alias("provider_name"), h["keywords"].alias("keywords"), h["is_primary"].alias("is_primary")))
+    found = open_.select("startup_id", "url", "place", F.explode(F.concat(tagged("cloud"), tagged("ai"))).alias("h")).withColumn("provider_name", F.col("h.provider_name"))
+    return signal_rows(found, 10, "job_posting", F.when(F.col("h.is_primary"), 1.0).otherwise(0.6), F.col("h.side"), F.col("place"), F.concat(F.lit("Keywords: "), F.array_join("h.keywords", ", ")), F.col("url"))
 
 
 def site_pages(pages: DataFrame, groups: dict[str, tuple[str, float]] = rules.PATH_GROUPS, cloud: dict = rules.CLOUD_KEYWORDS, ai: dict = rules.AI_KEYWORDS) -> DataFrame:
     """Pages (startup_id, path, url, html, ord) by path group -> (signal source, weight); cloud by sentence rules, AI by keywords; ownership is worth 1.0."""
     table = _ordered_table(pages, [(p, g, w) for p, (g, w) in groups.items()], "path string, signal_source string, weight double")
-    got = pages.where("status = 200").join(table, "path").withColumn("text", html.visible_text(F.col("html"))).drop("html")
-    cloudy = sentences.with_site_hits(got, "_hits", F.col("text"), cloud).withColumn("h", F.explode("_hits")).select("startup_id", "url", "map_ord", "signal_source", "weight", F.col("h.provider_name").alias("provider_name"), F.col("h.keywords").alias("keywords"), F.col("h.is_ownership").alias("owns"), F.lit("cloud").alias("_type"))
-    smart = keyword_scan(got.drop("provider_name"), "text", ai).select("startup_id", "url", "map_ord", "signal_source", "weight", "provider_name", "keywords", F.lit(False).alias("owns"), F.lit("ai").alias("_type"))
-    every = cloudy.unionByName(smart).withColumn("weight", F.when(F.col("owns"), 1.0).otherwise(F.col("weight"))).withColumn("signal_source", F.when(F.col("owns"), "ownership_declaration").otherwise(F.col("signal_source")))
-    return signal_rows(every, 11, "", F.col("weight"), F.col("_type"), F.col("map_ord"), F.concat(F.lit("Keywords: "), F.array_join("keywords", ", ")), F.col("url"), ["signal_source"])
+    got = _texts(pages.where(F.col("path").isin(list(groups))), cloud=cloud, ai=ai).where("status = 200").join(table, "path")
+    told = sentences.judged_sites(got, "_hits", F.col("facts"))
+    hit = lambda side, name, words, owns: F.struct(F.lit(side).alias("side"), name.alias("provider_name"), words.alias("keywords"), owns.alias("owns"))
+    owned = F.transform("_hits", lambda h: hit("cloud", h["provider_name"], h["keywords"], h["is_ownership"]))
+    smart = F.transform(keyword_hits(F.col("text"), ai), lambda h: hit("ai", h["provider_name"], h["keywords"], F.lit(False)))
+    every = told.select("startup_id", "url", "map_ord", "signal_source", "weight", F.explode(F.concat(owned, smart)).alias("h")).select("*", "h.*")
+    every = every.withColumn("weight", F.when(F.col("owns"), 1.0).otherwise(F.col("weight"))).withColumn("signal_source", F.when(F.col("owns"), "ownership_declaration").otherwise(F.col("signal_source")))
+    return signal_rows(every, 11, "", F.col("weight"), F.col("side"), F.col("map_ord"), F.concat(F.lit("Keywords: "), F.array_join("keywords", ", ")), F.col("url"), ["signal_source"])
 
 
 def homepage_investor_signals(pages: DataFrame) -> DataFrame:
-    home = pages.where("path = '/' and status = 200").withColumn("text", html.visible_text(F.col("html"))).select("startup_id", "url", "text", "ord")
+    home = _texts(pages.where("path = '/'")).where("status = 200").select("startup_id", "url", "text", "ord")
     return signal_rows(homepage_investors(home, "text"), 12, "homepage_investor", F.lit(0.3), F.lit("cloud"), F.col("ord"), F.concat(F.col("rationale"), F.lit(" (mentioned on homepage)")), F.col("url"))
 
 
