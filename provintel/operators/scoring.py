@@ -30,6 +30,7 @@ def score_providers(signals: DataFrame, owned_sources: list[str] = rules.OWNED_S
             F.count("*").alias("n"),
             F.min("ord").alias("first_ord"),
             F.max(F.col("signal_source").isin(list(owned_sources))).alias("owned"),
+            F.max("confidence_weight").alias("best"),
             F.min(purpose).alias("_purpose"),
         )
         .withColumn(
@@ -42,41 +43,75 @@ def score_providers(signals: DataFrame, owned_sources: list[str] = rules.OWNED_S
     )
 
 
+def provider_entries(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and r: the entries of a side's providers (rows of score_providers), best first. A row per provider is grouped, not per signal."""
+    entry = F.struct((-F.col("score")).alias("neg"), F.col("first_ord").alias("ord"), F.col("provider_name").alias("name"), "score", "role", "owned", "n", "best")
+    return scored.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("r"))
+
+
+def _sum(r: Column, field: str, kind: str) -> Column:
+    return F.aggregate(r, F.lit(0).cast(kind), lambda a, x: (a + x[field]).cast(kind))
+
+
+def _judged(r: Column, is_cloud: Column, cloud_gap: float, ai_gap: float) -> dict[str, Column]:
+    """What ranked entries say: whether they count at all, are close, a hybrid, their confidence and total."""
+    names, total = F.transform(r, lambda x: x["name"]), _sum(r, "score", "decimal(23,1)")
+    shallow = (F.size(F.array_intersect(names, F.array(*map(F.lit, BIG_THREE)))) == 3) & ~F.exists(r, lambda x: x["name"].isin(*BIG_THREE) & x["owned"])
+    top, second = F.get(r, F.lit(0))["score"], F.get(r, F.lit(1))["score"]
+    gap = F.when(is_cloud, F.lit(str(cloud_gap)).cast("decimal(3,1)")).otherwise(F.lit(str(ai_gap)).cast("decimal(3,1)"))
+    close = F.coalesce(top - second < gap, F.lit(False))
+    share = F.when(second.isNull(), top / 2).when(close, total / F.size(r)).otherwise(top / total)
+    return {
+        "counts": (F.size(r) > 0) & ~(is_cloud & shallow), "close": close, "hybrid": is_cloud & F.array_contains(names, "On-Premises") & (F.size(r) > 1),
+        "confidence": F.least(F.round(share, 2), F.lit(1)).cast("double"), "total": total,
+    }
+
+
+def decide(ranked: DataFrame, cloud_gap: float = CLOUD_GAP, ai_gap: float = AI_GAP) -> DataFrame:
+    """Rows (startup_id, provider_type, r) that count, as attributions."""
+    j = _judged(F.col("r"), F.col("provider_type") == "cloud", cloud_gap, ai_gap)
+    entry = lambda x: F.struct(
+        x["name"].alias("provider_name"), x["role"].alias("role"), (x["score"] / F.col("_total")).cast("double").alias("confidence"), entrenchment(x["score"]).alias("entrenchment"), x["score"].alias("raw_score"),
+    )
+    return ranked.where(j["counts"]).withColumn("_total", j["total"]).select(
+        "startup_id", "provider_type", (j["close"] | j["hybrid"]).alias("is_multi"), F.when(j["hybrid"], "Hybrid").when(~j["close"], F.col("r")[0]["name"]).alias("primary_provider"),
+        F.transform("r", entry).alias("providers"), j["confidence"].alias("confidence"), _sum(F.col("r"), "n", "bigint").alias("evidence_count"),
+        F.lit(False).alias("is_not_applicable"), F.lit(None).cast("string").alias("not_applicable_note"),
+    )
+
+
+def counts(r: Column, is_cloud: Column) -> Column:
+    """Whether a side's entries give an attribution."""
+    return _judged(r, is_cloud, CLOUD_GAP, AI_GAP)["counts"]
+
+
+def needs_fallback(r: Column, side: str, below: float = FALLBACK_BELOW) -> Column:
+    """Whether a side's entries give no attribution, or one under the limit."""
+    j = _judged(r, F.lit(side == "cloud"), CLOUD_GAP, AI_GAP)
+    return ~F.coalesce(j["counts"] & (j["confidence"] >= below), F.lit(False))
+
+
+def merged(r: Column, more: Column) -> Column:
+    """Entries of both, one a provider, best first."""
+    every = F.concat(r, more)
+
+    def one(name: Column) -> Column:
+        own = F.filter(every, lambda x: x["name"] == name)
+        score = _sum(own, "score", "decimal(13,1)")
+        return F.struct(
+            (-score).cast("decimal(13,1)").alias("neg"), F.array_min(F.transform(own, lambda x: x["ord"])).alias("ord"), name.alias("name"), score.alias("score"), own[0]["role"].alias("role"),
+            F.exists(own, lambda x: x["owned"]).alias("owned"), _sum(own, "n", "bigint").alias("n"), F.array_max(F.transform(own, lambda x: x["best"])).alias("best"),
+        )
+
+    return F.array_sort(F.transform(F.array_distinct(F.transform(every, lambda x: x["name"])), one))
+
+
 def attribute(signals: DataFrame, owned_sources: list[str] = rules.OWNED_SOURCES, cloud_gap: float = CLOUD_GAP, ai_gap: float = AI_GAP) -> DataFrame:
     """One row per (startup, type) with ranked providers, is_multi, primary_provider, confidence, evidence_count.
 
     The second grouping is on a prefix of the first one's keys and holds a row per provider, not per signal.
     """
-    scored = score_providers(signals, owned_sources)
-    entry = F.struct((-F.col("score")).alias("neg"), F.col("first_ord").alias("ord"), F.col("provider_name").alias("name"), F.col("score"), F.col("role"), F.col("owned"))
-    ranked = scored.groupBy("startup_id", "provider_type").agg(
-        F.array_sort(F.collect_list(entry)).alias("r"), F.sum("score").alias("total"), F.sum("n").alias("evidence_count")
-    )
-    names = F.transform("r", lambda x: x["name"])
-    shallow = (F.size(F.array_intersect(names, F.array(*map(F.lit, BIG_THREE)))) == 3) & ~F.exists("r", lambda x: x["name"].isin(*BIG_THREE) & x["owned"])
-    kept = ranked.where(~((F.col("provider_type") == "cloud") & shallow))
-    top, second = F.col("r")[0]["score"], F.get("r", F.lit(1))["score"]
-    gap = F.when(F.col("provider_type") == "ai", F.lit(str(ai_gap)).cast("decimal(3,1)")).otherwise(F.lit(str(cloud_gap)).cast("decimal(3,1)"))
-    close = F.coalesce(top - second < gap, F.lit(False))
-    share = F.when(second.isNull(), top / 2).when(close, F.col("total") / F.size("r")).otherwise(top / F.col("total"))
-    hybrid = (F.col("provider_type") == "cloud") & F.array_contains(names, "On-Premises") & (F.size("r") > 1)
-    return kept.select(
-        "startup_id",
-        "provider_type",
-        (close | hybrid).alias("is_multi"),
-        F.when(hybrid, "Hybrid").when(~close, F.col("r")[0]["name"]).alias("primary_provider"),
-        F.transform(
-            "r",
-            lambda x: F.struct(
-                x["name"].alias("provider_name"), x["role"].alias("role"), (x["score"] / F.col("total")).cast("double").alias("confidence"),
-                entrenchment(x["score"]).alias("entrenchment"), x["score"].alias("raw_score"),
-            ),
-        ).alias("providers"),
-        F.least(F.round(share, 2), F.lit(1)).cast("double").alias("confidence"),
-        F.col("evidence_count"),
-        F.lit(False).alias("is_not_applicable"),
-        F.lit(None).cast("string").alias("not_applicable_note"),
-    )
+    return decide(provider_entries(score_providers(signals, owned_sources), ["startup_id", "provider_type"]), cloud_gap, ai_gap)
 
 
 def is_hardware(industry: Column, words: list[str] = rules.HARDWARE_INDUSTRIES) -> Column:
