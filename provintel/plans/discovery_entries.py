@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import discovery as D
 from ..operators import resolution as R
-from ..session import shared_dir
+from ..session import materialize, remove, remove_at_end, shared_dir
 from ..sources import tables as TB
-from ..streaming.articles import start_ingest, stored_articles
+from ..streaming.articles import start_ingest, stored_entries
 from . import bindings as B
 from .registry import query
 
@@ -28,6 +28,7 @@ def s1_seed_csv(spark, d):
     path = f"{shared_dir(spark)}/seed-{uuid.uuid4().hex}"
     B.derived(spark, d, "customer", SEED).drop("k").write.option("quote", '"').option("escape", '"').csv(path)
     rows = TB.read_seed_csv(spark, path)
+    remove_at_end(spark, path)
     return rows.select("company_name", "website", *[F.array_join(c, ",").alias(c) for c in ("evidence_urls", "investors", "founder_background")])
 
 
@@ -35,6 +36,7 @@ def s1_seed_csv(spark, d):
 def s2_read_json(spark, d):
     path = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
     spark.read.parquet(f"{d}/events.parquet").select("ts", F.col("event_type").alias("source"), "value").write.option("timestampFormat", PRECISE).option("timestampNTZFormat", PRECISE).json(path)
+    remove_at_end(spark, path)
     return TB.read_table(spark, "usage_events", path, "json").groupBy("source").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
 
 
@@ -213,22 +215,32 @@ def d9_run_discovery(spark, d):
     return events.select("ord", F.col("funding_amount_usd").alias("amount"))
 
 
+# Seven micro-batches, the fourth empty; in the later ones every fiftieth article is twelve days old, and its title may be one that an earlier batch has.
+_BATCH = "CASE WHEN o_orderkey % 6 < 3 THEN o_orderkey % 6 ELSE o_orderkey % 6 + 1 END"
+_DAYS = f"2 * ({_BATCH}) + CAST(floor(o_orderkey / 6) AS BIGINT) % 2 - CASE WHEN o_orderkey % 50 = 0 AND o_orderkey % 6 <> 0 THEN 12 ELSE 0 END"
+_AGAIN = f"CAST(floor(o_orderkey / 64) AS BIGINT) % 3 = 0 AND {_BATCH} IN (1, 2, 4)"
+BATCHED = FEED.replace("date_add(DATE'2024-01-01', CAST(o_orderkey % 30 AS INT))", f"date_add(DATE'2024-01-01', CAST({_DAYS} AS INT))").replace("END) AS title", f"END, CASE WHEN {_AGAIN} THEN ' again' ELSE '' END) AS title") + f", {_BATCH} AS batch"
+
+
 @query(
-    f"WITH a AS ({_FEED}), u AS (SELECT * FROM a WHERE CASE src WHEN 0 THEN true WHEN 1 THEN said IN (0, 1) ELSE said IN (0, 1, 2) END QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1) "
-    "SELECT id AS article_id FROM u QUALIFY row_number() OVER (PARTITION BY firm, CASE WHEN said IN (0, 1) THEN 0 WHEN said = 2 THEN 2 ELSE 3 END ORDER BY prio DESC, id) = 1"
+    f"WITH a AS (SELECT o_orderkey AS id, floor(o_orderkey / 64) AS firm, floor(o_orderkey / 2) AS url, DATE '2024-01-01' + CAST({_DAYS} AS INT) AS day, o_orderkey % 4 AS src, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS prio, o_orderkey % 5 AS said, {_AGAIN} AS again, {_BATCH} AS batch FROM orders), "
+    "p AS (SELECT * FROM a WHERE CASE src WHEN 0 THEN true WHEN 1 THEN said IN (0, 1) ELSE said IN (0, 1, 2) END), "
+    "w AS (SELECT b AS batch, (SELECT max(day) - 3 FROM p WHERE p.batch < b) AS mark FROM range(7) t(b)), "
+    "f AS (SELECT p.* FROM p JOIN w USING (batch) WHERE mark IS NULL OR day > mark), u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch) = 1), "
+    "k AS (SELECT *, CASE WHEN said IN (0, 1) THEN 0 WHEN said = 2 THEN 2 ELSE 3 END AS kind FROM u), s AS (SELECT *, coalesce(day > lag(day) OVER t + 3, false)::INT AS opens FROM k WINDOW t AS (PARTITION BY firm, kind, again ORDER BY day, id)), "
+    "r AS (SELECT *, sum(opens) OVER (PARTITION BY firm, kind, again ORDER BY day, id) AS run FROM s) "
+    "SELECT arg_max(id, prio * 1000000000000 - id) AS article_id, CAST(min(day) AS TIMESTAMP) AS first, CAST(max(day) AS TIMESTAMP) AS last FROM r GROUP BY firm, kind, again, run"
 )
 def st1_stream_articles(spark, d):
-    """The feed as a stream of one micro-batch of files: filtered, one article a url and a title in the upserted table."""
-    first = F.min("ord").alias("ord")
-    feed = B.derived(spark, d, "orders", FEED)
-    # Of two articles of one url a stream keeps the one that comes first; the files hold passing ones in order of ord.
-    passing = D.passes_filters(feed)
-    ordered = passing.join(passing.groupBy("url").agg(first), ["url", "ord"], "left_semi")
-    source = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    ordered.select(*[c.split()[0] for c in TB.SCHEMAS["articles"].split(", ")]).write.parquet(source)
-    stream = spark.readStream.schema(TB.SCHEMAS["articles"]).parquet(source)
-    out = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex}"
-    start_ingest(stream, out, f"{out}-state", look_back="40 days").awaitTermination()
-    return stored_articles(spark, out).select("article_id")
-
-
+    """The feed as a stream of seven micro-batches: urls and titles come again in later ones, some rows are late, and one batch is empty."""
+    feed = B.derived(spark, d, "orders", BATCHED).persist()
+    columns = [c.split()[0] for c in TB.SCHEMAS["articles"].split(", ")]
+    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    for k in range(7):
+        feed.where(f"batch = {k}").select(*columns).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(TB.SCHEMAS["articles"]).option("maxFilesPerTrigger", 1).parquet(folder)
+    start_ingest(stream, f"{folder}/_stored", f"{folder}/_state").awaitTermination()
+    feed.unpersist()
+    found = materialize(stored_entries(spark, f"{folder}/_stored", TB.SCHEMAS["articles"]).select("article_id", "first", "last"), "entries")
+    remove(spark, folder)
+    return found

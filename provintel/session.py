@@ -24,6 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def files(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store that Spark reads."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, jpath = files(spark, path)
+    fs.delete(jpath, True)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """The path goes when the driver's JVM ends."""
+    fs, jpath = files(spark, path)
+    fs.deleteOnExit(jpath)
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and survives lost executors.
 
@@ -33,8 +50,7 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

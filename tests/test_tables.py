@@ -1,6 +1,8 @@
 """Upserts, discovery passes, signal builders and the streaming ingest on small tables."""
 
 import datetime as dt
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from provintel.operators import resolution as R
 from provintel.operators import signals as G
 from provintel.sources import upsert as U
 from provintel.sources.tables import SCHEMAS, read_seed_csv
-from provintel.streaming.articles import start_ingest
+from provintel.streaming.articles import entries_of, joined_entries, start_ingest, store_batch, stored_entries, versions
 
 
 def articles(spark, *rows):
@@ -101,9 +103,50 @@ def test_seed_csv(spark, tmp_path):
     assert [(r["company_name"], r["evidence_urls"], r["investors"]) for r in rows] == [("Acme", ["https://a"], ["GV", "M12"])]
 
 
-def test_stream(spark, tmp_path):
-    df = articles(spark, ("Harvey raises $1M!", "google_news"), ("Harvey raises 1M", "vcnewsdaily"), ("Nothing here", "google_news"))
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMAS["articles"]).parquet(str(tmp_path / "in"))
-    start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert [r["source"] for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("source")).collect()] == ["vcnewsdaily"]
+def story(i, title, day, source="google_news", url=None):
+    return (i, title, url or f"u{i}", dt.datetime(2024, 1, day), None, None, source, 0, i)
+
+
+def test_stream_of_batches(spark, tmp_path):
+    """Titles over several batches, a url that comes again, a late row, an empty batch, a batch that is run again, one cut off before it was whole."""
+    batches = [
+        [story(1, "Harvey raises $1M!", 5), story(2, "Nothing here", 5)],
+        [story(3, "Harvey raises 1M", 7, "vcnewsdaily"), story(4, "Acme raises 2M", 7, url="u1")],
+        [],
+        [story(5, "Harvey raises $1M", 20), story(6, "Zed raises 3M", 20), story(7, "Late raises 1M", 21)],
+        [story(8, "Old raises 1M", 3), story(9, "Zed raises 3M", 22, "prnewswire"), story(10, "Late raises 1M", 25)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMAS["articles"]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema(SCHEMAS["articles"]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    start_ingest(stream, out, str(tmp_path / "cp")).awaitTermination(240)
+    read = lambda: sorted((r["article_id"], r["first"].day, r["last"].day) for r in stored_entries(spark, out, SCHEMAS["articles"]).collect())
+    want = [(3, 5, 7), (5, 20, 20), (7, 21, 21), (9, 20, 22), (10, 25, 25)]
+    assert read() == want
+    closed = {p.name for p in (tmp_path / "out" / "closed").iterdir()}
+    last = versions(spark, out)[-1]
+    assert len(versions(spark, out)) == 2 and f"batch={last}" in closed
+
+    again = spark.createDataFrame(batches[4][1:], SCHEMAS["articles"])
+    store_batch(again, last, out, SCHEMAS["articles"])
+    assert read() == want
+    (tmp_path / "out" / "open" / f"batch={last}" / "_SUCCESS").unlink()  # as if the job ended between both folders
+    assert versions(spark, out)[-1] < last and (10, 25, 25) not in read()
+    store_batch(again, last, out, SCHEMAS["articles"])
+    assert read() == want
+    assert stored_entries(spark, str(tmp_path / "nothing"), SCHEMAS["articles"]).collect() == []
+
+
+def test_entries_join_in_any_order(spark):
+    rng = random.Random(3)
+    rows = [story(i, f"T{rng.randint(0, 3)} raises 1M", rng.randint(1, 28), rng.choice(["google_news", "vcnewsdaily"])) for i in range(60)]
+    every = joined_entries(entries_of(spark.createDataFrame(rows, SCHEMAS["articles"])))
+    want = sorted((r["key"], r["first"], r["last"], r["article_id"]) for r in every.collect())
+    rng.shuffle(rows)
+    held = None
+    for k in range(0, 60, 20):
+        part = entries_of(spark.createDataFrame(rows[k : k + 20], SCHEMAS["articles"]))
+        held = joined_entries(part if held is None else held.unionByName(part))
+    assert sorted((r["key"], r["first"], r["last"], r["article_id"]) for r in held.collect()) == want
