@@ -23,6 +23,7 @@ ARTICLE_DROPS = (*PAGE_DROPS, "aside", "form", "noscript")
 NAME_TAGS = ("h3", "h4", "strong", "b")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 LINKS = "array<struct<href: string, text: string>>"
+POSTINGS = "array<struct<id: string, title: string>>"
 VENDOR_ROWS = "array<struct<name: string, purpose: string, location: string>>"
 
 
@@ -184,6 +185,25 @@ def _job_descriptions(html: str) -> Iterator[str]:
                 stack.extend(x)
 
 
+def _embedded_list(html: str) -> list[dict]:
+    """Postings with an id of the job list that a board's page assigns to its app data; a list that isn't whole gives none.
+
+    The decoder reads one value from the first brace on, so braces inside descriptions don't end it.
+    """
+    at = html.find("window.__appData")
+    begin = html.find("{", at) if at >= 0 else -1
+    if begin < 0:
+        return []
+    try:
+        found = json.JSONDecoder(strict=False).raw_decode(html, begin)[0]
+    except ValueError:
+        return []
+    board = found.get("jobBoard")
+    listed = board.get("jobPostings") if isinstance(board, dict) else None
+    some = [x for x in listed if isinstance(x, dict) and x.get("id")] if isinstance(listed, list) else []
+    return [{"id": str(x["id"]), "title": x["title"] if isinstance(x.get("title"), str) else ""} for x in some]
+
+
 class PageView:
     """A page, walked once when a part first needs it."""
 
@@ -215,6 +235,10 @@ class PageView:
     def links(self) -> list[dict]:
         return [{"href": a, "text": squeeze(t)} for a, t in self.walked.links]
 
+    @property
+    def postings(self) -> list[dict]:
+        return _embedded_list(self.html)
+
     @property
     def headline(self) -> str:
         return "\n".join(x for k in ("title", "meta", "h1", "h2") for x in self.walked.named.get(k, []))
@@ -235,11 +259,11 @@ class PageView:
         return [r for t in self.walked.tables for r in _table_rows(t)] or _card_rows(self._cards(VENDOR_CARDS, ("div",))) or _term_rows(self.walked.terms)
 
 
-PARTS = {"text": "string", "links": LINKS, "headline": "string", "job": "string", "cards": "string", "vendors": VENDOR_ROWS, "facts": sentences.FACTS, "job_facts": sentences.FACTS}
+PARTS = {"text": "string", "links": LINKS, "postings": POSTINGS, "headline": "string", "job": "string", "cards": "string", "vendors": VENDOR_ROWS, "facts": sentences.FACTS, "job_facts": sentences.FACTS}
 
 
 def page_view(html: Column, parts: tuple[str, ...], provider: Column | None = None, tables: sentences.Tables | None = None, hiring: list[str] = rules.HIRING_PHRASES) -> Column:
-    """A struct of parts of a page: text, links, headline, job (text with embedded descriptions), cards (text in result
+    """A struct of parts of a page: text, links, postings (an embedded job list), headline, job (text with embedded descriptions), cards (text in result
     cards of a provider's page), vendors (rows of a subprocessor page), and facts and job_facts of the texts' sentences."""
 
     @F.pandas_udf(", ".join(f"{p} {PARTS[p]}" for p in parts))

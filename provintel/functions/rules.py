@@ -76,6 +76,9 @@ OTHER_PLATFORM_HEADERS = [('server', 'vercel', 'Vercel'), ('x-vercel-id', None,
 ROLE_KEYWORDS = ['software', 'backend', 'infrastructure', 'platform', 'devops', 'site reliability', ' sre', 'cloud', 'full stack', 'fullstack', 'data engineer',
  'ml engineer', 'machine learning engineer', 'security', 'network engineer', 'data scientist', 'data analyst']
 
+JOB_BOARDS = ['jobs.lever.co', 'boards.greenhouse.io', 'jobs.ashbyhq.com', 'apply.workable.com', 'jobs.gem.com', 'jobs.rippling.com', 'ats.rippling.com',
+ 'careers.jobvite.com', 'job-boards.greenhouse.io', 'bamboohr.com', 'jobs.smartrecruiters.com', 'icims.com', 'myworkdayjobs.com']
+
 SUBPROCESSOR_CLOUD = {'amazon web services': 'AWS',
  'aws': 'AWS',
  'google cloud': 'GCP',

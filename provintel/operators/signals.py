@@ -362,19 +362,57 @@ def relevance_filter(items: DataFrame, replies: DataFrame) -> DataFrame:
     return items.join(dropped, ["startup_id", "item_no"], "left_anti")
 
 
-JOB_BOARDS = ("greenhouse.io", "lever.co", "ashbyhq.com", "workable.com", "smartrecruiters.com")
+def _host(url: Column) -> Column:
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
 
 
-def job_board_links(pages: DataFrame, boards: tuple[str, ...] = JOB_BOARDS) -> DataFrame:
+def _on_board(host: Column, boards: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, boards)), lambda b: (host == b) | F.endswith(host, F.concat(F.lit("."), b)))
+
+
+def _absolute(href: Column, index: Column) -> Column:
+    return F.when(F.startswith(href, F.lit("/")), F.concat(F.regexp_extract(index, r"^(https?://[^/]+)", 1), href)).otherwise(href)
+
+
+def job_board_links(pages: DataFrame, boards: list[str] = rules.JOB_BOARDS) -> DataFrame:
     """(startup_id, url, title, ord) of posts an index page (startup_id, url, html) points to: deeper links of its own board, links to known boards, sitemap locations below it."""
     links = pages.select("startup_id", F.col("url").alias("index"), F.posexplode(html.extract_links(F.col("html"))).alias("ord", "l"))
-    host = lambda c: F.regexp_replace(F.lower(F.try_parse_url(c, F.lit("HOST"))), r"^www\.", "")
-    href = F.when(F.col("l.href").startswith("/"), F.concat(F.regexp_extract("index", r"^(https?://[^/]+)", 1), F.col("l.href"))).otherwise(F.col("l.href"))
-    seen = links.withColumn("href", href).where(F.col("href").startswith("http"))
-    deeper = (host("href") == host("index")) & F.startswith("href", F.regexp_replace("index", "/+$", "")) & (F.length("href") > F.length("index") + 1)
-    known = F.exists(F.array(*map(F.lit, boards)), lambda b: F.endswith(host("href"), b))
-    anchors = seen.where(deeper | known).select("startup_id", F.col("href").alias("url"), F.col("l.text").alias("title"), "ord")
+    seen = links.withColumn("href", _absolute(F.col("l.href"), F.col("index"))).where(F.col("href").startswith("http"))
+    deeper = (_host(F.col("href")) == _host(F.col("index"))) & F.startswith("href", F.regexp_replace("index", "/+$", "")) & (F.length("href") > F.length("index") + 1)
+    anchors = seen.where(deeper | _on_board(_host(F.col("href")), boards)).select("startup_id", F.col("href").alias("url"), F.col("l.text").alias("title"), "ord")
     locs = pages.select("startup_id", F.col("url").alias("index"), F.posexplode(F.regexp_extract_all("html", F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))).alias("ord", "url"))
-    mapped = locs.where(host("url") == host("index")).select("startup_id", "url", F.lit(None).cast("string").alias("title"), "ord")
+    mapped = locs.where(_host(F.col("url")) == _host(F.col("index"))).select("startup_id", "url", F.lit(None).cast("string").alias("title"), "ord")
     every = anchors.unionByName(mapped)
     return every.withColumn("_n", F.row_number().over(Window.partitionBy("startup_id", "url").orderBy("ord"))).where("_n = 1").drop("_n")
+
+
+def board_indexes(pages: DataFrame, boards: list[str] = rules.JOB_BOARDS) -> DataFrame:
+    """(startup_id, url, ord) of the boards to read that a company's own pages (startup_id, url, html, ord) name: links to
+    known boards, and a page itself that links to postings embedded in it; each once, in order."""
+    links = pages.where("status = 200").select("startup_id", F.col("url").alias("page"), F.col("ord").alias("at"), F.posexplode(html.extract_links(F.col("html"))).alias("pos", "l"))
+    known = links.where(F.startswith("l.href", F.lit("http")) & _on_board(_host(F.col("l.href")), boards)).select("startup_id", F.col("l.href").alias("url"), "at", "pos")
+    own = links.where(F.contains("l.href", F.lit("ashby_jid="))).select("startup_id", F.col("page").alias("url"), "at", "pos")
+    first = known.unionByName(own).withColumn("_n", F.row_number().over(Window.partitionBy("startup_id", "url").orderBy("at", "pos"))).where("_n = 1")
+    return first.select("startup_id", "url", F.row_number().over(Window.partitionBy("startup_id").orderBy("at", "pos", "url")).alias("ord"))
+
+
+def board_postings(indexes: DataFrame, roles: list[str] = rules.ROLE_KEYWORDS) -> DataFrame:
+    """(startup_id, url, title, ord) of the first board index (startup_id, url, html, ord) that lists any posting.
+
+    An index lists the links that go deeper into its host; where there are none, the job list embedded in it, titles of
+    engineering roles first.
+    """
+    views = indexes.where("status = 200").withColumn("_v", html.page_view(F.col("html"), ("links", "postings"))).select("startup_id", F.col("url").alias("index"), "ord", "_v.links", "_v.postings")
+    host = F.regexp_extract("index", r"^https?://([^/]+)", 1)
+    bare = lambda c: F.regexp_replace(c, "/+$", "")
+    hrefs = F.transform("links", lambda x: F.struct(_absolute(x["href"], F.col("index")).alias("url"), F.nullif(x["text"], F.lit("")).alias("title")))
+    deeper = F.filter(hrefs, lambda x: F.contains(x["url"], host) & (bare(x["url"]) != bare(F.col("index"))))
+    org = F.regexp_replace(F.coalesce(F.try_parse_url("index", F.lit("PATH")), F.lit("")), "^/+|/+$", "")
+    is_role = lambda p: F.exists(F.array(*map(F.lit, roles)), lambda r: F.contains(F.lower(p["title"]), r))
+    sorted_ = F.concat(F.filter("postings", is_role), F.filter("postings", lambda p: ~is_role(p)))
+    embedded = F.transform(sorted_, lambda p: F.struct(F.concat(F.lit("https://jobs.ashbyhq.com/"), org, F.lit("/"), p["id"]).alias("url"), F.nullif(p["title"], F.lit("")).alias("title")))
+    listed = views.withColumn("_deeper", deeper).withColumn("_posts", F.when(F.size("_deeper") > 0, F.col("_deeper")).otherwise(embedded)).where(F.size("_posts") > 0)
+    first = listed.withColumn("_n", F.row_number().over(Window.partitionBy("startup_id").orderBy("ord"))).where("_n = 1")
+    each = first.select("startup_id", F.posexplode("_posts").alias("at", "p")).select("startup_id", "p.url", "p.title", "at")
+    unique = each.groupBy("startup_id", "url").agg(F.min("at").alias("at"), F.min_by("title", F.when(F.col("title").isNotNull(), F.col("at"))).alias("title"))
+    return unique.select("startup_id", "url", "title", F.row_number().over(Window.partitionBy("startup_id").orderBy("at")).alias("ord"))

@@ -129,6 +129,24 @@ def t17_job_board_links(spark, d):
     return G.job_board_links(B.derived(spark, d, "customer", BOARD)).select("startup_id", "url", "title")
 
 
+# Two boards a company: the first lists nothing, or is there only for some; the second embeds a list whose descriptions hold braces, or is broken, or has links.
+BOARDS = (
+    "c_custkey AS startup_id, CASE WHEN {k} = 0 THEN concat('https://jobs.lever.co/nova', CAST(c_custkey AS STRING)) ELSE concat('https://jobs.ashbyhq.com/nova', CAST(c_custkey AS STRING), '/') END AS url, {k} AS ord, CAST(200 AS INT) AS status, "
+    "CASE WHEN {k} = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN concat('<a href=\"/nova', CAST(c_custkey AS STRING), '/a\">Welder</a><a href=\"https://jobs.lever.co/nova', CAST(c_custkey AS STRING), '/\">Home</a><a href=\"https://else.example/x\">x</a>') ELSE '<p>none</p>' END "
+    "ELSE concat('<script>window.__appData = {\"jobBoard\": {\"jobPostings\": [{\"id\": \"p', CAST(c_custkey AS STRING), '\", \"title\": \"Cook\", \"d\": \"a } b \\\\\" {\"}, {\"title\": \"No id\"}, {\"id\": \"q\", \"title\": \"Backend Engineer\"}', CASE WHEN c_custkey % 4 = 1 THEN '' ELSE ']}}; more();</script>' END) END AS html"
+)
+
+
+@query(
+    "SELECT c_custkey AS startup_id, 'https://jobs.lever.co/nova' || c_custkey || '/a' AS url, 'Welder' AS title, 1 AS ord FROM customer WHERE c_custkey % 4 = 0 "
+    "UNION ALL SELECT c_custkey, 'https://jobs.ashbyhq.com/nova' || c_custkey || '/' || replace(i, '#', CAST(c_custkey AS VARCHAR)), t, o FROM customer, (VALUES ('q', 'Backend Engineer', 1), ('p#', 'Cook', 2)) v(i, t, o) WHERE c_custkey % 4 IN (2, 3)"
+)
+def t17_board_postings(spark, d):
+    """Boards in order; an embedded list counts where there are no links, a broken one gives none."""
+    indexes = B.derived(spark, d, "customer", BOARDS.replace("{k}", "0")).unionByName(B.derived(spark, d, "customer", BOARDS.replace("{k}", "1")))
+    return G.board_postings(indexes).select("startup_id", "url", "title", "ord")
+
+
 HOME = (
     "c_custkey AS id, concat('Code Metal', CAST(c_custkey AS STRING)) AS canonical_name, concat('d', CAST(c_custkey AS STRING), '.com') AS domain, concat('<title>', CASE c_custkey % 4 WHEN 0 THEN concat('CodeMetal', CAST(c_custkey AS STRING), ' home') WHEN 1 THEN 'Welcome' ELSE 'Metal work' END, '</title>', "
     "CASE c_custkey % 4 WHEN 1 THEN concat('<meta property=\"og:title\" content=\"Code Metal', CAST(c_custkey AS STRING), '\">') WHEN 2 THEN '<h1>about code</h1><p>Code Metal</p>' ELSE '' END, '<p>Code Metal', CAST(c_custkey AS STRING), '</p>') AS html"

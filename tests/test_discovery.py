@@ -99,7 +99,7 @@ BAD = ["http://a b.com/x|y", "http://[::1", "://", "", None, "http://ok.com/p"]
 
 
 def test_bad_links(spark):
-    links = " ".join(f'<a href="{b}">x</a>' for b in BAD if b) + '<a href="http://good.com/job1|a b">j</a><a href="http://lever.co/x/1">k</a>'
+    links = " ".join(f'<a href="{b}">x</a>' for b in BAD if b) + '<a href="http://good.com/job1|a b">j</a><a href="http://jobs.lever.co/x/1">k</a>'
     articles = spark.createDataFrame([(1, "Good", "news.com", links)], "startup_id long, canonical_name string, domain string, html string")
     assert {r["apex"] for r in R.score_links(articles).collect()} == {"ok.com", "lever.co"}
     pages = spark.createDataFrame([("a.com", "/", b, 200, "x") for b in BAD], "domain string, path string, final_url string, status int, html string")
@@ -110,7 +110,7 @@ def test_bad_links(spark):
     hits = spark.createDataFrame([(1, b, "1 day ago", i) for i, b in enumerate(BAD)], "startup_id long, url string, date_str string, rank int")
     assert K.press_feature(hits, "2024-01-31").collect() == []
     index = spark.createDataFrame([(1, b, links) for b in BAD], "startup_id long, url string, html string")
-    assert ("http://lever.co/x/1", "k") in {(r["url"], r["title"]) for r in G.job_board_links(index).collect()}
+    assert ("http://jobs.lever.co/x/1", "k") in {(r["url"], r["title"]) for r in G.job_board_links(index).collect()}
 
 
 def test_networks_of_all_lengths(spark):
@@ -143,3 +143,20 @@ def test_bad_replies(spark, raw):
     events = D.parse_extractions(spark.createDataFrame([(1, raw)], "article_id long, raw_json string"), articles)
     good, _ = D.validate_events(events)
     assert good.collect() == []
+
+
+def test_boards_of_a_company(spark):
+    """Embedded lists with braces and escapes, broken or odd lists, board order, pages that embed a board, look-alike hosts."""
+    from provintel.functions.html import _embedded_list
+
+    listed = '<script>window.__appData = {"jobBoard": {"jobPostings": [{"id": 7, "title": "Chef", "d": "<b>{</b> \\" }"}, {"id": "z", "title": null}, {"title": "x"}, 3]}}; f({});</script>'
+    assert _embedded_list(listed) == [{"id": "7", "title": "Chef"}, {"id": "z", "title": ""}]
+    for broken in ("", "window.__appData", "window.__appData = {", 'window.__appData = {"jobBoard": 3}', "window.__appData = {]}", 'window.__appData = {"jobBoard": {"jobPostings": {}}}'):
+        assert _embedded_list(broken) == []
+    page = "startup_id long, url string, html string, ord int, status int"
+    own = [(1, "https://a.com", '<a href="https://notjobs.lever.co.example/x">n</a><a href="https://x.icims.com/jobs">i</a>', 0, 200), (1, "https://a.com/careers", '<a href="/careers?ashby_jid=3">j</a><a href="https://x.icims.com/jobs">i</a>', 1, 200)]
+    got = G.board_indexes(spark.createDataFrame(own, page)).collect()
+    assert sorted((r["ord"], r["url"]) for r in got) == [(1, "https://x.icims.com/jobs"), (2, "https://a.com/careers")]
+    index = [(1, "https://a.com/careers", listed, 2, 200), (1, "https://x.icims.com/jobs", "<a href='/jobs'>back</a>", 1, 200), (1, "https://y.com", "<a href='/z'>z</a>", 3, 200), (2, "https://b.com", None, 1, 200)]
+    posts = sorted((r["ord"], r["startup_id"], r["url"]) for r in G.board_postings(spark.createDataFrame(index, page)).collect())
+    assert posts == [(1, 1, "https://jobs.ashbyhq.com/careers/7"), (2, 1, "https://jobs.ashbyhq.com/careers/z")]
