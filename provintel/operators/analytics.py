@@ -161,6 +161,52 @@ def attribution_changes(snapshots: DataFrame, mode: str = "all") -> DataFrame:
     return pairs.where(differs).select("startup_id", "old_date", F.col("snapshot_date").alias("new_date"), F.array_join("old", " + ").alias("old_providers"), F.array_join("p", " + ").alias("new_providers"))
 
 
+def state_runs(snapshots: DataFrame) -> DataFrame:
+    """(startup_id, run, providers, first_date, last_date, n): snapshots of a startup in a row with the same provider array."""
+    order = Window.partitionBy("startup_id").orderBy("snapshot_date")
+    state = snapshots.select("startup_id", "snapshot_date", F.col("cloud_providers").alias("p"))
+    before = state.withColumn("_old", F.lag(F.struct("p")).over(order))  # a struct, so that no row and a null array differ
+    opens = before.withColumn("_opens", (F.col("_old").isNull() | ~F.col("_old.p").eqNullSafe(F.col("p"))).cast("int"))
+    numbered = opens.withColumn("run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("startup_id", "run").agg(F.first("p").alias("providers"), F.min("snapshot_date").alias("first_date"), F.max("snapshot_date").alias("last_date"), F.count("*").alias("n"))
+
+
+def change_runs(snapshots: DataFrame) -> DataFrame:
+    """attribution_changes() of all pairs, a row for each two runs of different state instead of each two snapshots.
+
+    n_pairs is how many pairs of snapshots a row stands for; rows are bounded by the square of a startup's changes, however
+    many snapshots it has.
+    """
+    runs = state_runs(snapshots)
+    old = runs.select("startup_id", *[F.col(c).alias(f"old_{c}") for c in ("run", "providers", "first_date", "last_date", "n")])
+    pairs = runs.join(old, "startup_id").where((F.col("run") > F.col("old_run")) & ~F.col("providers").eqNullSafe(F.col("old_providers")))
+    return pairs.select(
+        "startup_id", F.array_join("old_providers", " + ").alias("old_providers"), F.array_join("providers", " + ").alias("new_providers"), "old_first_date", "old_last_date",
+        F.col("first_date").alias("new_first_date"), F.col("last_date").alias("new_last_date"), (F.col("n") * F.col("old_n")).alias("n_pairs"),
+    )
+
+
+SKETCH_K = 14  # standard error of a merged count: 0.83 / sqrt(2**14), 0.65 %
+
+
+def effectiveness_sketches(signals: DataFrame, day: str = "signal_date") -> DataFrame:
+    """signal_effectiveness() by day in a form that merges: counts, sums of weights, and a sketch of the startups."""
+    return signals.groupBy(F.col(day).alias("day"), "provider_type", "signal_source", "signal_strength").agg(
+        F.count("*").alias("n"), F.sum("confidence_weight").alias("weight"), F.hll_sketch_agg("startup_id", F.lit(SKETCH_K)).alias("startups")
+    )
+
+
+def effectiveness_between(sketches: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """signal_effectiveness() of any range of days from their sketches; startup_count is estimated (SKETCH_K), the rest exact."""
+    some = sketches
+    if first is not None:
+        some = some.where(F.col("day") >= F.lit(first).cast("date"))
+    if last is not None:
+        some = some.where(F.col("day") <= F.lit(last).cast("date"))
+    merged = some.groupBy("provider_type", "signal_source", "signal_strength").agg(F.sum("n").alias("signal_count"), F.sum("weight").alias("_w"), F.hll_union_agg("startups").alias("_s"))
+    return merged.select("provider_type", "signal_source", "signal_strength", "signal_count", F.hll_sketch_estimate("_s").alias("startup_count"), F.round(F.col("_w") / F.col("signal_count"), 2).cast("double").alias("avg_weight"))
+
+
 def provider_label(primary: Column, multi: Column, names: Column, not_applicable: Column, kind: str = "cloud") -> Column:
     joined = F.array_join(names, ", ")
     many = "Multi-Cloud" if kind == "cloud" else "Multi-Provider"

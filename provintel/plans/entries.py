@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,10 @@ from ..operators import discovery as D
 from ..operators import engagement as K
 from ..operators import scoring as S
 from ..operators import signals as G
+from ..session import remove_at_end, shared_dir
 from ..sources import upsert as U
+from ..sources.keyed import KeyedTable
+from ..sources.pages import page_after, write_pages
 from . import bindings as B
 from .registry import ORACLES, QUERIES, Query, query
 
@@ -107,6 +112,20 @@ def a13_signal_effectiveness(spark, d):
     return A.signal_effectiveness(B.signals(spark, d))
 
 
+@query(
+    "SELECT provider_type, signal_source, signal_strength, count(*) AS signal_count, true AS close, round(sum(tenths) / 10.0 / count(*), 2)::DOUBLE AS avg_weight FROM (SELECT *, DATE '2024-01-01' + CAST(startup_id % 28 AS INT) AS day FROM signals) WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1, 2, 3",
+    "signals",
+)
+def a13_merged_sketches(spark, d):
+    """Days' sketches merged over a range; close: the estimate is within three standard errors of the exact count, or one startup."""
+    rows = B.signals(spark, d).withColumn("signal_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("startup_id") % 28).cast("int")))
+    merged = A.effectiveness_between(A.effectiveness_sketches(rows), "2024-01-05", "2024-01-20")
+    keys = ["provider_type", "signal_source", "signal_strength"]
+    exact = A.signal_effectiveness(rows.where("signal_date BETWEEN DATE'2024-01-05' AND DATE'2024-01-20'")).select(*keys, F.col("startup_count").alias("_exact"))
+    close = F.abs(F.col("startup_count") - F.col("_exact")) <= F.greatest(F.lit(1.0), 3 * 0.0065 * F.col("_exact"))
+    return merged.join(exact, keys).select(*keys, "signal_count", close.alias("close"), "avg_weight")
+
+
 @query("SELECT vertical, count(*) AS startup_count FROM latest WHERE vertical IS NOT NULL GROUP BY 1", "latest")
 def a14_vertical_distribution(spark, d):
     return A.vertical_distribution(_latest(spark, d))
@@ -209,6 +228,18 @@ def j4_consecutive_changes(spark, d):
     return A.attribution_changes(B.snapshots(spark, d), "consecutive")
 
 
+@query(
+    "SELECT * FROM (WITH o AS (SELECT startup_id, snapshot_date, cloud_providers AS p, row_number() OVER w AS k, lag(snapshot_date) OVER w IS NOT NULL AND lag(cloud_providers) OVER w IS NOT DISTINCT FROM cloud_providers AS same FROM snapshots WINDOW w AS (PARTITION BY startup_id ORDER BY snapshot_date)), "
+    "r AS (SELECT *, count(*) FILTER (NOT same) OVER (PARTITION BY startup_id ORDER BY k) AS run FROM o) "
+    "SELECT a.startup_id, array_to_string(b.p, ' + ') AS old_providers, array_to_string(a.p, ' + ') AS new_providers, min(b.snapshot_date) AS old_first_date, max(b.snapshot_date) AS old_last_date, min(a.snapshot_date) AS new_first_date, max(a.snapshot_date) AS new_last_date, count(*) AS n_pairs "
+    "FROM r a JOIN r b ON a.startup_id = b.startup_id AND a.snapshot_date > b.snapshot_date WHERE a.p IS DISTINCT FROM b.p GROUP BY a.startup_id, a.run, b.run, a.p, b.p)",
+    "snapshots",
+)
+def j4_change_runs(spark, d):
+    """All pairs of snapshots, counted by the runs they lie in."""
+    return A.change_runs(B.snapshots(spark, d))
+
+
 @query("SELECT f.funding_id, s.id AS startup_id FROM funding f LEFT JOIN startups s ON f.startup_id = s.id", "funding", "startups")
 def j10_link_startup(spark, d):
     rows = B.funding(spark, d).selectExpr("funding_id", "concat('c', startup_id, '.com') AS website")
@@ -260,6 +291,24 @@ def s7_patch_snapshots(spark, d):
     return U.patch_snapshots(snaps, patch).select("startup_id", "snapshot_date", "engagement_tier")
 
 
+@query(
+    "WITH e AS (SELECT *, coalesce(hour(ts) < 12, false) AS morning FROM (SELECT " + B.SNAPSHOTS + " FROM events)), l AS (SELECT startup_id, snapshot_date, morning, arg_max(engagement_tier, (ts, event_id)) AS tier FROM e GROUP BY 1, 2, 3) "
+    "SELECT startup_id, snapshot_date, CASE WHEN n.tier IS NOT NULL THEN n.tier WHEN startup_id % 2 = 0 THEN 9 ELSE m.tier END AS engagement_tier FROM (SELECT * FROM l WHERE morning) m FULL JOIN (SELECT * FROM l WHERE NOT morning) n USING (startup_id, snapshot_date)"
+)
+def s7_keyed_snapshots(spark, d):
+    """The morning's snapshots are stored, even startups patched, the afternoon's stored; the log is taken in."""
+    rows = B.snapshot_events(spark, d).select("startup_id", "snapshot_date", "engagement_tier", "ts", "event_id", F.coalesce(F.hour("ts") < 12, F.lit(False)).alias("morning")).persist()
+    stored = rows.select("startup_id", "snapshot_date", "engagement_tier")
+    table = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", stored.schema, ["startup_id", "snapshot_date"], "startup_id", "date_format(snapshot_date, 'yyyy-MM')", buckets=8)
+    table.upsert(rows.where("morning"), ["ts", "event_id"])
+    table.patch(stored.select("startup_id").distinct().where("startup_id % 2 = 0").withColumn("engagement_tier", F.lit(9)))
+    table.upsert(rows.where("not morning"), ["ts", "event_id"])
+    table.compact()
+    rows.unpersist()
+    remove_at_end(spark, table.path)
+    return table.read()
+
+
 @query("SELECT startup_id, snapshot_date FROM snapshots QUALIFY row_number() OVER (PARTITION BY startup_id ORDER BY snapshot_date DESC) = 1", "snapshots")
 def w1_newest(spark, d):
     return A.newest(B.snapshots(spark, d).select("startup_id", "snapshot_date", "event_id"), "startup_id", "snapshot_date").select("startup_id", "snapshot_date")
@@ -276,6 +325,21 @@ def w3_page(spark, d):
     return A.page_of(_latest(spark, d), 40, 20).select("id", "snapshot_date")
 
 
+@query("SELECT id, snapshot_date FROM latest ORDER BY snapshot_date DESC NULLS LAST, id LIMIT 20 OFFSET 40", "latest")
+def w3_keyset_page(spark, d):
+    """The third page of twenty, each found from the last row of the one before."""
+    latest = _latest(spark, d).select("id", "snapshot_date")
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    write_pages(latest, path, "snapshot_date", "id", 200)
+    remove_at_end(spark, path)
+    cursor = None
+    for _ in range(2):
+        last = page_after(spark, path, latest.schema, "snapshot_date", "id", 20, cursor).collect()[-1]
+        cursor = (last["snapshot_date"], last["id"])
+    return page_after(spark, path, latest.schema, "snapshot_date", "id", 20, cursor)
+
+
+
 @query("SELECT l.id, engagement_timing, CAST(CASE engagement_timing WHEN 'Hot' THEN 0 WHEN 'Warm' THEN 1 ELSE 2 END AS INT) AS heat FROM latest l WHERE engagement_tier IN (1, 2)", "latest")
 def w5_ready_to_engage(spark, d):
     dates = B.funding(spark, d).groupBy(F.col("startup_id").alias("id")).agg(F.max("announcement_date").alias("funding_date"))
