@@ -197,7 +197,7 @@ def effectiveness_sketches(signals: DataFrame, day: str = "signal_date") -> Data
 
 
 def effectiveness_between(sketches: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
-    """signal_effectiveness() of any range of days from their sketches; startup_count is estimated (SKETCH_K), the rest exact."""
+    """signal_effectiveness() of any range of days from their sketches; startup_count is estimated (SKETCH_K; how days were grouped before moves it within the error), the rest exact."""
     some = sketches
     if first is not None:
         some = some.where(F.col("day") >= F.lit(first).cast("date"))
