@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 
 def max_funding(funding: DataFrame) -> DataFrame:
     return funding.groupBy("startup_id").agg(F.max("funding_amount_usd").alias("max_funding_usd"))
@@ -91,7 +93,7 @@ def search_usage(usage: DataFrame, days: int, as_of: str, cost: float = 0.0003)
     ranked = sources.withColumn("source_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("source_total"), "source")))  # few sources
     by_day = recent.groupBy("usage_date").agg(F.sum("query_count").alias("total"))
     grand = recent.agg(F.sum("query_count").alias("grand_total"))
-    cells = by_day.join(F.broadcast(ranked), F.lit(True)).join(F.broadcast(grand), F.lit(True))  # days x sources
+    cells = by_day.join(broadcast_if_small(ranked), F.lit(True)).join(F.broadcast(grand), F.lit(True))  # days x sources, as asked; grand is one row
     counts = recent.groupBy("usage_date", "source").agg(F.sum("query_count").alias("query_count"))
     return cells.join(counts, ["usage_date", "source"], "left").fillna(0, ["query_count"]).withColumn("cost_usd", F.round(F.col("total") * cost, 4))
 

@@ -103,13 +103,18 @@ def subprocessors(rows: DataFrame, cloud: dict = rules.SUBPROCESSOR_CLOUD, ai: d
 
 
 def case_studies(pages: DataFrame, startups: DataFrame) -> DataFrame:
-    """Companies named in result cards of provider pages (provider_name, html, url, ord): names and pages meet by a word, then the cards' text decides."""
+    """Companies named in result cards of provider pages (provider_name, html, url, ord): names and pages meet by a word, then the cards' text decides.
+
+    Each name is looked for once, and companies of one name share what is found.
+    """
     text = materialize(pages.select("provider_name", "url", "ord", F.lower(html.card_text(F.col("html"), F.col("provider_name"))).alias("text")), "case-texts")
     words = text.select("provider_name", "url", "ord", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("_word"))
-    named = startups.select(F.col("id").alias("startup_id"), F.lower("canonical_name").alias("_name"), F.get(F.filter(F.split(F.lower("canonical_name"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0)).alias("_word"))
-    met = words.join(named, "_word").select("provider_name", "url", "ord", "startup_id", "_name").distinct()
+    known = startups.select(F.col("id").alias("startup_id"), F.lower("canonical_name").alias("_name"))
+    names = known.select("_name").distinct().withColumn("_word", F.get(F.filter(F.split("_name", r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0)))
+    met = words.join(names, "_word").select("provider_name", "url", "ord", "_name").distinct()
     hits = met.join(text, ["provider_name", "url", "ord"]).where(F.contains(F.col("text"), F.col("_name")))
-    return signal_rows(hits, 5, "case_study", F.lit(1.0), F.lit("cloud"), F.col("ord"), F.concat(F.lit("Named on "), F.col("url")), F.col("url"))
+    first = hits.groupBy("_name", "provider_name").agg(F.min(F.struct("ord", "url")).alias("_h")).select("_name", "provider_name", "_h.ord", "_h.url").join(known, "_name")
+    return signal_rows(first, 5, "case_study", F.lit(1.0), F.lit("cloud"), F.col("ord"), F.concat(F.lit("Named on "), F.col("url")), F.col("url"))
 
 
 def partnerships(news: DataFrame, startups: DataFrame, as_of: str, terms: list[tuple] = rules.PROVIDER_TERMS, most: int = 100) -> DataFrame:

@@ -164,14 +164,14 @@ def j11_canonical_redirect(spark, d):
 
 
 @query(
-    "SELECT o_orderkey AS ord, o_custkey AS startup_id, CASE WHEN o_orderkey % 3 = 0 THEN 'given' ELSE c_mktsegment END AS industry, CASE WHEN o_orderkey % 2 = 0 THEN 'M12' ELSE 'GV' END AS investors, CASE WHEN o_custkey % 5 = 0 THEN 'https://a,https://b' ELSE 'https://a' END AS urls FROM orders JOIN customer ON o_custkey = c_custkey"
+    "SELECT o_orderkey AS ord, c_custkey AS startup_id, CASE WHEN o_orderkey % 3 = 0 THEN 'given' ELSE c_mktsegment END AS industry, CASE WHEN o_orderkey % 2 = 0 THEN 'M12' ELSE 'GV' END AS investors, CASE WHEN o_custkey % 5 = 0 AND c_custkey IS NOT NULL THEN 'https://a,https://b' ELSE 'https://a' END AS urls FROM orders LEFT JOIN customer ON o_custkey = c_custkey"
 )
 def j1_enrich_events(spark, d):
     sites = "concat('N', CAST({} AS STRING), '.com')"
     events = B.derived(spark, d, "orders", f"o_orderkey AS ord, {sites.format('o_custkey')} AS website, CASE WHEN o_orderkey % 3 = 0 THEN 'given' ELSE '' END AS industry, CASE WHEN o_orderkey % 2 = 0 THEN array('M12') END AS lead_investors, CAST(NULL AS array<string>) AS founder_background, array('https://a') AS evidence_urls")
     startups = B.derived(spark, d, "customer", f"c_custkey AS id, lower({sites.format('c_custkey')}) AS website, c_mktsegment AS industry, array('GV') AS lead_investors, array('AWS') AS founder_background")
     extra = B.derived(spark, d, "customer", "c_custkey AS startup_id, array('https://b', 'https://a') AS evidence_urls").where("startup_id % 5 = 0")
-    out = D.enrich_events(events, startups, extra).where("startup_id IS NOT NULL")
+    out = D.enrich_events(events, startups, extra)
     return out.select("ord", "startup_id", "industry", F.array_join("lead_investors", ",").alias("investors"), F.array_join("evidence_urls", ",").alias("urls"))
 
 

@@ -50,12 +50,12 @@ def g4_subprocessors(spark, d):
 
 
 @query(
-    "SELECT id AS startup_id, 'cloud' AS provider_type, CASE WHEN id % 2 = 0 THEN 'AWS' ELSE 'GCP' END AS provider_name, 1.0::DOUBLE AS weight FROM companies WHERE canonical_name LIKE 'Nova%' AND id % 4 <> 3",
+    "SELECT id AS startup_id, 'cloud' AS provider_type, CASE WHEN id % 2 = 0 THEN 'AWS' ELSE 'GCP' END AS provider_name, 1.0::DOUBLE AS weight FROM companies WHERE NOT (canonical_name LIKE 'Nova%' AND id % 4 = 3)",
     "companies",
 )
 def g5_case_studies(spark, d):
     """Result cards name a company whole or in part; what stands around the cards names everyone."""
-    named = B.companies(spark, d).where("canonical_name LIKE 'Nova%'")
+    named = B.companies(spark, d)
     pages = named.selectExpr(
         "CASE WHEN id % 2 = 0 THEN 'AWS' ELSE 'GCP' END AS provider_name", "concat('<p>Searched for ', canonical_name, '</p><div class=\"result-card\"><b>How ', CASE WHEN id % 4 = 3 THEN replace(canonical_name, ' Labs', '') ELSE canonical_name END, ' grew</b></div>') AS html", "concat('u', id) AS url", "CAST(0 AS INT) AS ord"
     )
@@ -86,7 +86,7 @@ LISTINGS = (
 @query("SELECT id AS startup_id, 'cloud' AS provider_type, 'AWS' AS provider_name, 1.0::DOUBLE AS weight FROM companies WHERE canonical_name LIKE 'Nova%' AND id % 5 <> 0 AND id % 4 <> 0 AND id % 7 <> 0", "companies")
 def g5_marketplace_listings(spark, d):
     told = B.companies(spark, d).where("id % 7 = 0").selectExpr("id AS startup_id", "'AWS' AS provider_name")
-    return G.marketplace_listings(B.derived(spark, d, "customer", LISTINGS), B.companies(spark, d).where("canonical_name LIKE 'Nova%'"), told).selectExpr(*SIGNAL)
+    return G.marketplace_listings(B.derived(spark, d, "customer", LISTINGS), B.companies(spark, d), told).selectExpr(*SIGNAL)
 
 
 PRESS = "o_custkey AS startup_id, o_orderkey AS rank, concat('u', CAST(o_orderkey AS STRING)) AS url, CASE o_orderkey % 3 WHEN 0 THEN concat('Cloud news of nova', CAST(o_custkey AS STRING), '.ai') WHEN 1 THEN concat('NOVA', CAST(o_custkey AS STRING), ' Labs goes far') ELSE 'Other' END AS title"
