@@ -307,6 +307,31 @@ def u1_gather_signals(spark, d):
     return scored.select("startup_id", "provider_type", "provider_name", (F.col("score") * 10).cast("long").alias("tenths"), F.col("n").alias("signals"))
 
 
+_GATHERED = (
+    "SELECT c_custkey AS startup_id, 'cloud' AS provider_type, CASE c_custkey % 8 WHEN 0 THEN 'AWS' WHEN 1 THEN 'GCP' ELSE 'Azure' END AS provider_name, 'found' AS signal_source, 10 AS tenths FROM customer WHERE c_custkey % 8 IN (0, 1, 2) "
+    "UNION ALL SELECT c_custkey, 'cloud', CASE c_custkey % 5 WHEN 0 THEN 'AWS' ELSE 'GCP' END, 'found', 6 FROM customer WHERE c_custkey % 5 IN (0, 2) "
+    "UNION ALL SELECT c_custkey, 'cloud', p, 'found', w FROM customer, (VALUES (0, 'AWS', 10), (1, 'GCP', 6), (0, 'GCP', 3), (3, 'AWS', 6)) v(k, p, w) WHERE c_custkey % 5 = k AND c_custkey % 7 <> 0 "
+    "UNION ALL SELECT c_custkey, 'ai', 'Cohere', 'found', 6 FROM customer WHERE c_custkey % 5 = 1 AND c_custkey % 7 <> 0 "
+    "UNION ALL SELECT c_custkey, 'cloud', CASE c_custkey % 8 WHEN 4 THEN 'Vercel' ELSE 'Render' END, 'found', 3 FROM customer WHERE c_custkey % 8 IN (4, 6) AND NOT (c_custkey % 5 IN (0, 2) OR (c_custkey % 5 IN (0, 1, 3) AND c_custkey % 7 <> 0))"
+)
+
+
+@query(
+    "WITH companies AS (" + B.SQL["companies"] + "), signals AS (" + _GATHERED + "), " + _RUN[5:].replace("'machinery'", "'no such'") + _decide("kept", "own") + ", "
+    "told AS (SELECT startup_id, provider_type, is_multi, primary_provider, evidence_count::BIGINT AS evidence_count, confidence, false AS na FROM a_own UNION ALL SELECT id, 'cloud', len(names) > 1, CASE WHEN len(names) = 1 THEN names[1] END, len(names)::BIGINT, 1.0, false FROM fixed "
+    "UNION ALL SELECT id, side, false, NULL, 0, 0.0, true FROM na) "
+    "SELECT id AS startup_id, coalesce(c.is_multi, false) AS cloud_is_multi, c.primary_provider AS cloud_primary_provider, coalesce(c.evidence_count, 0) AS cloud_evidence_count, coalesce(c.na, false) AS cloud_not_applicable, "
+    "a.primary_provider AS ai_primary_provider, a.confidence AS ai_confidence, coalesce(a.na, false) AS ai_not_applicable FROM companies LEFT JOIN (SELECT * FROM told WHERE provider_type = 'cloud') c ON c.startup_id = id LEFT JOIN (SELECT * FROM told WHERE provider_type = 'ai') a ON a.startup_id = id"
+)
+def u2_run_everything(spark, d):
+    """From pages and DNS records to one snapshot row per company."""
+    pages = _pages(spark, d).withColumn("headers", F.expr("map('server', 'nginx')"))
+    lists = F.array().cast("array<string>")
+    startups = B.companies(spark, d).withColumn("lead_investors", lists).withColumn("founder_background", lists)
+    run = R.run_everything({"startups": startups, "pages": pages, "dns_records": B.derived(spark, d, "customer", RECORDS)}, B.AS_OF_EVENTS)
+    return run["snapshots"].select("startup_id", "cloud_is_multi", "cloud_primary_provider", "cloud_evidence_count", "cloud_not_applicable", "ai_primary_provider", "ai_confidence", "ai_not_applicable")
+
+
 @query(
     "SELECT id AS startup_id, coalesce(c.is_multi, false) AS cloud_is_multi, c.primary_provider AS cloud_primary_provider, coalesce(c.evidence_count, 0)::BIGINT AS cloud_evidence_count, coalesce(c.provider_names, '') AS cloud_providers, a.primary_provider AS ai_primary_provider, a.confidence AS ai_confidence, "
     "industry AS vertical, CAST(CASE WHEN fd IS NULL THEN 3 WHEN DATE '2001-08-01' - fd <= 90 AND id % 3 = 0 AND coalesce(lead, 0) < 10 THEN 1 WHEN DATE '2001-08-01' - fd <= 180 AND id % 3 IN (0, 1) THEN 2 ELSE 3 END AS INT) AS engagement_tier "
