@@ -58,7 +58,7 @@ def test_few_exchanges(spark):
     startups = spark.range(50).selectExpr("id", "concat('n', id) AS canonical_name", "CAST(NULL AS STRING) AS industry")
     text = S.provider_entries(S.score_providers(signals), ["startup_id", "provider_type"])._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") <= 2
-    assert R.run_attribution(startups, signals).count() == 100
+    assert R.run_attribution(startups, signals).count() == 50
     merged = S.merged(F.col("a"), F.col("b"))
     r = S.provider_entries(S.score_providers(signals), ["startup_id", "provider_type"])
     both = r.withColumnRenamed("r", "a").withColumn("b", F.col("a")).withColumn("m", merged).where("startup_id = 0").first()
