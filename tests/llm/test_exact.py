@@ -1,6 +1,7 @@
 """Operators with exact contracts against brute force: edge rows, ties, copies, hostile texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from provintel.llm import chat_format, packing, suffix_dedup
 from provintel.llm.decontamination import contamination_report, decontaminate
 from provintel.llm.entries import tokenizer_path
 from provintel.llm.minhash import near_duplicates
-from provintel.llm.quality_rules import quality_rules
+from provintel.llm.quality_rules import BUCKETS, THRESHOLD, quality_rules
 from provintel.llm.substring_dedup import substring_dedup, without_repeats
 
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -158,10 +159,37 @@ def test_quality_rules_counts(spark):
         lines = [x for x in (text or "").split("\n") if re.search(WORD, x)]
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(hit))
         assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+        assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", text or ""))
     empty = quality_rules(frame(spark, rows), frame(spark, rows).limit(0).select("doc_id")).collect()
     assert all(r["score"] == 0 and r["kept"] != r["base_failed"] for r in empty)
 
 
+def test_quality_scores(spark):
+    """The ratio of both multinomials by plain counting, and the verdict, under Spark's hash of words."""
+    import xxhash
+
+    rows = corpus(6)
+    rows[3] = (rows[3][0], "a# b* <c> $ % & | " * 30, *rows[3][2:])
+
+    def bucket(*ws):
+        h = 42
+        for w in ws:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        return (h - (1 << 64) if h >> 63 else h) % BUCKETS
+
+    grams = {i: [bucket(w) for w in words(t)] + [bucket(a, b) for a, b in zip(words(t), words(t)[1:], strict=False)] for i, t, *_ in rows}
+    raw, target = Counter(g for gs in grams.values() for g in gs), Counter(g for i, gs in grams.items() if i % 3 == 0 for g in gs)
+    share = lambda g: (raw[g] + 0.5) / (sum(raw.values()) + 0.5 * BUCKETS)
+    ratio = lambda g: math.log((target[g] + BUCKETS * share(g)) / (sum(target.values()) + BUCKETS) / share(g))
+    trusted = frame(spark, rows).where("doc_id % 3 = 0").select("doc_id")
+    got = {r["doc_id"]: r for r in quality_rules(frame(spark, rows), trusted).collect()}
+    for i, gs in grams.items():
+        want = sum(map(ratio, gs)) / len(gs) if gs else 0.0
+        assert abs(got[i]["score"] - want) < 1e-5
+        assert got[i]["kept"] == (not got[i]["base_failed"] and got[i]["score"] >= THRESHOLD)
+    assert len({r["kept"] for r in got.values()}) == 2
+
+
 def test_decontamination(spark):
     items = [(1, "Alpha beta gamma delta"), (2, " ".join(f"q{i}" for i in range(12))), (3, None), (4, "!!"), (5, "alpha BETA gamma delta")]
     bench = spark.createDataFrame(items, "item_id long, text string")
