@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import rules
 from ..functions import sentences as SE
 from ..functions import text as T
 from ..operators import analytics as A
@@ -288,6 +291,38 @@ def t12_extract_domain(spark, d):
     return B.derived(spark, d, "customer", MENTIONS).select("id", T.extract_domain(F.col("text")).alias("domain"))
 
 
+def _valid_sql(host: str) -> str:
+    """is_valid_domain() of names with one dot."""
+    name, rejected = f"regexp_replace({host}, '^www\\.', '')", "|".join(re.escape(x) for x in rules.REJECTED_DOMAINS)
+    return f"regexp_matches({name}, '^[a-z0-9][a-z0-9\\-]*\\.[a-z]{{2,}}(?:\\.[a-z]{{2}})?$') AND NOT regexp_matches({name}, '{rejected}') AND len(string_split({name}, '.')) = 2"
+
+
+def _first_valid_sql(pattern: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(t), '{pattern}', 1), lambda x: {_valid_sql('x')})[1]"
+
+
+@query(
+    "SELECT kind, id, coalesce(" + _first_valid_sql("https?://([a-z0-9-]+\\.[a-z]{2,})") + ", " + _first_valid_sql(f"\\b([a-z0-9-]+\\.(?:{T.BARE_TLDS}))\\b") + ") AS domain "
+    "FROM (SELECT 'page' AS kind, page_id AS id, html AS t FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)"
+)
+def t12_found_domains(spark, d):
+    """The first domain in the source of every page and in every document."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("t"))
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return pages.unionByName(texts).select("kind", "id", T.extract_domain(F.col("t")).alias("domain"))
+
+
+_HOST = "lower(regexp_extract(url, '^https?://([^/?#]+)', 1))"
+
+
+@query("SELECT page_id, host, " + _valid_sql("host") + " AS ok FROM (SELECT page_id, " + _HOST + " AS host FROM pages) UNION ALL SELECT page_id, last2, " + _valid_sql("last2") + " FROM (SELECT page_id, p[-2] || '.' || p[-1] AS last2 FROM (SELECT page_id, string_split(" + _HOST + ", '.') AS p FROM pages))")
+def p10_page_hosts(spark, d):
+    """Hosts of all pages, whole and cut to two labels."""
+    host = F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1))
+    both = F.explode(F.array(host, F.array_join(F.slice(F.split(host, r"\."), -2, 2), ".")))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", both.alias("host")).withColumn("ok", T.is_valid_domain(F.col("host")))
+
+
 AGES = (
     "o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN concat(CAST(o_orderkey % 24 AS STRING), ' hours ago') WHEN 1 THEN concat(CAST(o_orderkey % 300 AS STRING), ' days ago') WHEN 2 THEN concat(CAST(1 + o_orderkey % 90 AS STRING), ' weeks ago') WHEN 3 THEN concat(CAST(o_orderkey % 30 AS STRING), ' months ago') "
     "WHEN 4 THEN concat(CAST(o_orderkey % 3 AS STRING), ' years ago') WHEN 5 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 6 THEN 'yesterday' WHEN 7 THEN '' ELSE NULL END AS said, CAST(o_orderdate AS DATE) AS day"
