@@ -378,8 +378,11 @@ def _rewrite(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
         )
 
 
-def without_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 1, fanout: int = 4) -> DataFrame:
-    """The documents, all columns; texts that had repeats are their kept words with one space between, n_chars follows."""
+def without_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = 3, fanout: int = 2) -> DataFrame:
+    """The documents, all columns; texts that had repeats are their kept words with one space between, n_chars follows.
+
+    They come into the index in three batches, so that the last meets the compacted runs of the others.
+    """
     repeats = find_repeats(documents, width, gram, batches, fanout).withColumnRenamed("doc_id", "__doc")
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])  # no name of theirs can clash
