@@ -22,6 +22,7 @@ from provintel.llm.substring_dedup import without_repeats
 from provintel.session import broadcast_if_small, materialize
 
 ORACLE_SQL = None
+ARROW_ROWS = 1000  # rows that a Python worker is sent at once: two workers share an executor with its JVM
 
 
 def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -58,6 +59,7 @@ STAGES = [("quality classifier", quality), ("minhash near-dedup", near_dedup), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -1,4 +1,6 @@
-"""The pipeline's stage of repeats: its index has runs to meet and compact."""
+"""The pipeline's stages: the index of repeats has runs to meet and compact, and workers get few rows at once."""
+
+import pyarrow as pa
 
 import corpus_pipeline
 from provintel.llm.substring_dedup import WIDTH, FingerprintIndex
@@ -22,3 +24,14 @@ def test_the_stage_of_repeats_meets_compacted_runs(spark, monkeypatch):
         want[d] = (text, len(text))
     assert got == want
     assert max(met) > 0 and compacted
+
+
+def test_workers_get_few_rows_at_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+        rows = spark.range(3000).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"id": pa.array([b.num_rows])}) for b in batches), "id long")
+        assert max(r["id"] for r in rows.collect()) <= 1000
+    finally:
+        spark.conf.set(key, before)
