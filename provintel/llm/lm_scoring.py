@@ -138,14 +138,20 @@ def make_vocabulary(counted: DataFrame, frequent: int = FREQUENT) -> tuple[Vocab
     totals = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     # Counts fall into sixteenths of powers of two; the highest bins that hold at most ``frequent`` tokens together are taken,
     # and of the next one the share of smallest hashes that fills them up.
+    # All whole bins are above a least one, so the test of a token stays the same however many bins there are.
     binned = counted.withColumn("bin", F.floor(F.log2("n") * 16).cast("int"))
-    seen, wanted = 0, F.lit(False)
+    seen, whole, wanted = 0, None, F.lit(False)
     for r in sorted(binned.groupBy("bin").agg(F.count("*").alias("k")).collect(), key=lambda r: -r["bin"]):
         share = min(1.0, (frequent - seen) / r["k"])
-        wanted = wanted | ((F.col("bin") == r["bin"]) & (F.lit(True) if share == 1 else F.col("token") < int((share - 0.5) * 2.0**64)))
+        if share == 1:
+            whole = r["bin"]
+        else:
+            wanted = (F.col("bin") == r["bin"]) & (F.col("token") < int((share - 0.5) * 2.0**64))
         seen += r["k"]
         if seen >= frequent:
             break
+    if whole is not None:
+        wanted = wanted | (F.col("bin") >= whole)
     top = binned.where(wanted).drop("bin").toPandas().sort_values(["n", "token"], ascending=[False, True])
     hashes, counts, rare = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["rare"].to_numpy(np.int64)
     by_rare = np.ones(RARE)
