@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .words import slices
 
 CAPACITY, UNIT, END_ID = 4096, 8, 2
 CACHED_CHUNKS = 400_000
+GROUP_BYTES = 2 << 20  # of text whose distinct chunks are looked up together
 # Byte-level tokenizers write printable bytes as themselves and the others as the characters from 256 on, in order.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -60,6 +63,9 @@ class ChunkIds:
         self._recall(chunks)
         new, parts, plain = chunks.difference(self.known), {}, set()
         for c in new:
+            if c.isascii() and c.isalpha() and c.islower():
+                plain.add(c)
+                continue
             m = self.split(c)
             if m and (m[2] or not c.islower()):
                 parts[c] = m[1].lower(), m[2]
@@ -69,9 +75,10 @@ class ChunkIds:
         self._recall(plain)
         words = []
         for w in plain.difference(self.known):
-            if self.simple(w):
-                letters = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)
-                self.known[w] = np.array([t.id for t in self.merge(letters)], dtype="<u4").tobytes()
+            if w.isascii() and w.isalpha():  # what isn't lower-case was lowered above
+                self.known[w] = array("I", [t.id for t in self.merge(w)]).tobytes()
+            elif self.simple(w):
+                self.known[w] = array("I", [t.id for t in self.merge(w.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
             else:
                 words.append(w)
         if words:
@@ -108,16 +115,15 @@ def cut_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _shared_ids(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part, out = batch.slice(at, 250), []
-                for doc, ids in zip(part.column(0).to_pylist(), ids_of.texts([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, start in enumerate(range(0, n, capacity)):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, k))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        for part, _, _ in slices(batches, most=GROUP_BYTES):
+            out = []
+            for doc, ids in zip(part.column(0).to_pylist(), ids_of.texts([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                ids += end
+                n = len(ids) // 4
+                for k, start in enumerate(range(0, n, capacity)):
+                    piece = ids[4 * start : 4 * (start + capacity)]
+                    out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, k))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return documents.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
 
